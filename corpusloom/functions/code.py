@@ -3,7 +3,8 @@
 Methods are found by header patterns, not by a parser: a segment runs from one
 header to the next, and its McCabe count is 1 + the decision points in it. The
 patterns have no lookaround, and every unbounded repeat that cannot give back is
-possessive, so that long inputs neither backtrack nor use up the stack.
+possessive, so that long inputs neither backtrack nor use up the stack. A line ends
+at \\n only (flag d).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import fixed_values as fv
 
+_ALL = 1 << 30
 HASH_COMMENT_LANGUAGES = ["Python", "Ruby"]
 
 _STRING = (
@@ -44,7 +46,7 @@ _TYPE = rf"(?:{_GENERIC}[ \t]+)?[\w:.]+(?:{_GENERIC})?[\[\]*&?]*"
 # Groups: 1 modifiers; 2, 3 name and parameters after a function keyword;
 # 4, 5, 6 type, name and parameters of a typed header that opens a block.
 METHOD_HEADER = (
-    rf"(?m)(?:^|[{{}};])[ \t]*((?:(?:{_MODIFIERS})[ \t]+)*)"
+    rf"(?md)(?:^|[{{}};])[ \t]*((?:(?:{_MODIFIERS})[ \t]+)*)"
     rf"(?:(?:def|fun|func|fn|function)[ \t]+(?:\([^)]*\)[ \t]*|{_GENERIC}[ \t]+)?"
     rf"([\w.]+)(?:{_GENERIC})?[ \t]*\(({_PARAMS})\)"
     rf"|({_TYPE})[ \t]+[*&]*(\w+)[ \t]*\(({_PARAMS})\)\s*"
@@ -70,7 +72,7 @@ def blank_comments(text: Column, language: Column) -> Column:
 
 def code_lines(blanked: Column) -> Column:
     """Lines with something on them."""
-    return F.regexp_count(blanked, F.lit(r"(?m)^[^\n\S]*\S")).cast("bigint")
+    return F.regexp_count(blanked, F.lit(r"(?md)^[^\n\S]*\S")).cast("bigint")
 
 
 def segments(text: Column) -> Column:
@@ -79,7 +81,7 @@ def segments(text: Column) -> Column:
     marked = F.regexp_replace(clean, METHOD_HEADER, HEADER_MARK)
     marked = F.regexp_replace(marked, FALSE_HEADER, "$1")
     parts = F.split(marked, "\x01")
-    return F.transform(F.slice(parts, F.lit(2), F.size(parts)), _segment)
+    return F.transform(F.slice(parts, 2, _ALL), _segment)
 
 
 def _segment(part: Column) -> Column:

@@ -28,10 +28,16 @@ def file_filter(settings: Settings):
     return keep
 
 
-def discover(corpus: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Corpus (path, size_bytes, content) to file table with language and package."""
+def discover(
+    corpus: DataFrame, settings: Settings | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Corpus (path, size_bytes, content) to file table with language and package.
+
+    `keep` names further columns of the corpus to carry along.
+    """
     settings = settings or Settings()
     files = corpus.where(file_filter(settings)).select(
+        *keep,
         "path",
         paths.language(F.col("path")).alias("language"),
         paths.package(F.col("path")).alias("package"),
