@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import fixed_values as fv
 from corpusloom.functions import code, paths
-from corpusloom.functions.text import fill
+from corpusloom.functions.text import fill, let
 
 _VISIBILITY = r"\b(public|private|protected)\b"
 _ONLY_VISIBILITY = ["public", "private", "protected"]
@@ -70,20 +70,29 @@ def merged(parts: Column) -> Column:
     Role of the first part; methods once per signature and list items once, in order
     of first occurrence; summaries joined and bounded. One part stays as it is.
     """
-    every = F.flatten(F.transform(parts, lambda p: p["key_methods"]))
-    seen = F.transform(every, lambda m: m["signature"])
-    kept = F.filter(every, lambda m, i: F.array_position(seen, m["signature"]) == i + 1)
-    told = F.filter(F.transform(parts, lambda p: p["summary"]), lambda s: s != "")
-
-    def union(field: str) -> Column:
-        return F.array_distinct(F.flatten(F.transform(parts, lambda p: p[field])))
-
-    return F.when(F.size(parts) == 1, parts[0]).otherwise(F.struct(
-        F.substring(F.array_join(told, " "), 1, fv.SUMMARY_LIMIT).alias("summary"),
-        parts[0]["role"].alias("role"),
-        kept.alias("key_methods"),
-        union("external_dependencies").alias("external_dependencies"),
-        union("noteworthy").alias("noteworthy"),
+
+    def combine(ordered: Column) -> Column:
+        every = F.flatten(F.transform(ordered, lambda p: p["key_methods"]))
+        told = F.filter(F.transform(ordered, lambda p: p["summary"]), lambda s: s != "")
+
+        def union(field: str) -> Column:
+            return F.array_distinct(F.flatten(F.transform(ordered, lambda p: p[field])))
+
+        return F.when(F.size(ordered) == 1, ordered[0]).otherwise(F.struct(
+            F.substring(F.array_join(told, " "), 1, fv.SUMMARY_LIMIT).alias("summary"),
+            ordered[0]["role"].alias("role"),
+            let(every, _first_per_signature).alias("key_methods"),
+            union("external_dependencies").alias("external_dependencies"),
+            union("noteworthy").alias("noteworthy"),
+        ))
+
+    return let(parts, combine)
+
+
+def _first_per_signature(every: Column) -> Column:
+    signatures = F.transform(every, lambda m: m["signature"])
+    return let(signatures, lambda seen: F.filter(
+        every, lambda m, i: F.array_position(seen, m["signature"]) == i + 1
     ))
 
 

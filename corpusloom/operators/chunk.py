@@ -66,19 +66,19 @@ def _chunk_starts(pieces: Column, budget: int) -> Column:
 def chunks_of(text: Column, budget: int) -> Column:
     """array<string> of chunks whose concatenation is `text`."""
 
-    def pack(pieces: Column) -> Column:
-        def cut_at(starts: Column) -> Column:
+    def at_starts(pieces: Column) -> Column:
+        def cut(starts: Column) -> Column:
             def chunk(start: Column, i: Column) -> Column:
                 end = F.coalesce(F.get(starts, i + 1), F.size(pieces))
                 return F.array_join(F.slice(pieces["text"], start + 1, end - start), "")
 
             return F.transform(starts, chunk)
 
-        return let(_chunk_starts(pieces, budget), cut_at)
+        return let(_chunk_starts(pieces, budget), cut)
 
-    return F.when(fits_budget(text, budget), F.array(text)).otherwise(
-        let(_pieces(text, budget), pack)
-    )
+    return let(text, lambda t: F.when(fits_budget(t, budget), F.array(t)).otherwise(
+        let(_pieces(t, budget), at_starts)
+    ))
 
 
 def chunk_table(df: DataFrame, budget: int, text: str = "content") -> DataFrame:

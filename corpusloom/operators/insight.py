@@ -10,7 +10,7 @@ from corpusloom.functions import insight as rules
 from corpusloom.functions import paths
 from corpusloom.functions.text import explode_structs
 from corpusloom.operators.chunk import chunks_of
-from corpusloom.operators.redact import redacted
+from corpusloom.operators.redact import redact
 from corpusloom.schemas import METHOD
 from corpusloom.settings import Settings
 
@@ -23,7 +23,7 @@ def with_insight(
     A file over the chunk budget gets one insight per chunk, merged within the row.
     """
     settings = settings or Settings()
-    df = redacted(files, settings.secret_rules)
+    df = redact(files, settings.secret_rules)
     df = df.withColumns({
         "_chunks": chunks_of(F.col("content"), settings.chunk_token_budget),
         "_role": paths.role(F.col("path")),
@@ -34,7 +34,7 @@ def with_insight(
     return df.withColumns({
         "insight": rules.merged(F.col("_parts")),
         "chunked": F.size("_chunks") > 1,
-    }).drop("_chunks", "_role", "_parts", "content", "secrets")
+    }).drop("_chunks", "_role", "_parts", "content")
 
 
 def reported_methods(analyzed: DataFrame, keys: list[str]) -> DataFrame:

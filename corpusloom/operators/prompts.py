@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom import fixed_values as fv
 from corpusloom.functions.text import fill, token_count
 from corpusloom.operators.chunk import chunk_table
-from corpusloom.operators.redact import redacted
+from corpusloom.operators.redact import redact
 from corpusloom.settings import Settings
 
 
@@ -18,7 +18,7 @@ def prompt_table(files: DataFrame, settings: Settings) -> DataFrame:
     Redacted and split before the text goes anywhere. A file in one part gets the
     file form, a part of a split file the chunk form.
     """
-    safe = redacted(files.select("path", "language", "content"), settings.secret_rules)
+    safe = redact(files.select("path", "language", "content"), settings.secret_rules)
     chunks = chunk_table(safe, settings.chunk_token_budget)
     fields = {name: F.col(name) for name in ("path", "language", "part", "total", "text")}
     prompt = F.when(F.col("chunked"), fill(fv.CHUNK_PROMPT, **fields)).otherwise(

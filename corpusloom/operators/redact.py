@@ -1,18 +1,18 @@
 """Secret redaction of a text column, with a findings table.
 
-Rules run in order, each on the output of the one before. Every step is a
-projection of its own, so the optimizer keeps the intermediate text as a value
-instead of repeating the whole chain; counts nobody reads are pruned. A rule that
-needs a literal text to match is skipped by a byte search where that is absent.
+Rules run in order, each on the output of the one before. Every step binds the text
+before it once, so the expression grows with the number of rules and no more, also
+where the optimizer copies it into a filter. A rule that needs a literal text to
+match is skipped by a byte search where that is absent.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom import fixed_values as fv
-from corpusloom.functions.text import contains_any, explode_structs
+from corpusloom.functions.text import contains_any, explode_structs, let
 
 Rule = tuple[str, str, str]
 
@@ -22,37 +22,68 @@ def _java(pattern: str) -> str:
     return "(?U)" + pattern if "\\b" in pattern or "\\s" in pattern else pattern
 
 
+def _only_if_possible(name: str, text: Column, then: Column, otherwise: Column) -> Column:
+    anchors = fv.SECRET_RULE_ANCHORS.get(name)
+    return F.when(contains_any(text, anchors), then).otherwise(otherwise) if anchors else then
+
+
+def redacted_text(text: Column, rules: list[Rule]) -> Column:
+    def step(rule: Rule):
+        name, pattern, replacement = rule
+        return lambda t: _only_if_possible(
+            name, t, F.regexp_replace(t, _java(pattern), replacement), t
+        )
+
+    for rule in rules:
+        text = let(text, step(rule))
+    return text
+
+
+def redacted_and_counted(text: Column, rules: list[Rule]) -> Column:
+    """struct<text, counts>: counts is an array<bigint> in rule order, taken on the
+    text that each rule met."""
+
+    def step(rule: Rule):
+        name, pattern, replacement = rule
+
+        def apply(state: Column) -> Column:
+            t = state["text"]
+            changed = F.regexp_replace(t, _java(pattern), replacement)
+            found = F.regexp_count(t, F.lit(_java(pattern))).cast("bigint")
+            count = _only_if_possible(name, t, found, F.lit(0).cast("bigint"))
+            return F.struct(
+                _only_if_possible(name, t, changed, t).alias("text"),
+                F.concat(state["counts"], F.array(count)).alias("counts"),
+            )
+
+        return apply
+
+    state = F.struct(text.alias("text"), F.array().cast("array<bigint>").alias("counts"))
+    for rule in rules:
+        state = let(state, step(rule))
+    return state
+
+
 def redact(df: DataFrame, rules: list[Rule], text: str = "content") -> DataFrame:
-    """Replace secrets in `text`; adds `findings`, an array<bigint> by rule order."""
-    counts = []
-    for i, (name, pattern, replacement) in enumerate(rules):
-        before, count = F.col(text), f"_n{i}"
-        changed = F.regexp_replace(before, _java(pattern), replacement)
-        found = F.regexp_count(before, F.lit(_java(pattern))).cast("bigint")
-        anchors = fv.SECRET_RULE_ANCHORS.get(name)
-        if anchors:
-            possible = contains_any(before, anchors)
-            changed = F.when(possible, changed).otherwise(before)
-            found = F.when(possible, found).otherwise(F.lit(0).cast("bigint"))
-        df = df.withColumns({count: found, text: changed})
-        counts.append(count)
-    none = F.array().cast("array<bigint>")
-    return df.withColumn("findings", F.array(*counts) if counts else none).drop(*counts)
+    """Replace secrets in `text`."""
+    return df.withColumn(text, redacted_text(F.col(text), rules))
 
 
 def redacted(df: DataFrame, rules: list[Rule], text: str = "content") -> DataFrame:
-    """`redact` with one total, `secrets`, in place of the counts per rule."""
-    total = F.aggregate("findings", F.lit(0).cast("bigint"), lambda a, n: a + n)
-    return redact(df, rules, text).withColumn("secrets", total).drop("findings")
+    """Replace secrets in `text` and add their number, `secrets`."""
+    total = F.aggregate("_redacted.counts", F.lit(0).cast("bigint"), lambda a, n: a + n)
+    return (
+        df.withColumn("_redacted", redacted_and_counted(F.col(text), rules))
+        .withColumns({text: F.col("_redacted.text"), "secrets": total})
+        .drop("_redacted")
+    )
 
 
 def findings(df: DataFrame, rules: list[Rule], keys: list[str], text: str = "content") -> DataFrame:
     """One row per text and rule that matched: keys, rule, n."""
-    names = [name for name, _, _ in rules]
-    found = F.transform("findings", lambda n, i: F.struct(
-        F.get(F.array(*[F.lit(name) for name in names]), i).alias("rule"), n.alias("n")
-    ))
-    counted = redact(df.select(*keys, text), rules, text)
+    names = F.array(*[F.lit(name) for name, _, _ in rules])
+    counted = df.select(*keys, redacted_and_counted(F.col(text), rules)["counts"].alias("_counts"))
+    found = F.transform("_counts", lambda n, i: F.struct(F.get(names, i).alias("rule"), n.alias("n")))
     return explode_structs(
         counted.withColumn("_found", F.filter(found, lambda f: f["n"] > 0)), keys, "_found"
     )

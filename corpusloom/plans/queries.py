@@ -30,7 +30,7 @@ from corpusloom.operators import (
 )
 from corpusloom.operators.discover import discover, first_files, language_breakdown
 from corpusloom.plans.src_view import src, table
-from corpusloom.session import scratch_path, spread
+from corpusloom.session import cut, scratch_path, spread
 from corpusloom.settings import Settings
 from corpusloom.sources.replies import good_replies, parse_replies
 from corpusloom.sources.sinks import analysis_document, metadata, read_records, write_records
@@ -554,7 +554,7 @@ def truncate_to_budget(spark, sf):
 
 @query
 def overview_prompt(spark, sf):
-    found = _records(spark, sf)
+    found = cut(_records(spark, sf))
     settings = Settings()
     digest = reduce.reduce_digest(found, reduce.rule_based_packages(found), settings.reduce_budget)
     return reduce.overview_prompt(
@@ -564,7 +564,7 @@ def overview_prompt(spark, sf):
 
 @query
 def overview(spark, sf):
-    facts = reduce.overview(_records(spark, sf), TARGET)
+    facts = reduce.overview(cut(_records(spark, sf)), TARGET)
     lists = [f for f in facts.columns if f not in ("name", "primary_language")]
     return facts.select("name", "primary_language", *[joined(f).alias(f) for f in lists])
 
@@ -623,7 +623,7 @@ def usage_cost(spark, sf):
 @query
 def analysis_document_(spark, sf):
     found = headed_files(spark, sf)
-    made = records.rule_based_records(found)
+    made = cut(records.rule_based_records(found))
     discovered = found.select("path", line_count(F.col("content")).alias("lines"))
     none = spark.range(0).selectExpr("id as prompt_tokens", "id as completion_tokens")
     return analysis_document(

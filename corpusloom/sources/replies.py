@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.insight import is_valid
+from corpusloom.functions.text import let
 from corpusloom.schemas import INSIGHT
 
 _BROKEN = "_broken"
@@ -18,23 +19,26 @@ def parse_replies(replies: DataFrame, column: str = "reply") -> DataFrame:
 
     Lists that are left out are empty.
     """
-    parsed = replies.withColumn("_parsed", F.from_json(
+    parsed = F.from_json(
         F.col(column), _READ, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
-    ))
-    p = F.col("_parsed")
+    )
+    return replies.withColumn("insight", let(parsed, _accepted))
+
+
+def _accepted(p: Column) -> Column:
+    no_strings = F.array().cast("array<string>")
     methods = F.transform(
-        F.coalesce(p["key_methods"], F.array()),
-        lambda m: m.withField("parameters", F.coalesce(m["parameters"], F.array())),
+        F.coalesce(p["key_methods"], F.array().cast(INSIGHT["key_methods"].dataType)),
+        lambda m: m.withField("parameters", F.coalesce(m["parameters"], no_strings)),
     )
     complete = F.struct(
         p["summary"].alias("summary"),
         p["role"].alias("role"),
         methods.alias("key_methods"),
-        F.coalesce(p["external_dependencies"], F.array()).alias("external_dependencies"),
-        F.coalesce(p["noteworthy"], F.array()).alias("noteworthy"),
+        F.coalesce(p["external_dependencies"], no_strings).alias("external_dependencies"),
+        F.coalesce(p["noteworthy"], no_strings).alias("noteworthy"),
     )
-    good = p[_BROKEN].isNull() & is_valid(p)
-    return parsed.withColumn("insight", F.when(good, complete)).drop("_parsed")
+    return F.when(p[_BROKEN].isNull() & is_valid(p), complete)
 
 
 def good_replies(parsed: DataFrame) -> DataFrame:

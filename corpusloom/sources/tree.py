@@ -28,9 +28,11 @@ _SUBTREES = 512
 _BATCH_BYTES = 16 << 20
 
 
-class _Subtree(InputPartition):
-    def __init__(self, folder: str, deep: bool):
-        self.folder = folder
+class _Folders(InputPartition):
+    """Folders to list: alone, or with all that is below them."""
+
+    def __init__(self, folders: list[str], deep: bool):
+        self.folders = folders
         self.deep = deep
 
 
@@ -38,6 +40,7 @@ class _TreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = os.path.realpath(options["path"])
         self.pruned = set(json.loads(options.get("excludeDirs", "[]")))
+        self.tasks = int(options.get("tasks", _SUBTREES))
 
     def _entries(self, folder: str) -> tuple[list[os.DirEntry], list[str]]:
         """Files and walkable directories of one folder; an unreadable one is empty."""
@@ -54,16 +57,20 @@ class _TreeReader(DataSourceReader):
         return files, folders
 
     def partitions(self) -> list[InputPartition]:
-        shallow: list[InputPartition] = []
-        open_folders = deque([self.root])
-        while open_folders and len(open_folders) < _SUBTREES and len(shallow) < _SUBTREES:
-            folder = open_folders.popleft()
-            shallow.append(_Subtree(folder, deep=False))
-            open_folders.extend(self._entries(folder)[1])
-        return shallow + [_Subtree(folder, deep=True) for folder in open_folders]
-
-    def read(self, partition: _Subtree) -> Iterator[tuple[str, str, int]]:
-        todo = [partition.folder]
+        opened: list[str] = []
+        closed = deque([self.root])
+        while closed and len(closed) < _SUBTREES and len(opened) < _SUBTREES:
+            folder = closed.popleft()
+            opened.append(folder)
+            closed.extend(self._entries(folder)[1])
+        return self._shared_out(opened, deep=False) + self._shared_out(list(closed), deep=True)
+
+    def _shared_out(self, folders: list[str], deep: bool) -> list[InputPartition]:
+        tasks = min(self.tasks, len(folders))
+        return [_Folders(folders[i::tasks], deep) for i in range(tasks)]
+
+    def read(self, partition: _Folders) -> Iterator[tuple[str, str, int]]:
+        todo = list(partition.folders)
         while todo:
             files, folders = self._entries(todo.pop())
             if partition.deep:
@@ -116,6 +123,7 @@ def list_tree(spark: SparkSession, root: str, settings: Settings | None = None)
     return (
         spark.read.format("source_tree")
         .option("excludeDirs", json.dumps(settings.active_exclude_dirs))
+        .option("tasks", spark.sparkContext.defaultParallelism)
         .load(root)
     )
 
