@@ -21,10 +21,11 @@ def running_sum(
 
     `group + order` must identify a row.
     """
-    # The ranges are sampled, so their numbers are written down before two readers
+    # Sampling the ranges reads the input once more, so it is written down first. The
+    # range numbers hold for one shuffle only, so they are too, before two readers
     # (totals and rows) rely on them.
     ranged = cut(
-        df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id())
+        cut(df).repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id())
     )
     earlier_ranges = (
         Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -49,7 +49,8 @@ def prepare(corpus: DataFrame, settings: Settings, store: str | None = None) ->
     if store and settings.cache_enabled:
         stored = read_store(corpus.sparkSession, store, settings.model)
     looked_up = cache.cache_lookup(keyed, stored)
-    prompts = prompt_table(cache.work_files(files, keyed, stored), settings)
+    # The requests lie in storage until they are answered.
+    prompts = cut(prompt_table(cache.work_files(files, keyed, stored), settings))
     return Prepared(files, keyed, looked_up, prompts)
 
 

@@ -336,15 +336,20 @@ def _keyed(found: DataFrame) -> DataFrame:
     return cache.with_key(found, fv.DEFAULT_MODEL)
 
 
+def _key_table(found: DataFrame) -> DataFrame:
+    """(path, key), written down: hashing reads the texts, and the keys are read again."""
+    return cut(_keyed(found).select("path", "key"))
+
+
 def _stored_even(spark, sf) -> DataFrame:
     """What an earlier run over the even doc_ids would have stored."""
     even = _keyed(files(spark, sf).where("doc_id % 2 = 0"))
-    return insight.with_insight(even).select("key", "insight")
+    return cut(insight.with_insight(even).select("key", "insight"))
 
 
 @query
 def cache_lookup(spark, sf):
-    keyed = _keyed(files(spark, sf)).select("path", "key")
+    keyed = _key_table(files(spark, sf))
     found = cache.cache_lookup(keyed, _stored_even(spark, sf))
     return found.select("path", "key", "from_cache", F.col("insight.role").alias("role"))
 
@@ -383,7 +388,7 @@ def chunk_prompts(spark, sf):
 @query
 def cache_append(spark, sf):
     path = scratch_path(spark, "store")
-    made = insight.with_insight(_keyed(files(spark, sf)))
+    made = cut(insight.with_insight(_keyed(files(spark, sf))).select("doc_id", "path", "key", "insight"))
     append_store(made.where("doc_id % 2 = 0").select("path", "key", "insight"), path, fv.DEFAULT_MODEL)
     append_store(made.select("path", "key", "insight"), path, fv.DEFAULT_MODEL)
     return read_store(spark, path, fv.DEFAULT_MODEL).select("key", "insight.summary", "insight.role")
@@ -467,7 +472,7 @@ def _flat(found: DataFrame) -> DataFrame:
 def file_records(spark, sf):
     """Hits from the store, the rest analyzed in chunks, assembled with the metrics."""
     found = files(spark, sf)
-    looked_up = cache.cache_lookup(_keyed(found).select("path", "key"), _stored_even(spark, sf))
+    looked_up = cache.cache_lookup(_key_table(found), _stored_even(spark, sf))
     missed = looked_up.where("not from_cache").select("path")
     made = insight.with_insight(
         found.join(missed, "path", "left_semi"), Settings(chunk_token_budget=PROMPT_BUDGET)
@@ -493,11 +498,11 @@ def _replies(spark, sf) -> DataFrame:
     made = insight.with_insight(files(spark, sf))
     reply = F.to_json("insight")
     without_role = F.to_json(F.col("insight").dropFields("role"))
-    return made.select(
+    return cut(made.select(
         "path", F.lit(1).cast("bigint").alias("part"), "doc_id",
         F.when(F.col("doc_id") % 13 == 0, F.substring(reply, F.lit(1), F.length(reply) - 8))
         .when(F.col("doc_id") % 17 == 5, without_role).otherwise(reply).alias("reply"),
-    )
+    ))
 
 
 @query

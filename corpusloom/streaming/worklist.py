@@ -56,10 +56,9 @@ def start_worklist(
         files = discover(batch, settings)
         keyed = with_key(files, settings.model).select("path", "key")
         todo = work_files(files, keyed, seen)
-        prompts = prompt_table(todo, settings)
-        prompts.join(todo.select("path", "key"), "path").select(
-            *[f for f in _WORKLIST.fieldNames() if f != "batch"]
-        ).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        prompt_table(todo, settings, keep=("key",)).write.mode("overwrite").parquet(
+            f"{out}/batch={batch_id}"
+        )
 
     stream = spark.readStream.schema(CORPUS)
     if files_per_batch:
