@@ -76,6 +76,13 @@ SECRET_RULE_ANCHORS = {
     "url-credentials": ["://"],
 }
 
+# Rules whose replacement never equals what it replaces: same text, no match. (The
+# URL rule finds its own placeholder again.)
+RULES_THAT_CHANGE_THE_TEXT = [
+    "private-key-block", "anthropic-key", "openai-key", "aws-access-key-id", "google-api-key",
+    "github-token", "slack-token", "jwt", "assigned-secret",
+]
+
 # --- complexity: lowest maximum, lowest mean, band ------------------------------
 COMPLEXITY_BANDS = [
     (20, 10, "very_high"),

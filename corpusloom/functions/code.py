@@ -13,20 +13,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom import fixed_values as fv
+from corpusloom.functions.text import contains_any, let
 
 _ALL = 1 << 30
+_MARKS = ["\x01", "\x02", "\x03"]
 HASH_COMMENT_LANGUAGES = ["Python", "Ruby"]
 
-_STRING = (
-    r"""("[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+')"""
-)
 _STRING_MARK = (
-    r"""(")[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|(')[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"""
+    r"""(")[^"\\\n]*(?:\\.[^"\\\n]*)*+"|(')[^'\\\n]*(?:\\.[^'\\\n]*)*+'"""
 )
-_BLOCK_COMMENT = r"/\*[\s\S]*?\*/"
-_SLASH_COMMENTS = rf"//[^\n]*+|{_BLOCK_COMMENT}"
-_HASH_COMMENTS = rf"#[^\n]*+|{_BLOCK_COMMENT}"
-_DOC_STRING = r'"""[\s\S]*?"""' + r"|'''[\s\S]*?'''"
+_BLOCK_COMMENT = r"/\*[^*]*\*++(?:[^/*][^*]*\*++)*+/"
+_SLASH_COMMENTS = rf"//[^\n]*|{_BLOCK_COMMENT}"
+_HASH_COMMENTS = rf"#[^\n]*|{_BLOCK_COMMENT}"
+_DOC_STRING = '(?s:""".*?""")' + "|(?s:'''.*?''')"
 
 # Comments vanish; of a string literal only the opening quote stays, so that its
 # line is still code but no word in it counts as a decision point.
@@ -77,11 +76,12 @@ def code_lines(blanked: Column) -> Column:
 
 def segments(text: Column) -> Column:
     """array<struct<modifiers, name, type, params, body>>, one element per method."""
-    clean = F.translate(text, "\x01\x02\x03", "")
-    marked = F.regexp_replace(clean, METHOD_HEADER, HEADER_MARK)
-    marked = F.regexp_replace(marked, FALSE_HEADER, "$1")
-    parts = F.split(marked, "\x01")
-    return F.transform(F.slice(parts, 2, _ALL), _segment)
+    marked = let(text, lambda t: F.regexp_replace(
+        F.when(contains_any(t, _MARKS), F.translate(t, "".join(_MARKS), "")).otherwise(t),
+        METHOD_HEADER, HEADER_MARK,
+    ))
+    true = F.regexp_replace(marked, FALSE_HEADER, "$1")
+    return F.transform(F.slice(F.split(true, _MARKS[0]), 2, _ALL), _segment)
 
 
 def _segment(part: Column) -> Column:

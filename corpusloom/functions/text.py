@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom import fixed_values as fv
 
 # Every character a line may end with; "\r\n" counts as one end.
-_ENDS = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
+_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 # Possessive, so that no line length can exhaust the matcher's stack.
 _LINE = rf"[^{_ENDS}]*+(?:\r\n|[{_ENDS}])|[^{_ENDS}]++"
 
@@ -21,13 +21,27 @@ def decode_text(raw: Column) -> Column:
 
 
 def line_count(text: Column) -> Column:
-    """Newlines + 1, from two lengths instead of a regular expression."""
-    return (F.octet_length(text) - F.octet_length(F.translate(text, "\n", "")) + 1).cast("bigint")
+    """Newlines + 1, from two lengths: a byte search, no regular expression."""
+    rest = F.replace(text, F.lit("\n"), F.lit(""))
+    return (F.octet_length(text) - F.octet_length(rest) + 1).cast("bigint")
 
 
 def lines_with_ends(text: Column) -> Column:
-    """Lines as an array, each with its terminator; concatenation restores the text."""
-    return F.regexp_extract_all(text, F.lit(_LINE), F.lit(0))
+    """Lines as an array, each with its terminator; concatenation restores the text.
+
+    Nearly all texts have \\n only and are split at it; the pattern does the others.
+    """
+
+    def at_newlines(parts: Column) -> Column:
+        last = F.size(parts) - 1
+        ended = F.transform(parts, lambda line, i: F.when(
+            i < last, F.concat(line, F.lit("\n"))
+        ).otherwise(line))
+        return F.filter(ended, lambda line: line != "")
+
+    return F.when(
+        contains_any(text, list(_ENDS[1:])), F.regexp_extract_all(text, F.lit(_LINE), F.lit(0))
+    ).otherwise(let(F.split(text, "\n"), at_newlines))
 
 
 def fixed_width_pieces(text: Column, width: int) -> Column:

@@ -46,17 +46,27 @@ def redacted_and_counted(text: Column, rules: list[Rule]) -> Column:
     def step(rule: Rule):
         name, pattern, replacement = rule
 
-        def apply(state: Column) -> Column:
+        def replace(state: Column) -> Column:
             t = state["text"]
             changed = F.regexp_replace(t, _java(pattern), replacement)
+            return F.struct(
+                t.alias("before"), _only_if_possible(name, t, changed, t).alias("text"),
+                state["counts"].alias("counts"),
+            )
+
+        def count(state: Column) -> Column:
+            t = state["before"]
             found = F.regexp_count(t, F.lit(_java(pattern))).cast("bigint")
-            count = _only_if_possible(name, t, found, F.lit(0).cast("bigint"))
+            none = F.lit(0).cast("bigint")
+            if name in fv.RULES_THAT_CHANGE_THE_TEXT:
+                n = F.when(t == state["text"], none).otherwise(found)
+            else:
+                n = _only_if_possible(name, t, found, none)
             return F.struct(
-                _only_if_possible(name, t, changed, t).alias("text"),
-                F.concat(state["counts"], F.array(count)).alias("counts"),
+                state["text"].alias("text"), F.concat(state["counts"], F.array(n)).alias("counts")
             )
 
-        return apply
+        return lambda state: let(replace(state), count)
 
     state = F.struct(text.alias("text"), F.array().cast("array<bigint>").alias("counts"))
     for rule in rules:

@@ -40,17 +40,15 @@ def analysis_document(
     The file records stay a dataset of their own, as they grow with the corpus; the
     languages are bounded by the extension list.
     """
-    def one(df: DataFrame):
-        return df.select(F.struct("*").alias("v")).scalar()
-
-    stats = languages.agg(
-        F.array_sort(F.collect_list(F.struct("language", "file_count", "line_count"))).alias("languages")
-    ).scalar()
-    row = meta.sparkSession.range(1).select(
-        one(meta).alias("metadata"), one(overview).alias("overview"),
-        one(statistics).alias("statistics"), stats.alias("languages"),
-    )
-    return row.select(F.to_json(F.struct(
-        "metadata", "overview", F.col("statistics").withField("languages", F.col("languages"))
-        .alias("statistics"),
+    listed = languages.agg(F.array_sort(
+        F.collect_list(F.struct("language", "file_count", "line_count"))
+    )).scalar()
+
+    def one(df: DataFrame, *more):
+        return df.select(F.struct("*", *more)).scalar()
+
+    return meta.sparkSession.range(1).select(F.to_json(F.struct(
+        one(meta).alias("metadata"),
+        one(overview).alias("overview"),
+        one(statistics, listed.alias("languages")).alias("statistics"),
     )).alias("document"))
