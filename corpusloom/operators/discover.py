@@ -62,8 +62,13 @@ def require_files(files: DataFrame) -> DataFrame:
     return files
 
 
+def with_lines(files: DataFrame) -> DataFrame:
+    return files.withColumn("lines", line_count(F.col("content")))
+
+
 def language_breakdown(files: DataFrame) -> DataFrame:
-    return files.groupBy("language").agg(
-        F.count("*").alias("file_count"),
-        F.sum(line_count(F.col("content"))).alias("line_count"),
+    """Files and lines per language, from a file table or one that has `lines` already."""
+    counted = files if "lines" in files.columns else with_lines(files)
+    return counted.groupBy("language").agg(
+        F.count("*").alias("file_count"), F.sum("lines").alias("line_count")
     )

@@ -22,14 +22,17 @@ def assemble(files: DataFrame, insights: DataFrame) -> DataFrame:
     return metrics.join(insights, "path").select(*_record_columns())
 
 
-def rule_based_records(files: DataFrame, settings: Settings | None = None) -> DataFrame:
+def rule_based_records(
+    files: DataFrame, settings: Settings | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Records whose insight comes from the rules: one pass over the text, no shuffle.
 
-    Metrics read the original text, the insight reads the redacted one.
+    Metrics read the original text, the insight reads the redacted one. `keep` names
+    further columns to carry along.
     """
-    df = with_metrics(files.select(*_FILE, "content"))
+    df = with_metrics(files.select(*keep, *_FILE, "content"))
     df = with_insight(df, settings)
-    return df.withColumn("from_cache", F.lit(False)).select(*_record_columns())
+    return df.withColumn("from_cache", F.lit(False)).select(*keep, *_record_columns())
 
 
 def _record_columns() -> list:

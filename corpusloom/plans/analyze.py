@@ -11,9 +11,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import line_count, token_count
+from corpusloom.functions.text import token_count
 from corpusloom.operators import cache, records, reduce, stats
-from corpusloom.operators.discover import discover, language_breakdown, require_files
+from corpusloom.operators.discover import (
+    discover,
+    language_breakdown,
+    require_files,
+    with_lines,
+)
 from corpusloom.operators.merge import merge_parts
 from corpusloom.operators.prompts import prompt_table
 from corpusloom.session import cut
@@ -26,7 +31,7 @@ from corpusloom.sources.store import append_store, read_store
 @dataclass(frozen=True)
 class Prepared:
     files: DataFrame      # file table
-    keyed: DataFrame      # path, key
+    keyed: DataFrame      # path, key, language, lines
     looked_up: DataFrame  # path, key, insight, from_cache
     prompts: DataFrame    # requests for what is not stored
 
@@ -43,12 +48,14 @@ class Analysis:
 def prepare(corpus: DataFrame, settings: Settings, store: str | None = None) -> Prepared:
     """Discover, look up, and list the requests for contents not in the store."""
     files = require_files(discover(corpus, settings))
-    # Hashing reads every text once; three readers of the keys follow.
-    keyed = cut(cache.with_key(files, settings.model).select("path", "key"))
+    # Hashing and counting read every text once; all later readers use this table.
+    keyed = cut(with_lines(cache.with_key(files, settings.model)).select(
+        "path", "key", "language", "lines"
+    ))
     stored = None
     if store and settings.cache_enabled:
         stored = read_store(corpus.sparkSession, store, settings.model)
-    looked_up = cache.cache_lookup(keyed, stored)
+    looked_up = cache.cache_lookup(keyed.select("path", "key"), stored)
     # The requests lie in storage until they are answered.
     prompts = cut(prompt_table(cache.work_files(files, keyed, stored), settings))
     return Prepared(files, keyed, looked_up, prompts)
@@ -73,7 +80,7 @@ def complete(
     whole = merged.join(asked, "path").where("parts = total").select(
         "path", "insight", (F.col("total") > 1).alias("chunked")
     )
-    answered = cut(whole.join(prepared.keyed, "path"))
+    answered = cut(whole.join(prepared.keyed.select("path", "key"), "path"))
     by_key = answered.select("key", "insight", "chunked")
     if store and settings.cache_enabled:
         append_store(answered.select("path", "key", "insight"), store, settings.model)
@@ -85,7 +92,7 @@ def complete(
     recorded = cut(records.assemble(prepared.files, made))
     tokens = prepared.prompts.join(parsed.select("path", "part", "reply"), ["path", "part"])
     usage = tokens.select("prompt_tokens", token_count(F.col("reply")).alias("completion_tokens"))
-    return _finish(prepared.files, recorded, usage, settings, target, generated_at)
+    return _finish(prepared.keyed, recorded, usage, settings, target, generated_at)
 
 
 def analyze_by_rules(
@@ -93,22 +100,21 @@ def analyze_by_rules(
 ) -> Analysis:
     """A run without a model. It never touches the store."""
     files = require_files(discover(corpus, settings))
-    recorded = cut(records.rule_based_records(files, settings))
+    made = cut(records.rule_based_records(with_lines(files), settings, keep=("lines",)))
     none = corpus.sparkSession.range(0).selectExpr(
         "id as prompt_tokens", "id as completion_tokens"
     )
-    return _finish(files, recorded, none, settings, target, generated_at)
+    return _finish(made, made.drop("lines"), none, settings, target, generated_at)
 
 
 def _finish(
-    files: DataFrame, recorded: DataFrame, usage: DataFrame, settings: Settings,
+    measured: DataFrame, recorded: DataFrame, usage: DataFrame, settings: Settings,
     target: str, generated_at: str,
 ) -> Analysis:
-    spark = files.sparkSession
-    discovered = files.select("path", line_count(F.col("content")).alias("lines"))
-    statistics = stats.run_statistics(discovered, recorded, usage, settings.model)
-    languages = language_breakdown(files)
+    """`measured` has path, language and lines of every discovered file."""
+    statistics = stats.run_statistics(measured, recorded, usage, settings.model)
+    languages = language_breakdown(measured)
     overview = reduce.overview(recorded, target)
-    meta = metadata(spark, target, settings.model, generated_at)
+    meta = metadata(recorded.sparkSession, target, settings.model, generated_at)
     document = analysis_document(meta, overview, statistics, languages)
     return Analysis(recorded, statistics, languages, overview, document)

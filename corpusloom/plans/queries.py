@@ -28,7 +28,12 @@ from corpusloom.operators import (
     reduce,
     stats,
 )
-from corpusloom.operators.discover import discover, first_files, language_breakdown
+from corpusloom.operators.discover import (
+    discover,
+    first_files,
+    language_breakdown,
+    with_lines,
+)
 from corpusloom.plans.src_view import src, table
 from corpusloom.session import cut, scratch_path, spread
 from corpusloom.settings import Settings
@@ -579,8 +584,7 @@ def overview(spark, sf):
 
 def _statistics(spark, sf) -> DataFrame:
     """A run in which the even files were stored and some replies were bad."""
-    found = files(spark, sf)
-    discovered = found.select("path", line_count(F.col("content")).alias("lines"))
+    discovered = with_lines(files(spark, sf)).select("path", "lines")
     parsed = parse_replies(_replies(spark, sf))
     even = F.col("doc_id") % 2 == 0
     made = parsed.where(even | F.col("insight").isNotNull()).select(even.alias("from_cache"))
@@ -627,15 +631,14 @@ def usage_cost(spark, sf):
 
 @query
 def analysis_document_(spark, sf):
-    found = headed_files(spark, sf)
-    made = cut(records.rule_based_records(found))
-    discovered = found.select("path", line_count(F.col("content")).alias("lines"))
+    measured = cut(records.rule_based_records(with_lines(headed_files(spark, sf)), keep=("lines",)))
+    made = measured.drop("lines")
     none = spark.range(0).selectExpr("id as prompt_tokens", "id as completion_tokens")
     return analysis_document(
         metadata(spark, TARGET, fv.DEFAULT_MODEL, GENERATED_AT),
         reduce.overview(made, TARGET),
-        stats.run_statistics(discovered, made, none, fv.DEFAULT_MODEL),
-        language_breakdown(found),
+        stats.run_statistics(measured, made, none, fv.DEFAULT_MODEL),
+        language_breakdown(measured),
     )
 
 
@@ -748,7 +751,7 @@ def usage_windows(spark, sf):
 def package_overview(spark, sf):
     """Per package: size, complexity, bands and secrets, in one pass and one shuffle."""
     found = files(spark, sf).drop("doc_id")
-    known = complexity.with_metrics(found.withColumn("lines", line_count(F.col("content"))))
+    known = complexity.with_metrics(with_lines(found))
     known = redact.redacted(known, RULES)
     bands = [F.count_if(F.col("band") == b).alias(f"{b}_files") for b in ("low", "moderate", "high", "very_high")]
     average = F.col("average_cyclomatic_complexity")

@@ -40,11 +40,12 @@ def append_store(
 
     Copies of a text share a key; the result of the first path is stored.
     """
+    # Copies collapse on narrow rows first; the insights then move once, by unique path.
     known = read_store(results.sparkSession, path, model, version).select("key")
-    fresh = results.join(known, "key", "left_anti")
-    first = fresh.groupBy("key").agg(F.min("path").alias("path"))
+    firsts = results.groupBy("key").agg(F.min("path").alias("path"))
+    fresh = firsts.join(known, "key", "left_anti").select("path")
     (
-        fresh.join(first, ["key", "path"], "left_semi")
+        results.join(fresh, "path", "left_semi")
         .select("key", "insight", F.lit(version).alias("prompt_version"), F.lit(model).alias("model"))
         .write.mode("append").partitionBy("prompt_version", "model").parquet(path)
     )
