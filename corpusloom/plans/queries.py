@@ -35,7 +35,7 @@ from corpusloom.operators.discover import (
     with_lines,
 )
 from corpusloom.plans.src_view import src, table
-from corpusloom.session import cut, scratch_path, spread
+from corpusloom.session import cut, local_path, scratch_path, spread
 from corpusloom.settings import Settings
 from corpusloom.sources.replies import good_replies, parse_replies
 from corpusloom.sources.sinks import analysis_document, metadata, read_records, write_records
@@ -110,17 +110,18 @@ def scan_tree_(spark, sf):
 
 def _write_tree(corpus: DataFrame, root: str) -> None:
     """One file per row, written by the tasks below the shared folder."""
+    base = local_path(root)
 
     def write(batches):
         for batch in batches:
-            for path, content in batch[["path", "content"]].itertuples(index=False):
-                file = os.path.join(root, path)
+            for row in batch.to_pylist():
+                file = os.path.join(base, row["path"])
                 os.makedirs(os.path.dirname(file), exist_ok=True)
                 with open(file, "w", encoding="utf-8", newline="") as f:
-                    f.write(content)
-            yield batch[["path"]]
+                    f.write(row["content"])
+            yield batch.select(["path"])
 
-    corpus.select("path", "content").mapInPandas(write, "path string").write.format("noop").mode(
+    corpus.select("path", "content").mapInArrow(write, "path string").write.format("noop").mode(
         "overwrite"
     ).save()
 

@@ -25,6 +25,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def local_path(path: str) -> str:
+    """A path that plain file calls take; it must be mounted on every executor."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return path
+    if scheme != "file":
+        raise ValueError(f"a directory tree needs a mounted file system, not {path}")
+    return "/" + rest.lstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and continue from the written table.
 

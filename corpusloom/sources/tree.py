@@ -13,13 +13,14 @@ import os
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from corpusloom.functions.text import decode_text
 from corpusloom.operators.discover import file_filter
+from corpusloom.session import local_path
 from corpusloom.settings import Settings
 
 # Subtrees the driver looks for before it leaves the walk to the executors.
@@ -96,24 +97,28 @@ class SourceTree(DataSource):
         return _TreeReader(self.options)
 
 
-def _read_contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fill in the bytes of each file, a bounded amount at a time."""
-    columns = ["path", "size_bytes", "raw"]
+    schema = pa.schema([("path", pa.string()), ("size_bytes", pa.int64()), ("raw", pa.binary())])
     rows, held = [], 0
+
+    def flush():
+        return pa.RecordBatch.from_pylist(rows, schema=schema)
+
     for batch in batches:
-        for path, file, size in batch[["path", "file", "size_bytes"]].itertuples(index=False):
+        for row in batch.to_pylist():
             try:
-                with open(file, "rb") as f:
-                    raw = f.read()
+                with open(row.pop("file"), "rb") as f:
+                    row["raw"] = f.read()
             except OSError:
-                raw = None
-            rows.append((path, size, raw))
-            held += size
+                row["raw"] = None
+            rows.append(row)
+            held += row["size_bytes"]
             if held >= _BATCH_BYTES:
-                yield pd.DataFrame(rows, columns=columns)
+                yield flush()
                 rows, held = [], 0
     if rows:
-        yield pd.DataFrame(rows, columns=columns)
+        yield flush()
 
 
 def list_tree(spark: SparkSession, root: str, settings: Settings | None = None) -> DataFrame:
@@ -124,7 +129,7 @@ def list_tree(spark: SparkSession, root: str, settings: Settings | None = None)
         spark.read.format("source_tree")
         .option("excludeDirs", json.dumps(settings.active_exclude_dirs))
         .option("tasks", spark.sparkContext.defaultParallelism)
-        .load(root)
+        .load(local_path(root))
     )
 
 
@@ -137,7 +142,7 @@ def scan_tree(spark: SparkSession, root: str, settings: Settings | None = None)
     wanted = list_tree(spark, root, settings).where(file_filter(settings))
     # The listing may be lopsided; by path it is even, and it is still only names.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    read = wanted.repartition(tasks, "path").mapInPandas(
+    read = wanted.repartition(tasks, "path").mapInArrow(
         _read_contents, "path string, size_bytes bigint, raw binary"
     )
     return read.select("path", "size_bytes", decode_text(F.col("raw")).alias("content"))

@@ -6,7 +6,7 @@ import pytest
 from corpusloom import Settings
 from corpusloom.operators.discover import discover
 from corpusloom.operators.records import rule_based_records
-from corpusloom.session import scratch_path
+from corpusloom.session import local_path, scratch_path
 from corpusloom.sources.replies import good_replies, parse_replies, quarantine
 from corpusloom.sources.sinks import read_records, write_records
 from corpusloom.sources.tables import corpus_from_table
@@ -48,6 +48,13 @@ def test_scan(spark, tree):
     assert "src/test/java/com/acme/FooTest.java" in {r.path for r in with_tests.collect()}
 
 
+def test_paths_of_mounted_folders(spark, tree):
+    assert local_path("/a/b") == local_path("file:/a/b") == local_path("file:///a/b") == "/a/b"
+    with pytest.raises(ValueError):
+        local_path("hdfs://name/a")
+    assert scan_tree(spark, "file://" + tree).count() == 4
+
+
 def test_listing_prunes_folders_and_reads_no_content(spark, tree):
     names = {r.path for r in list_tree(spark, tree).collect()}
     assert "README.md" in names and "pkg/empty.py" in names
