@@ -10,8 +10,8 @@ from corpusloom.functions.text import line_count
 from corpusloom.operators.ranking import global_rank
 from corpusloom.settings import Settings
 
-# Up to here a sorted limit keeps its candidates in one task; beyond, rows are
-# ranked across partitions.
+# Up to here a sorted limit keeps its paths in one task; beyond, paths are ranked
+# across partitions.
 _SORTED_LIMIT = 100_000
 
 
@@ -48,11 +48,13 @@ def discover(
 
 
 def first_files(files: DataFrame, n: int) -> DataFrame:
-    """The first `n` files in path order."""
+    """The first `n` files in path order. Only paths are ordered; texts stay in place."""
+    paths_only = files.select("path")
     if n <= _SORTED_LIMIT:
-        return files.orderBy("path").limit(n)
-    ranked = global_rank(files.select("path"), ["path"]).where(F.col("rank") <= n)
-    return files.join(ranked.select("path"), "path", "left_semi")
+        first = paths_only.orderBy("path").limit(n)
+    else:
+        first = global_rank(paths_only, ["path"]).where(F.col("rank") <= n).select("path")
+    return files.join(first, "path", "left_semi")
 
 
 def require_files(files: DataFrame) -> DataFrame:

@@ -47,4 +47,5 @@ def reported_methods(analyzed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def framework_table(files: DataFrame, keys: list[str]) -> DataFrame:
-    return files.select(*keys, F.explode(rules.frameworks(F.col("content"))).alias("framework"))
+    named = F.transform(rules.frameworks(F.col("content")), lambda f: F.struct(f.alias("framework")))
+    return explode_structs(files.withColumn("_frameworks", named), keys, "_frameworks")

@@ -104,7 +104,9 @@ def analyze_by_rules(
     none = corpus.sparkSession.range(0).selectExpr(
         "id as prompt_tokens", "id as completion_tokens"
     )
-    return _finish(made, made.drop("lines"), none, settings, target, generated_at)
+    # A file whose content could not be read is discovered, but has no record.
+    recorded = made.where("lines is not null").drop("lines")
+    return _finish(made, recorded, none, settings, target, generated_at)
 
 
 def _finish(

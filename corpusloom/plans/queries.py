@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import fixed_values as fv
 from corpusloom.functions import paths
-from corpusloom.functions.text import half_even, line_count, token_count
+from corpusloom.functions.text import explode_structs, half_even, line_count, token_count
 from corpusloom.operators import (
     cache,
     chunk,
@@ -414,7 +414,7 @@ def _part_insights(spark, sf) -> DataFrame:
     parts = F.transform(starts, lambda at, i: F.struct(
         (i + 1).cast("bigint").alias("part"), F.slice("lines", at + 1, F.lit(4)).alias("own")
     ))
-    split = lines.select("path", F.inline(parts))
+    split = explode_structs(lines.withColumn("parts", parts), ["path"], "parts")
     return split.select("path", "part", F.struct(
         F.get("own", F.lit(0)).alias("summary"),
         F.concat(F.lit("role "), (F.col("part") % 3).cast("string")).alias("role"),
@@ -686,7 +686,7 @@ def golden_score(spark, sf):
         F.transform("insight.key_methods", lambda m: m["name"]).alias("names"),
         F.transform("insight.key_methods", lambda m: m["signature"]).alias("signatures"),
     )
-    golden = analyzed.join(table(spark, sf, "labels"), "doc_id")
+    golden = cut(analyzed.join(table(spark, sf, "labels"), "doc_id"))
 
     def changed(field: str) -> Column:
         kept = F.when(F.col("quality") == 0, F.slice(field, F.lit(2), F.lit(100))).otherwise(F.col(field))

@@ -33,6 +33,22 @@ def test_rule_based_run(corpus, small_tree):
         analyze_by_rules(corpus({"a.md": "x"}), Settings(), "t", AT)
 
 
+def test_an_unreadable_file_is_skipped(spark, corpus, small_tree):
+    lost = spark.createDataFrame([("lost.py", 3, None)], corpus({"a": ""}).schema)
+    files = corpus(small_tree).union(lost)
+    run = analyze_by_rules(files, Settings(), "t", AT)
+    assert run.records.count() == 2 and run.statistics.first().files_skipped == 1
+    todo = prepare(files, Settings())
+    assert "lost.py" not in {r.path for r in todo.prompts.collect()}
+    run = complete(todo, reply_to(todo.prompts), Settings(), "t", AT)
+    assert run.records.count() == 2 and run.statistics.first().files_skipped == 1
+
+
+def test_capped_run(corpus):
+    run = analyze_by_rules(corpus({f"f{i}.py": "x" for i in range(9)}), Settings(max_files=4), "t", AT)
+    assert sorted(r.path for r in run.records.collect()) == ["f0.py", "f1.py", "f2.py", "f3.py"]
+
+
 def reply_to(prompts, bad=()):
     ok = json.dumps({"summary": "about", "role": "r", "external_dependencies": ["A"]})
     return prompts.select("path", "part", F.when(
