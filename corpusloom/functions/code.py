@@ -42,20 +42,36 @@ _PARAMS = r"[^()]*+(?:\([^()]*+\)[^()]*+)*+"
 _GENERIC = r"<[^(){};\n]*>"
 _TYPE = rf"(?:{_GENERIC}[ \t]+)?[\w:.]+(?:{_GENERIC})?[\[\]*&?]*"
 
-# Groups: 1 modifiers; 2, 3 name and parameters after a function keyword;
-# 4, 5, 6 type, name and parameters of a typed header that opens a block.
-METHOD_HEADER = (
-    rf"(?md)(?:^|[{{}};])[ \t]*((?:(?:{_MODIFIERS})[ \t]+)*)"
-    rf"(?:(?:def|fun|func|fn|function)[ \t]+(?:\([^)]*\)[ \t]*|{_GENERIC}[ \t]+)?"
+_KEYWORD_FORM = (
+    rf"(?:def|fun|func|fn|function)[ \t]+(?:\([^)]*\)[ \t]*|{_GENERIC}[ \t]+)?"
     rf"([\w.]+)(?:{_GENERIC})?[ \t]*\(({_PARAMS})\)"
-    rf"|({_TYPE})[ \t]+[*&]*(\w+)[ \t]*\(({_PARAMS})\)\s*"
-    r"(?:throws[ \t]+[\w., \t]+|const|noexcept|override)?\s*\{)"
 )
+_TYPED_FORM = (
+    rf"({_TYPE})[ \t]+[*&]*(\w+)[ \t]*\(({_PARAMS})\)\s*"
+    r"(?:throws[ \t]+[\w., \t]+|const|noexcept|override)?\s*\{"
+)
+# In scripts a class method has no type in front, and may have one behind.
+_SCRIPT_FORM = (
+    rf"(?:({_TYPE})[ \t]+)?([\w$#]+)(?:{_GENERIC})?[ \t]*\(({_PARAMS})\)\s*"
+    r"(?::[^{};()\n]*)?\{"
+)
+
+
+def _header(form: str) -> str:
+    start = rf"(?md)(?:^|[{{}};])[ \t]*((?:(?:{_MODIFIERS})[ \t]+)*)"
+    return rf"{start}(?:{_KEYWORD_FORM}|{form})"
+
+
+# Groups: 1 modifiers; 2, 3 name and parameters after a function keyword;
+# 4, 5, 6 type, name and parameters of a header that opens a block.
+METHOD_HEADER = _header(_TYPED_FORM)
+SCRIPT_METHOD_HEADER = _header(_SCRIPT_FORM)
+SCRIPT_LANGUAGES = ["JavaScript", "TypeScript"]
 # A header becomes: \x01 modifiers \x02 name \x02 type \x02 parameters \x03
 HEADER_MARK = "\x01$1\x02$2$5\x02$4\x02$3$6\x03"
 # Statements that look like headers: `else if (..) {`, `new X() {` and the like.
 FALSE_HEADER = (
-    r"\x01([^\x01\x02]*\x02(?:(?:" + "|".join(fv.CONTROL_WORDS) + r")\x02"
+    r"\x01([^\x01\x02]*\x02(?:(?:" + "|".join([*fv.CONTROL_WORDS, "with", "function"]) + r")\x02"
     r"|[^\x01\x02]*\x02(?:new|return|else|throw)\x02))"
 )
 DECISIONS = r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?"
@@ -74,13 +90,23 @@ def code_lines(blanked: Column) -> Column:
     return F.regexp_count(blanked, F.lit(r"(?md)^[^\n\S]*\S")).cast("bigint")
 
 
-def segments(text: Column) -> Column:
-    """array<struct<modifiers, name, type, params, body>>, one element per method."""
-    marked = let(text, lambda t: F.regexp_replace(
-        F.when(contains_any(t, _MARKS), F.translate(t, "".join(_MARKS), "")).otherwise(t),
-        METHOD_HEADER, HEADER_MARK,
-    ))
-    true = F.regexp_replace(marked, FALSE_HEADER, "$1")
+def segments(text: Column, language: Column | None = None) -> Column:
+    """array<struct<modifiers, name, type, params, body>>, one element per method.
+
+    Without a language, only headers with a type or a function keyword count.
+    """
+
+    def mark(t: Column) -> Column:
+        clean = F.when(
+            contains_any(t, _MARKS), F.translate(t, "".join(_MARKS), "")
+        ).otherwise(t)
+        typed = F.regexp_replace(clean, METHOD_HEADER, HEADER_MARK)
+        if language is None:
+            return typed
+        script = F.regexp_replace(clean, SCRIPT_METHOD_HEADER, HEADER_MARK)
+        return F.when(language.isin(SCRIPT_LANGUAGES), script).otherwise(typed)
+
+    true = F.regexp_replace(let(text, mark), FALSE_HEADER, "$1")
     return F.transform(F.slice(F.split(true, _MARKS[0]), 2, _ALL), _segment)
 
 

@@ -17,7 +17,7 @@ from corpusloom.functions.text import explode_structs, half_even
 def with_methods(files: DataFrame) -> DataFrame:
     """Add nloc and `methods`, an array<struct<pos, name, ccn>> in text order."""
     blanked = files.withColumn("_code", code.blank_comments(F.col("content"), F.col("language")))
-    found = blanked.withColumn("_segments", code.segments(F.col("_code")))
+    found = blanked.withColumn("_segments", code.segments(F.col("_code"), F.col("language")))
     return found.withColumns({
         "nloc": code.code_lines(F.col("_code")),
         "methods": F.transform(F.col("_segments"), lambda s, i: F.struct(

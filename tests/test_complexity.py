@@ -81,6 +81,12 @@ def test_languages(spark):
     assert methods(spark, cpp, "C++")[0] == ("main", 2)
     script = "function go(a) {\n  return a ? 1 : 2;\n}\nexport async function late() {\n}\n"
     assert methods(spark, script, "JavaScript") == [("go", 2), ("late", 1)]
+    typed = (
+        "class A {\n  constructor(private x: number) {\n    if (x) { }\n  }\n"
+        "  async load<T>(id: string): Promise<T> {\n    for (;;) { try { } catch (e) { } }\n  }\n"
+        "  get value() { return this.x; }\n}\nfoo(function (a) {\n});\n"
+    )
+    assert methods(spark, typed, "TypeScript") == [("constructor", 2), ("load", 3), ("value", 1)]
 
 
 def test_nloc_leaves_out_blank_and_comment_lines(spark):
