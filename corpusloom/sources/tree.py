@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -23,6 +25,9 @@ from corpusloom.operators.discover import file_filter
 from corpusloom.session import local_path
 from corpusloom.settings import Settings
 
+# What runs on the executors is sent by value: they need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Subtrees the driver looks for before it leaves the walk to the executors.
 _SUBTREES = 512
 # Bytes of file content handed over at a time.
