@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_dedup, mixing, packing, rules, secrets, token_files, word_dedup
+from corpusloom.llm import byte_dedup, jaccard_join, mixing, packing, rules, secrets, token_files, word_dedup
 from corpusloom.llm.tokens import tokenizer_path
 from corpusloom.session import cut, scratch_path
 
@@ -32,6 +32,11 @@ def op1_token_files(spark, sf):
     return token_files.with_start(tokens, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query
+def op2_jaccard_join(spark, sf):
+    return jaccard_join.jaccard_components(table(spark, sf, "documents"), n=3, percent=90)
+
+
 @query
 def op3_suffix_dedup(spark, sf):
     return byte_dedup.dedup(table(spark, sf, "documents"), with_bytes=False)
