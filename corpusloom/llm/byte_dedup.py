@@ -3,8 +3,8 @@
 Suffixes of all texts cannot be sorted in one place, nor need they be: equal windows of
 50 bytes must meet. Each window has an anchor, a 30-byte string chosen by its content alone
 (the place of the smallest 9-byte hash in it, modulo 21). Windows whose anchor only one
-document has are out. For the others, a context of 56 bytes holds 7 windows, and contexts
-meet in buckets by the 44 bytes that all their windows share. A bucket sorts the suffixes
+document has are out. For the others, a context of 60 bytes holds 11 windows, and contexts
+meet in buckets by the 40 bytes that all their windows share. A bucket sorts the suffixes
 of its contexts by the difference cover (see `suffixes`), and compares the 50-byte
 prefixes of adjacent suffixes, byte by byte: no hash decides.
 
@@ -27,9 +27,9 @@ from corpusloom.llm.ship import ship
 
 WINDOW = 50
 _SMALL = 9    # bytes whose hash chooses
-_STEP = 7     # windows of a context
-# Suffixes sorted at once; a bucket over it is sorted in parts that share their first bytes.
-_AT_ONCE = 1 << 20
+_STEP = 11    # windows of a context
+# Symbols sorted at once: a bucket is sorted in parts, in which equal windows stay together.
+_AT_ONCE = 1 << 18
 
 
 def _anchors_of(raw: np.ndarray, offsets: np.ndarray, window: int):
@@ -87,8 +87,8 @@ def method(window: int = WINDOW) -> overlap.Method:
         group = np.cumsum(new) - 1
         first = np.nonzero(new)[0]
         last = np.append(first[1:], len(at)) - 1
-        flags = np.zeros(len(first), np.uint8)
-        np.bitwise_or.at(flags, group, (1 << (at - base[first[group]])).astype(np.uint8))
+        flags = np.zeros(len(first), np.uint16)
+        np.bitwise_or.at(flags, group, (1 << (at - base[first[group]])).astype(np.uint16))
         base, row = base[first], row[first]
         # Only the bytes of windows that are asked for; the rest is zero.
         low, high = at[first], at[last] + window
@@ -120,36 +120,57 @@ def _decide(keys: np.ndarray, flags: np.ndarray, docs: np.ndarray, window: int)
         np.minimum.at(smallest[:, k], code[asks], docs[asks])
     flat = smallest.ravel()
     for part in _parts(distinct):
+        if len(part) * (width + 1) > 4 * _AT_ONCE:
+            _by_ends(distinct, part, smallest)
+            continue
         symbols = np.zeros((len(part), width + 1), np.int64)
         symbols[:, :width] = distinct[part].astype(np.int64) + 2
         symbols[:, width] = 1
-        rank = suffixes.ranks(symbols.ravel(), window)
+        text = symbols.ravel()
+        rank = suffixes.ranks(text, window)
         # Suffixes at which a window starts, in order.
         begin = np.arange(len(part))[:, None] * (width + 1) + np.arange(_STEP)[None, :]
         which = (part[:, None] * _STEP + np.arange(_STEP)[None, :]).ravel()
         used = flat[which] != none
         begin, which = begin.ravel()[used], which[used]
-        order = np.argsort(rank[begin], kind="stable")
+        order = np.argsort(rank[begin])
         begin, which = begin[order], which[order]
         if not len(which):
             continue
-        text = symbols.ravel()
-        same = np.ones(len(begin) - 1, bool)
+        # Adjacent prefixes, compared symbol by symbol while they agree.
+        pair = np.arange(len(begin) - 1)
         for k in range(window):
-            pair = np.nonzero(same)[0]
-            same[pair] = text[begin[pair] + k] == text[begin[pair + 1] + k]
-        group = np.concatenate([[0], np.cumsum(~same)])
-        starts = np.nonzero(np.diff(group, prepend=-1))[0]
-        flat[which] = np.minimum.reduceat(flat[which], starts)[group]
-    told = np.zeros(len(keys), np.uint8)
+            pair = pair[text[begin[pair] + k] == text[begin[pair + 1] + k]]
+        new = np.ones(len(begin), bool)
+        new[pair + 1] = False
+        starts = np.nonzero(new)[0]
+        flat[which] = np.minimum.reduceat(flat[which], starts)[np.cumsum(new) - 1]
+    told = np.zeros(len(keys), np.uint16)
     for k in range(_STEP):
-        told |= (((flags >> k) & 1) * (smallest[code, k] < docs)).astype(np.uint8) << k
+        told |= (((flags >> k) & 1) * (smallest[code, k] < docs)).astype(np.uint16) << k
     return told
 
 
+def _by_ends(distinct: np.ndarray, part: np.ndarray, smallest: np.ndarray) -> None:
+    """For very many contexts with the same shared bytes: windows at one place are equal
+    if the few bytes before and after those are, and the rest of the context is not asked."""
+    width = distinct.shape[1]
+    for k in range(_STEP):
+        ends = np.zeros((len(part), 16), np.uint8)
+        ends[:, :_STEP - 1 - k] = distinct[part, k:_STEP - 1]
+        ends[:, _STEP - 1 - k:_STEP - 1] = distinct[part, width - _STEP + 1:width - _STEP + 1 + k]
+        packed = ends.view(np.uint64)
+        order = np.lexsort((packed[:, 1], packed[:, 0]))
+        new = np.ones(len(order), bool)
+        new[1:] = (packed[order][1:] != packed[order][:-1]).any(axis=1)
+        values = smallest[part[order], k]
+        least = np.minimum.reduceat(values, np.nonzero(new)[0])[np.cumsum(new) - 1]
+        smallest[part[order], k] = np.where(values == np.iinfo(np.int64).max, values, least)
+
+
 def _parts(distinct: np.ndarray) -> Iterator[np.ndarray]:
     """Row numbers of contexts that are sorted together: those with equal shared bytes
-    stay together, unless they alone are more than is sorted at once."""
+    stay together, also where they alone are more than is sorted at once."""
     width = distinct.shape[1]
     most = max(1, _AT_ONCE // (width + 1))
     core = np.ascontiguousarray(distinct[:, _STEP - 1:width - _STEP + 1])
@@ -185,8 +206,8 @@ def dedup(
             for k, (places, flags) in enumerate(zip(
                 batch.column("places").to_pylist(), batch.column("flags").to_pylist(), strict=True
             )):
-                base = np.frombuffer(b"".join(places), "<u4").astype(np.int64) - _STEP + offsets[k]
-                bits = np.frombuffer(b"".join(flags), np.uint8)
+                base = np.frombuffer(places, "<u4").astype(np.int64) - _STEP + offsets[k]
+                bits = np.frombuffer(flags, np.uint16)
                 starts += [base[bits >> j & 1 == 1] + j for j in range(_STEP)]
             removed = arrays.covered(np.concatenate(starts), window, len(raw))
             found = []

@@ -15,18 +15,18 @@ member, so only groups that reach the bound are opened, and members are compared
    found join groups: the groups of the matrix are the components so far.
 4. The matrix has a row per token and group, for prefix tokens. Tokens of one group alone
    are out: every pair within a group is linked already. A class asks the other groups
-   that hold its token. Its overlap with a group's union is at most the tokens after its
-   prefix and those of its prefix that the union has, and must reach what a partner needs
-   (of a prefix so long: one token), and the lengths must be able to match. It is then
-   compared with the members of those groups that hold a common token.
+   that hold its token. What it has in common with a group's union bounds its overlap with
+   every member: of a pair, all common tokens but those after the end of one prefix are in
+   both prefixes. Groups that reach what a partner of their lengths needs are opened: the
+   bound is made exact for each member, and members that reach it are compared whole.
 
 A group may hold most documents, and nothing gathers it: pivots are compared one pair at a
 time, the matrix has one row for it per token, and pairs within it are not made.
 
 Words are runs of characters other than space and 0x09 to 0x0D, with A-Z lower-cased. A
 text with fewer words than a shingle is one shingle; a text without words, or null, has no
-tokens and no partner. A null id has no partner either and no component. Rows with equal
-ids are one document if their texts are equal, and linked as one id otherwise.
+tokens and no partner. A null id has no partner either and no component. Repeated rows
+are one document. Where one id has several texts, any one of them stands for the id.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import arrays, pages
@@ -97,12 +97,26 @@ def common_cells(docs: DataFrame, text: str, n: int) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(table)
 
 
+def _own_needs(n: Column, percent: int) -> Column:
+    """As `_needed`, in Spark."""
+    return F.floor((n * percent + 99) / 100)
+
+
+def _pair_needs(a: Column, b: Column, percent: int) -> Column:
+    """Least overlap of a linked pair of sets of these sizes."""
+    return F.floor(((a + b) * percent + 99 + percent) / (100 + percent))
+
+
 def _needed(n: np.ndarray, percent: int) -> np.ndarray:
     """Least overlap with any partner: ceil(percent / 100 * n)."""
     return -(-n * percent // 100)
 
 
-SETS = "doc bigint, n bigint, digest bigint, digest2 bigint, minima array<bigint>, rare bigint, prefix array<bigint>"
+# last_level, last: where the prefix ends in the order of all tokens.
+SETS = (
+    "doc bigint, n bigint, digest bigint, digest2 bigint, minima array<bigint>, rare bigint, "
+    "last_level int, last bigint, prefix array<bigint>"
+)
 
 
 def _sets(docs: DataFrame, n: int, percent: int, levels: Broadcast) -> DataFrame:
@@ -122,16 +136,19 @@ def _sets(docs: DataFrame, n: int, percent: int, levels: Broadcast) -> DataFrame
                 (digests if k < 2 else minima).append(out.view(np.int64))
             level = levels.value[_cell(tokens)]
             rare = np.bincount(owner[level == 0], minlength=len(sizes))
-            order = np.lexsort((tokens, level, owner))
+            order = np.lexsort((tokens.view(np.int64), level, owner))
             keep = np.where(sizes > 0, sizes - _needed(sizes, percent) + 1, 0)
             first = arrays.ranges(sizes) < np.repeat(keep, sizes)
             prefix = tokens[order][first].view(np.int64)
+            ends = np.cumsum(keep)
+            last = np.where(sizes > 0, prefix[ends - 1], 0) if len(prefix) else np.zeros(len(sizes), np.int64)
+            last_level = np.where(sizes > 0, level[order][first][ends - 1], 0) if len(prefix) else np.zeros(len(sizes))
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc"), pa.array(sizes, pa.int64()), *map(pa.array, digests),
                 pa.ListArray.from_arrays(np.arange(0, MINIMA * len(sizes) + 1, MINIMA, dtype=np.int32),
                                          np.stack(minima, axis=1).ravel()),
-                pa.array(rare, pa.int64()),
-                pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32), prefix),
+                pa.array(rare, pa.int64()), pa.array(last_level.astype(np.int32)), pa.array(last),
+                pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), prefix),
             ], names=[x.split()[0] for x in SETS.split(", ")])
 
     return docs.mapInArrow(run, SETS)
@@ -139,7 +156,7 @@ def _sets(docs: DataFrame, n: int, percent: int, levels: Broadcast) -> DataFrame
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of documents whose similarity reaches the threshold, compared
-    exactly. `texts` (doc, text) has one row per document; only those in pairs move. The
+    exactly. Of `texts` (doc, text) only those in pairs move. The
     first of a pair may be in very many, so pairs of one are dealt to several tasks."""
     spark = texts.sparkSession
     wide = pages.partitions(spark)
@@ -147,7 +164,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(16)).cast("int"))
     members = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
     # Documents in pairs, once, in storage: both sides take their texts from there.
-    held = cut(pages.filtered(texts, members, "doc").join(members, "doc"))
+    held = cut(pages.filtered(texts, members, "doc").join(members, "doc").dropDuplicates(["doc"]))
     first = dealt.select("a", "part").distinct().join(held, F.col("a") == F.col("doc")).select(
         "a", "part", F.lit(None).cast("bigint").alias("b"), "text")
     second = dealt.join(held, F.col("b") == F.col("doc")).select("a", "part", "b", "text")
@@ -193,7 +210,7 @@ def jaccard_components(
     members = cut(full.select("doc", "n", "digest", "digest2").join(firsts, ["n", "digest", "digest2"]).select(
         "doc", "first").distinct())
     standing = full.join(members.where("doc = first").select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
-    texts = rows.where("doc is not null").dropDuplicates(["doc", "text"])
+    texts = rows.where("doc is not null")
 
     # Pivots: within each group of a common minimum, the class with the fewest rare tokens.
     minima = standing.select("doc", "n", "rare", F.posexplode("minima").alias("which", "least"))
@@ -203,38 +220,42 @@ def jaccard_components(
     ).where("size > 1")
     near = F.least("n", "an") * 100 >= F.greatest("n", "an") * percent
     stars = minima.join(pivots, ["which", "least"]).where(near & (F.col("a") != F.col("doc")))
-    # Two minima in common, of four, as most similar pairs have; the matrix finds the others.
-    close = stars.groupBy("a", F.col("doc").alias("b")).agg(F.count("*").alias("agree")).where("agree >= 2")
+    # Three minima of four in common, as most similar pairs have; the matrix finds the others.
+    close = stars.groupBy("a", F.col("doc").alias("b")).agg(F.count("*").alias("agree")).where("agree >= 3")
     links = cut(_verified(close.select("a", "b"), texts, n, percent))
     groups = components(links)
 
     # The matrix: prefix tokens that more than one group holds.
-    tokens = standing.select("doc", "n", F.explode("prefix").alias("token"))
+    tokens = standing.select("doc", F.explode("prefix").alias("token"))
     grouped = tokens.join(groups.withColumnRenamed("id", "doc"), "doc", "left").select(
-        "token", "doc", "n", F.coalesce("component", "doc").alias("group"))
+        "token", "doc", F.coalesce("component", "doc").alias("group"))
     shared = grouped.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
-    matrix = cut(grouped.join(shared.select("token"), "token", "left_semi"))
+    sizes = standing.select("doc", "n", F.struct("last_level", "last").alias("last"))
+    matrix = cut(grouped.join(shared.select("token"), "token", "left_semi").join(sizes, "doc"))
     unions = matrix.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asked = matrix.alias("q").join(unions.alias("g"), "token").where(
-        (F.col("q.group") > F.col("g.group"))
-        & (F.col("g.most") * 100 >= F.col("q.n") * percent) & (F.col("q.n") * 100 >= F.col("g.least") * percent)
-    ).select("token", F.col("q.doc").alias("b"), F.col("q.n").alias("bn"), F.col("g.group").alias("group"))
-    opened = asked.join(
-        matrix.select("token", "group", F.col("doc").alias("a"), F.col("n").alias("an")), ["token", "group"]
-    ).where(F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent)
-    pairs = opened.select("a", "b").distinct()
+    asked = matrix.select("token", F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("last").alias("blast"),
+                          F.col("group").alias("own")).join(unions, "token").where("own > group")
+    # The lengths that can match, and what both ends of that range need (it is least there).
+    low = F.greatest("least", F.ceil(F.col("bn") * percent / 100))
+    high = F.least("most", F.floor(F.col("bn") * 100 / percent))
+    bound = asked.groupBy("b", "bn", "group").agg(
+        F.min("least").alias("least"), F.max("most").alias("most"), F.count("*").alias("common")
+    ).where(low <= high).where(F.col("common") >= F.least(*[
+        _pair_needs(F.col("bn"), x, percent) - F.greatest(_own_needs(F.col("bn"), percent), _own_needs(x, percent)) + 1
+        for x in (low, high)
+    ])).select("b", "group")
+    opened = asked.select("token", "b", "bn", "blast", "group").join(bound, ["b", "group"]).join(
+        matrix.select("token", "group", F.col("doc").alias("a"), F.col("n").alias("an"), F.col("last").alias("alast")),
+        ["token", "group"])
+    after = F.when(F.col("alast") <= F.col("blast"), _own_needs(F.col("an"), percent)).otherwise(
+        _own_needs(F.col("bn"), percent)) - 1
+    pairs = opened.groupBy("a", "b", "an", "bn", "alast", "blast").agg(F.count("*").alias("common")).where(
+        F.col("common") + after >= _pair_needs(F.col("an"), F.col("bn"), percent)).select("a", "b")
     more = _verified(pairs, texts, n, percent)
     found = components(cut(links.unionByName(more)))
 
-    # Rows with one id and several texts are in several classes, which the id links.
-    classes = members.join(found.select(F.col("id").alias("first"), "component"), "first", "left").select(
-        "doc", F.coalesce("component", "first").alias("component"))
-    several = classes.groupBy("doc").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    same = components(several.where("low < high").select(F.col("low").alias("a"), F.col("high").alias("b")))
-    final = several.select("doc", F.col("low").alias("component")).join(
-        same.select(F.col("id").alias("component"), F.col("component").alias("joined")), "component", "left"
-    ).select("doc", F.coalesce("joined", "component").alias("component"))
-    # The smallest id of a component may stand for no class of its own, but is in one.
+    final = members.join(found.select(F.col("id").alias("first"), "component"), "first", "left").groupBy("doc").agg(
+        F.min(F.coalesce("component", "first")).alias("component"))
     return sets.select("doc", "n").join(final, "doc", "left").select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
         F.coalesce("component", "doc").alias("component_id"),

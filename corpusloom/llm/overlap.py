@@ -28,6 +28,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ from corpusloom.session import cut
 PAGE = (
     "bucket int, settled boolean, docs binary, tags binary, keys binary, rows binary, places binary, flags binary"
 )
+# Answers for many documents: their rows lie one after another.
+TOLD = "bucket int, docs binary, tags binary, counts binary, places binary, flags binary"
 ANSWER = "doc bigint, tag bigint, places binary, flags binary"
 
 
@@ -47,7 +50,7 @@ class Contexts:
     bucket: np.ndarray  # hash of what all equal windows share
     row: np.ndarray
     place: np.ndarray
-    flags: np.ndarray   # uint8: windows of the context that are asked for
+    flags: np.ndarray   # uint16: windows of the context that are asked for
 
 
 @dataclass(frozen=True)
@@ -83,10 +86,54 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
         [pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _answers(docs, tags, row, place, flags) -> Iterator[tuple]:
-    """Rows of ANSWER, one per document."""
-    for k, places, bits in pages.split_by(row, len(docs), place, flags):
-        yield int(docs[k]), int(tags[k]), places.astype("<u4").tobytes(), bits.tobytes()
+class _Answers:
+    """What a task tells documents, as one page per bucket of documents."""
+
+    def __init__(self, n_buckets: int):
+        self.n, self.parts = n_buckets, []
+
+    def add(self, docs, tags, row, place, flags) -> None:
+        self.parts.append((docs[row], tags[row], place.astype("<u4"), flags))
+
+    def batch(self) -> pa.RecordBatch:
+        out = []
+        if self.parts:
+            doc, tag, place, flags = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            order = np.lexsort((tag, doc))
+            doc, tag, place, flags = doc[order], tag[order], place[order], flags[order]
+            bucket = (arrays.mix(doc.view(np.uint64) ^ tag.view(np.uint64)) >> np.uint64(33)).astype(np.int64) % self.n
+            for b, d, t, p, f in pages.split_by(bucket, self.n, doc, tag, place, flags):
+                new = np.ones(len(d), bool)
+                new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
+                starts = np.nonzero(new)[0]
+                counts = np.diff(np.append(starts, len(d))).astype("<u4")
+                out.append((b, d[starts].tobytes(), t[starts].tobytes(), counts.tobytes(), p.tobytes(), f.tobytes()))
+        return _batch(out, TOLD)
+
+
+def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document from the pages of its bucket."""
+    for table in pages.grouped(batches, "bucket"):
+        docs, tags = (np.concatenate(pages.values(table, c, np.int64)) for c in ("docs", "tags"))
+        counts = np.concatenate(pages.values(table, "counts", "<u4")).astype(np.int64)
+        places = np.concatenate(pages.values(table, "places", "<u4"))
+        flags = np.concatenate(pages.values(table, "flags", np.uint16))
+        doc, tag = np.repeat(docs, counts), np.repeat(tags, counts)
+        order = np.lexsort((tag, doc))
+        doc, tag = doc[order], tag[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
+        starts = np.nonzero(new)[0]
+        ends = np.append(starts[1:], len(doc))
+        raw, bits = memoryview(places[order].tobytes()), memoryview(flags[order].tobytes())
+        yield _batch([
+            (int(doc[a]), int(tag[a]), raw[4 * a:4 * b].tobytes(), bits[2 * a:2 * b].tobytes())
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True)
+        ], ANSWER)
+
+
+def _gathered(told: DataFrame) -> DataFrame:
+    return pages.by_bucket(told).mapInArrow(_per_document, ANSWER)
 
 
 def _runs(order: np.ndarray, *sorted_keys: np.ndarray) -> np.ndarray:
@@ -115,12 +162,12 @@ def _anchor_pages(method: Method, n_buckets: int):
             out = []
             if shared.any():
                 out.append(_page(next(turn) % n_buckets, True, docs, tags, row[shared], place[shared],
-                                 flags=np.ones(int(shared.sum()), np.uint8)))
+                                 flags=np.ones(int(shared.sum()), np.uint16)))
             # All places of an anchor of one document; of a shared one, a single entry.
             first = np.zeros(len(hashes), bool)
             first[starts] = True
             sent = np.nonzero(~shared | first)[0]
-            h, known = hashes[sent], shared[sent].astype(np.uint8)
+            h, known = hashes[sent], shared[sent].astype(np.uint16)
             for b, hb, rb, pb, kb in pages.split_by(
                 (h >> np.uint64(33)).astype(np.int64) % n_buckets, n_buckets, h, row[sent], place[sent], known
             ):
@@ -130,12 +177,12 @@ def _anchor_pages(method: Method, n_buckets: int):
     return run
 
 
-def _settled(table: pa.Table) -> Iterator[tuple]:
+def _add_settled(out: _Answers, table: pa.Table) -> None:
     docs, tags, rows, places, flags = (
         pages.values(table, c, t) for c, t in
-        (("docs", np.int64), ("tags", np.int64), ("rows", "<u4"), ("places", "<u4"), ("flags", np.uint8)))
+        (("docs", np.int64), ("tags", np.int64), ("rows", "<u4"), ("places", "<u4"), ("flags", np.uint16)))
     for d, t, r, p, f in zip(docs, tags, rows, places, flags, strict=True):
-        yield from _answers(d, t, r, p, f)
+        out.add(d, t, r, p, f)
 
 
 def _joined_pages(table: pa.Table):
@@ -145,20 +192,19 @@ def _joined_pages(table: pa.Table):
     base = np.cumsum([0, *sizes[:-1]])
     row = np.concatenate([r.astype(np.int64) + b for r, b in zip(pages.values(table, "rows", "<u4"), base, strict=True)])
     place = np.concatenate(pages.values(table, "places", "<u4"))
-    return docs, tags, row, place, np.concatenate(pages.values(table, "flags", np.uint8))
+    return docs, tags, row, place, np.concatenate(pages.values(table, "flags", np.uint16))
 
 
 def _split_settled(table: pa.Table) -> tuple[pa.Table, pa.Table]:
     mask = table.column("settled")
-    return table.filter(mask), table.filter(pa.compute.invert(mask))
+    return table.filter(mask), table.filter(pc.invert(mask))
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import pyarrow.compute  # noqa: F401
-
+def _shared_anchors(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
     for table in pages.grouped(batches, "bucket"):
         settled, asked = _split_settled(table)
-        out = list(_settled(settled))
+        out = _Answers(n_buckets)
+        _add_settled(out, settled)
         if asked.num_rows:
             hashes = np.concatenate(pages.values(asked, "keys", np.uint64))
             docs, tags, row, place, known = _joined_pages(asked)
@@ -170,8 +216,8 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             ends = np.append(starts[1:], len(hashes)) - 1
             shared = (row[starts] != row[ends]) | (np.maximum.reduceat(known, starts) > 0)
             told = shared[run_of] & (known == 0)
-            out += _answers(docs, tags, row[told], place[told], np.ones(int(told.sum()), np.uint8))
-        yield _batch(out, ANSWER)
+            out.add(docs, tags, row[told], place[told], np.ones(int(told.sum()), np.uint16))
+        yield out.batch()
 
 
 def _context_pages(method: Method, n_buckets: int):
@@ -182,15 +228,14 @@ def _context_pages(method: Method, n_buckets: int):
             batch = batch.sort_by([("doc", "ascending")])
             docs, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
             raw, offsets = arrays.text_bytes(batch.column("text"))
-            lists = [[np.frombuffer(p, "<u4") for p in x] for x in batch.column("places").to_pylist()]
-            places = [np.unique(np.concatenate(x)) for x in lists]
+            places = [np.unique(np.frombuffer(x, "<u4")) for x in batch.column("places").to_pylist()]
             owner = np.repeat(np.arange(len(places)), [len(p) for p in places])
             found = method.contexts(raw, offsets, owner, np.concatenate(places).astype(np.int64))
             if not len(found.row):
                 continue
             width = method.key_width
-            whole = np.concatenate([found.keys, found.flags[:, None]], axis=1)
-            packed = np.ascontiguousarray(whole).view(f"V{width + 1}").ravel()
+            whole = np.concatenate([found.keys, found.flags[:, None].view(np.uint8)], axis=1)
+            packed = np.ascontiguousarray(whole).view(f"V{width + 2}").ravel()
             code = fixed_width(packed).dictionary_encode().indices.to_numpy()
             # Contexts come by row, and rows by id.
             first = np.full(int(code.max()) + 1, len(code))
@@ -211,20 +256,19 @@ def _context_pages(method: Method, n_buckets: int):
     return run
 
 
-def _decided(method: Method):
+def _decided(method: Method, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         for table in pages.grouped(batches, "bucket"):
             settled, asked = _split_settled(table)
-            out = list(_settled(settled))
+            out = _Answers(n_buckets)
+            _add_settled(out, settled)
             if asked.num_rows:
                 keys = np.concatenate(pages.values(asked, "keys", np.uint8)).reshape(-1, method.key_width)
                 docs, tags, row, place, flags = _joined_pages(asked)
                 told = method.decide(keys, flags, docs[row])
                 at = np.nonzero(told)[0]
-                out += _answers(docs, tags, row[at], place[at], told[at])
-            yield _batch(out, ANSWER)
+                out.add(docs, tags, row[at], place[at], told[at])
+            yield out.batch()
 
     return run
 
@@ -239,7 +283,7 @@ def repeated_windows(rows: DataFrame, method: Method, buckets_factor: int = 4) -
     """(classes, answers) of `keyed` rows.
 
     classes: doc, tag, first of every row with an id: the smallest id with its text.
-    answers: doc, tag and lists of `places` and `flags` for documents that stand for
+    answers: doc, tag, `places` and `flags` for documents that stand for
     their class and have windows that also start in a document with a smaller id.
     """
     spark = rows.sparkSession
@@ -251,8 +295,7 @@ def repeated_windows(rows: DataFrame, method: Method, buckets_factor: int = 4) -
 
     n = pages.partitions(spark)
     anchors = pages.by_bucket(named.mapInArrow(_anchor_pages(method, n), PAGE))
-    shared = anchors.mapInArrow(_shared_anchors, ANSWER)
-    per_doc = shared.groupBy("doc", "tag").agg(F.collect_list("places").alias("places"))
+    per_doc = _gathered(anchors.mapInArrow(lambda batches: _shared_anchors(batches, n), TOLD))
     standing = classes.where("doc = first").select("doc", "tag").distinct()
     asked = cut(per_doc.join(standing, ["doc", "tag"]))
     texts = pages.filtered(named, asked, "tag").dropDuplicates(["doc", "tag"])
@@ -260,9 +303,7 @@ def repeated_windows(rows: DataFrame, method: Method, buckets_factor: int = 4) -
 
     m = n * buckets_factor
     contexts = pages.by_bucket(wanted.mapInArrow(_context_pages(method, m), PAGE))
-    decided = contexts.mapInArrow(_decided(method), ANSWER)
-    answers = cut(decided.groupBy("doc", "tag").agg(
-        F.collect_list("places").alias("places"), F.collect_list("flags").alias("flags")))
+    answers = cut(_gathered(contexts.mapInArrow(_decided(method, n), TOLD)))
     return classes, answers
 
 

@@ -60,7 +60,7 @@ def method(window: int = WINDOW) -> overlap.Method:
         keys = np.concatenate([
             one[:, None].view(np.uint8).reshape(-1, 8),
             two.astype(np.uint32)[:, None].view(np.uint8).reshape(-1, 4)], axis=1)
-        return overlap.Contexts(keys, one, row, at - rows[row], np.ones(len(at), np.uint8))
+        return overlap.Contexts(keys, one, row, at - rows[row], np.ones(len(at), np.uint16))
 
     return overlap.Method(anchors, contexts, _decide, 12)
 
@@ -73,7 +73,7 @@ def _decide(keys: np.ndarray, flags: np.ndarray, docs: np.ndarray) -> np.ndarray
     new = np.ones(len(order), bool)
     new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
     smallest = ranked[np.nonzero(new)[0]][np.cumsum(new) - 1]
-    told = np.zeros(len(order), np.uint8)
+    told = np.zeros(len(order), np.uint16)
     told[order] = ranked > smallest
     return told
 
@@ -117,7 +117,7 @@ def dedup(
         for batch in arrays.slices(batches, "text"):
             raw, offsets = arrays.text_bytes(batch.column("text"))
             _, _, word_rows = arrays.words(raw, offsets)
-            starts = [np.unique(np.frombuffer(b"".join(p), "<u4")) + word_rows[k]
+            starts = [np.unique(np.frombuffer(p, "<u4")) + word_rows[k]
                       for k, p in enumerate(batch.column("places").to_pylist())]
             removed = arrays.covered(np.concatenate(starts).astype(np.int64), window, int(word_rows[-1]))
             yield _rows(batch, [(n, r, content(t)) for n, r, t in _kept_words(raw, offsets, removed)])
