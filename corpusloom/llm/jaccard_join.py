@@ -46,7 +46,7 @@ from corpusloom.session import cut
 
 MINIMA = 4
 # Cells of the count of common tokens: a fixed size.
-CELL_BITS = 22
+CELL_BITS = 20
 # A cell that a task counts so often, and four times as often as the mean, is common.
 OFTEN = 8
 

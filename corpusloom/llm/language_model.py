@@ -6,8 +6,8 @@ softmax that is factored into classes of words and words within a class. It is t
 truncated backpropagation: each task runs through windows of its training documents, and
 rounds of tasks start from the mean of the parameters of the round before, weighted by
 tokens. Scoring carries the state across windows, so a document's likelihood is that of its
-whole text. A word outside the vocabulary costs the class of unknown words times its
-add-one unigram share, so scores are comparable over texts.
+whole text. A word outside the vocabulary costs the class of unknown words times its share of
+the add-one unigram probability outside, so probabilities sum to one.
 
 Counts: distinct words of a slice are counted before the shuffle. To score, words that are
 not among the frequent ones of the broadcast table (a fixed number) are joined with the
@@ -373,8 +373,10 @@ def score(
             shares = np.where(seen, known_log[np.maximum(place, 0)] if len(known_log) else 0.0, 0.0)
             base = np.bincount(owner, weights=shares, minlength=batch.num_rows)
             model_score = score_texts(lex, p, ids, ends) / np.log(10)
-            # An unknown word: its class, then its add-one share.
+            # An unknown word: its class, then its share of what the vocabulary leaves.
             outside = ids == lex.unknown
+            mass = 1 - float(((lex.counts[:lex.size] + 1) / total).sum())
+            model_score = model_score - np.bincount(owner, weights=outside, minlength=batch.num_rows) * np.log10(mass)
             model_score = model_score + np.bincount(owner, weights=np.where(outside, shares, 0.0), minlength=batch.num_rows)
             is_end = np.zeros(len(ids), bool)
             is_end[ends[1:] - 1] = True

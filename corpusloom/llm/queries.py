@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_dedup, jaccard_join, mixing, packing, rules, secrets, token_files, word_dedup
+from corpusloom.llm import byte_dedup, jaccard_join, language_model, mixing, packing, rules, secrets, token_files, vectors, word_dedup
 from corpusloom.llm.tokens import tokenizer_path
 from corpusloom.session import cut, scratch_path
 
@@ -76,12 +76,29 @@ def op6_quality_rules(spark, sf):
     )
 
 
+@query
+def op7_embedding_dedup(spark, sf):
+    return vectors.near_duplicates(table(spark, sf, "embeddings"))
+
+
 @query
 def op8_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), tokenizer_path(), with_ids=False)
 
 
+@query
+def op9_language_model(spark, sf):
+    return language_model.score(table(spark, sf, "documents"))
+
+
 @query
 def op10_mixing(spark, sf):
     mixed = mixing.mix(table(spark, sf, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query
+def pipeline(spark, sf):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)

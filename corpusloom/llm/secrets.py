@@ -132,11 +132,15 @@ def scan_new(
 def findings_of(history: DataFrame, ledger: DataFrame, keep: list[str], versions=VERSIONS) -> DataFrame:
     """`keep` columns of every path and version, and `spans`: all that its blob holds, by
     start and then kind as listed."""
-    known = ledger.where(F.col("version").isin(*versions)).where(F.size("spans") > 0)
-    per_blob = known.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    joined = history.join(per_blob, "blob", "left")
+    joined = history.join(spans_by_blob(ledger, versions), "blob", "left")
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
-    return joined.select(*keep, F.array_sort(F.coalesce("spans", none)).alias("spans"))
+    return joined.select(*keep, F.coalesce("spans", none).alias("spans"))
+
+
+def spans_by_blob(ledger: DataFrame, versions=VERSIONS) -> DataFrame:
+    """(blob, spans) of the blobs that hold something, in the order of listing."""
+    known = ledger.where(F.col("version").isin(*versions)).where(F.size("spans") > 0)
+    return known.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def listed(spans: Column) -> Column:

@@ -106,7 +106,7 @@ def near_duplicates(
                            F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     good = good.where(F.size("v") == width["width"])
     classes = good.groupBy("h", "v").agg(F.min("id").alias("first"), F.count("*").alias("members"))
-    classes = cut(classes.select("first", "v", "members", F.row_number_free() if False else F.xxhash64("v").alias("order")))
+    classes = cut(classes.select("first", "v", "members", F.xxhash64("v").alias("order")))
     # Bounded: the smallest digests.
     learnt = _matrix(classes.orderBy("order", "first").limit(sample).select("v").toArrow().column("v"))
     learnt = learnt / np.linalg.norm(learnt, axis=1, keepdims=True)
