@@ -42,7 +42,7 @@ FREQUENT = 1 << 17
 CLASSES = 64
 HIDDEN = 24
 #: Steps between truncations, lanes trained side by side, rounds.
-STEPS, LANES, ROUNDS = 16, 64, 2
+STEPS, LANES, ROUNDS = 16, 256, 2
 #: Of the windows of a training document, one in so many is learnt from in each round.
 EVERY = 16
 RATE = 0.05

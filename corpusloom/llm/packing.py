@@ -133,7 +133,7 @@ def pack(
             fields = [[] for _ in range(7)]
             return batch
 
-        for batch in slices(batches, "t", 16 << 20):
+        for batch in slices(batches, "t", 4 << 20):
             ids, offsets = encode(batch.column("t"), end_id)
             raw = memoryview(ids.astype("<u4").tobytes())
             ends = offsets.tolist()

@@ -20,7 +20,7 @@ from corpusloom.llm.arrays import ranges
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 # Distinct words kept in a Python worker; beyond it the memory is emptied.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 600_000
 # A word of these goes to the tokenizer's model piece by piece.
 _PLAIN = re.compile(r"[!-;=-~]+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
