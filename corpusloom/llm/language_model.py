@@ -254,11 +254,21 @@ def _sequence(lex: Lexicon, words: pa.Array, offsets: np.ndarray) -> tuple[np.nd
     return place, ids, offsets + np.arange(len(offsets))
 
 
+def _start_from_counts(p: Params, lex: Lexicon) -> None:
+    """Biases of the output such that the untrained model is about the unigram model."""
+    share = (lex.counts[:lex.size] + 1) / (lex.tokens + lex.distinct + 1)
+    share = np.append(share, max(1e-9, 1 - share.sum()))
+    per_class = np.bincount(lex.of_class, weights=share)
+    p.c[-1] = np.log(per_class)
+    p.w[lex.of_class, -1, lex.in_class] = np.log(share / per_class[lex.of_class])
+
+
 def train(rows: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Params:
     """Parameters after `rounds` rounds over the training rows. A task sends its parameters
     as blocks, which Spark averages; the driver gets the mean, whose size is fixed."""
     spark = rows.sparkSession
     p = initial(lex.size + 1, int(lex.sizes.max()), len(lex.sizes), HIDDEN)
+    _start_from_counts(p, lex)
     schema = "block int, tokens bigint, weights array<float>"
 
     for turn in range(rounds):
