@@ -49,7 +49,8 @@ def golden_scores(actual: DataFrame, golden: DataFrame) -> DataFrame:
 
     Both sides: (path, role, summary, names, signatures). Faithful: reported names
     are in the golden list. Complete: golden names are reported. Exact: signatures of
-    the golden list are reported as they are. Role: role and summary are right.
+    the golden list are reported as they are. Role: role and summary are right. A golden
+    file without a record has 0 points everywhere.
     """
     g = golden.select("path", *[
         F.col(c).alias(f"golden_{c}") for c in ("role", "summary", "names", "signatures")
@@ -58,13 +59,16 @@ def golden_scores(actual: DataFrame, golden: DataFrame) -> DataFrame:
     exact = F.size(F.array_intersect("signatures", "golden_signatures"))
     role = (F.col("role") == F.col("golden_role")).cast("bigint")
     summary = (F.col("summary") == F.col("golden_summary")).cast("bigint")
-    return actual.join(g, "path").select(
-        "path",
-        _points(shared, F.size(F.array_distinct("names"))).alias("faithfulness"),
-        _points(shared, F.size(F.array_distinct("golden_names"))).alias("completeness"),
-        _points(exact, F.size(F.array_distinct("golden_signatures"))).alias("signature_accuracy"),
-        (role + summary).alias("role_summary"),
-    )
+    points = {
+        "faithfulness": _points(shared, F.size(F.array_distinct("names"))),
+        "completeness": _points(shared, F.size(F.array_distinct("golden_names"))),
+        "signature_accuracy": _points(exact, F.size(F.array_distinct("golden_signatures"))),
+        "role_summary": role + summary,
+    }
+    recorded = actual.withColumn("_recorded", F.lit(True))
+    return g.join(recorded, "path", "left").select("path", *[
+        F.when(F.col("_recorded"), value).otherwise(0).cast("bigint").alias(name) for name, value in points.items()
+    ])
 
 
 DIMENSIONS = ["faithfulness", "completeness", "signature_accuracy", "role_summary"]
@@ -82,10 +86,11 @@ def golden_gate(scores: DataFrame, threshold: float) -> DataFrame:
 
 def snapshot_diff(current: DataFrame, earlier: DataFrame) -> DataFrame:
     """(path, status): new, deleted, changed or unchanged, from (path, key) tables."""
-    now = current.select("path", F.col("key").alias("now"))
-    then = earlier.select("path", F.col("key").alias("then"))
+    now = current.select("path", F.col("key").alias("now"), F.lit(True).alias("is_now"))
+    then = earlier.select("path", F.col("key").alias("then"), F.lit(True).alias("was_then"))
+    # A path without a key is there all the same: its content could not be read.
     status = (
-        F.when(F.col("then").isNull(), "new").when(F.col("now").isNull(), "deleted")
-        .when(F.col("now") == F.col("then"), "unchanged").otherwise("changed")
+        F.when(F.col("was_then").isNull(), "new").when(F.col("is_now").isNull(), "deleted")
+        .when(F.col("now").eqNullSafe(F.col("then")), "unchanged").otherwise("changed")
     )
     return now.join(then, "path", "full_outer").select("path", status.alias("status"))

@@ -23,14 +23,18 @@ _STORED = T.StructType([
 def read_store(
     spark: SparkSession, path: str, model: str, version: str = fv.PROMPT_VERSION
 ) -> DataFrame:
-    """Stored (key, insight) of a model; a broken entry does not count as stored."""
+    """Stored (key, insight) of a model, one per key; a broken entry does not count as
+    stored. Only a missing folder is an empty store: any other error is raised."""
     try:
         stored = spark.read.schema(_STORED).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         stored = spark.createDataFrame([], _STORED)
+    # Writers side by side, or an append done again, may store a key twice.
     return stored.where(
         (F.col("prompt_version") == version) & (F.col("model") == model) & is_valid(F.col("insight"))
-    ).select("key", "insight")
+    ).groupBy("key").agg(F.min("insight").alias("insight"))
 
 
 def append_store(
