@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm import coder
+from corpusloom.llm import coder, pages
 from corpusloom.llm.arrays import slices
 from corpusloom.llm.ship import ship
 from corpusloom.llm.tokens import END_ID, encoder
@@ -163,7 +163,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
                     pa.array([row["block"]] * len(doc), pa.int32()),
                 ], names=[x.split()[0] for x in schema.split(", ")])
 
-    spread = manifest.repartition(F.col("file"), F.col("block"))
+    # A number of its own: by its size in bytes, the manifest would be one task.
+    spread = manifest.repartition(pages.partitions(spark), "file", "block")
     return spread.mapInArrow(read, schema)
 
 
@@ -176,6 +177,7 @@ def with_start(tokens: DataFrame, path: str) -> DataFrame:
     files = manifest.groupBy("file").agg(F.sum("ids").alias("ids")).select("file", total.alias("base"))
     inner = F.coalesce(F.sum("ids").over(before.partitionBy("file").orderBy("block")), F.lit(0))
     blocks = manifest.select("file", "block", inner.alias("inner")).join(files, "file")
-    return tokens.join(blocks, ["file", "block"]).withColumn(
+    # Merged: the size of the tokens is not to be told from that of the manifest.
+    return tokens.join(blocks.hint("merge"), ["file", "block"]).withColumn(
         "start", (F.col("base") + F.col("inner") + F.col("block_at")).cast("bigint")
     ).drop("base", "inner", "block_at")
