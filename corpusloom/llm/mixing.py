@@ -95,8 +95,9 @@ def mix(
     factors = (
         classes.alias("c").join(F.broadcast(targets.alias("t")), same)
         .select("c.source", "weight", "class_size", "source_size", "target")
-        .withColumn("factor", (F.col("target") - most * F.coalesce(F.sum("class_size").over(up), F.lit(0)))
-                    / F.sum(F.col("weight") * F.col("class_size")).over(down))
+        .withColumn("factor", F.try_divide(
+            F.col("target") - most * F.coalesce(F.sum("class_size").over(up), F.lit(0)),
+            F.sum(F.col("weight") * F.col("class_size")).over(down)))
         .withColumn("fits", F.col("factor") * F.col("weight") <= most)
         .withColumn("factor", F.max(F.when(F.col("fits"), F.struct("weight", "factor"))).over(every)["factor"])
         .withColumn("copies_expected", F.least(F.coalesce(F.col("factor") * F.col("weight"), F.lit(float(most))), F.lit(float(most))))
@@ -107,7 +108,7 @@ def mix(
     )
     # At most 63 rows per source: the size of the list of sources.
     u = _random(F.col("row_key"))
-    odds = (u / (F.lit(1.0) - u)) / (F.col("fraction") / (F.lit(1.0) - F.col("fraction")))
+    odds = F.try_divide(u / (F.lit(1.0) - u), F.col("fraction") / (F.lit(1.0) - F.col("fraction")))
     # Its increasing image in (0, 1), for cells of like size.
     place = F.when(F.col("fraction") > 0, odds / (odds + 1))
     rows = sized.alias("s").join(

