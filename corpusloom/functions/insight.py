@@ -22,8 +22,8 @@ def frameworks(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))
 
 
-def methods(text: Column, role: Column, limit: int = fv.MAX_METHODS) -> Column:
-    """array<METHOD> of the first `limit` methods.
+def methods(text: Column, role: Column, limit: int | None = None) -> Column:
+    """array<METHOD> of all methods, or of the first `limit`.
 
     A header whose type is itself a visibility keyword is a constructor: the keyword
     is its visibility and it returns nothing.
@@ -47,10 +47,11 @@ def methods(text: Column, role: Column, limit: int = fv.MAX_METHODS) -> Column:
             F.coalesce(visibility, F.lit("package")).alias("visibility"),
         )
 
-    return F.transform(F.slice(code.segments(text), 1, limit), describe)
+    found = code.segments(text)
+    return F.transform(found if limit is None else F.slice(found, 1, limit), describe)
 
 
-def insight(text: Column, path: Column, role: Column, limit: int = fv.MAX_METHODS) -> Column:
+def insight(text: Column, path: Column, role: Column, limit: int | None = None) -> Column:
     """INSIGHT struct of one text (a file, or one chunk of it)."""
     secured = F.when(
         F.contains(text, F.lit(fv.SECURED_MARK)), F.array(F.lit(fv.SECURED_NOTE))
@@ -68,7 +69,7 @@ def merged(parts: Column) -> Column:
     """One INSIGHT from array<INSIGHT> in part order.
 
     Role of the first part; methods once per signature and list items once, in order
-    of first occurrence; summaries joined and bounded. One part stays as it is.
+    of first occurrence; summaries joined. One part stays as it is.
     """
 
     def combine(ordered: Column) -> Column:
@@ -79,7 +80,7 @@ def merged(parts: Column) -> Column:
             return F.array_distinct(F.flatten(F.transform(ordered, lambda p: p[field])))
 
         return F.when(F.size(ordered) == 1, ordered[0]).otherwise(F.struct(
-            F.substring(F.array_join(told, " "), 1, fv.SUMMARY_LIMIT).alias("summary"),
+            F.array_join(told, " ").alias("summary"),
             ordered[0]["role"].alias("role"),
             let(every, _first_per_signature).alias("key_methods"),
             union("external_dependencies").alias("external_dependencies"),

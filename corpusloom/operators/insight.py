@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom import fixed_values as fv
 from corpusloom.functions import insight as rules
 from corpusloom.functions import paths
 from corpusloom.functions.text import explode_structs
@@ -16,11 +15,12 @@ from corpusloom.settings import Settings
 
 
 def with_insight(
-    files: DataFrame, settings: Settings | None = None, max_methods: int = fv.MAX_METHODS
+    files: DataFrame, settings: Settings | None = None, max_methods: int | None = None
 ) -> DataFrame:
     """Add `insight` and `chunked` from the redacted text; the text itself goes away.
 
-    A file over the chunk budget gets one insight per chunk, merged within the row.
+    All methods are reported unless `max_methods` says how many. A file over the chunk
+    budget gets one insight per chunk, merged within the row.
     """
     settings = settings or Settings()
     df = redact(files, settings.secret_rules)

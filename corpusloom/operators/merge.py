@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom import fixed_values as fv
 from corpusloom.functions.insight import merged
 
 
@@ -40,14 +39,14 @@ def merge_list(parts: DataFrame, field: str) -> DataFrame:
     )
 
 
-def merge_scalars(parts: DataFrame) -> DataFrame:
-    """Role of the first part; summaries in part order, joined and bounded."""
+def merge_scalars(parts: DataFrame, limit: int | None = None) -> DataFrame:
+    """Role of the first part; summaries in part order, joined. `limit` cuts to characters."""
     told = F.array_sort(F.collect_list(
         F.when(F.col("insight.summary") != "", F.struct("part", F.col("insight.summary")))
     ))
-    joined = F.substring(
-        F.array_join(F.transform(told, lambda s: s["summary"]), " "), 1, fv.SUMMARY_LIMIT
-    )
+    joined = F.array_join(F.transform(told, lambda s: s["summary"]), " ")
+    if limit is not None:
+        joined = F.substring(joined, 1, limit)
     return parts.groupBy("path").agg(
         F.count("*").alias("parts"),
         F.min_by("insight.role", "part").alias("role"),

@@ -8,17 +8,15 @@ from pyspark.sql import functions as F
 # A key is hot from this share of all rows on, so there are at most 1000 of them:
 # the list is broadcast, and its size does not grow with the data.
 HOT_SHARE = 0.001
-# Below this many rows no key troubles a task.
-HOT_ROWS = 1_000_000
 SALTS = 64
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with at least `share` of all rows and `rows` rows: at most 1/share of them."""
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+    """Keys with at least `share` of all rows, and more than one: at most 1/share of them."""
     total = df.agg(F.count("*") * F.lit(share)).scalar()
     return (
         df.groupBy(key).agg(F.count("*").alias("_n"))
-        .where((F.col("_n") >= rows) & (F.col("_n") >= total))
+        .where((F.col("_n") > 1) & (F.col("_n") >= total))
         .select(key, F.lit(True).alias("_hot"))
     )
 
@@ -30,13 +28,12 @@ def left_join_hot(
     spread_by: str,
     salts: int = SALTS,
     share: float = HOT_SHARE,
-    rows: int = HOT_ROWS,
 ) -> DataFrame:
     """`left` left-join `right` on `key`; rows of hot left keys go to many tasks.
 
     Only right rows of a hot key are repeated, once per salt.
     """
-    hot = F.broadcast(hot_keys(left.select(key), key, share, rows))
+    hot = F.broadcast(hot_keys(left.select(key), key, share))
     salted_left = left.join(hot, key, "left").withColumn(
         "_salt",
         F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(0).cast("int"),

@@ -23,7 +23,7 @@ from corpusloom.operators.merge import merge_parts
 from corpusloom.operators.prompts import prompt_table
 from corpusloom.session import cut
 from corpusloom.settings import Settings
-from corpusloom.sources.replies import good_replies, parse_replies
+from corpusloom.sources.replies import good_replies, one_per_part, parse_replies
 from corpusloom.sources.sinks import analysis_document, metadata
 from corpusloom.sources.store import append_store, read_store
 
@@ -55,7 +55,8 @@ def prepare(corpus: DataFrame, settings: Settings, store: str | None = None) ->
     stored = None
     if store and settings.cache_enabled:
         stored = read_store(corpus.sparkSession, store, settings.model)
-    looked_up = cache.cache_lookup(keyed.select("path", "key"), stored)
+    # Written down: `complete` adds to the store before it reads this.
+    looked_up = cut(cache.cache_lookup(keyed.select("path", "key"), stored))
     # The requests lie in storage until they are answered.
     prompts = cut(prompt_table(cache.work_files(files, keyed, stored), settings))
     return Prepared(files, keyed, looked_up, prompts)
@@ -72,11 +73,13 @@ def complete(
     """Take in replies (path, part, reply): merge, store, assemble, reduce.
 
     A file with a missing or rejected part has no record. Copies of an answered text
-    share its insight.
+    share its insight. Replies may come more than once, and for parts that were not
+    asked for: one good reply per part counts, but the use of each is paid for.
     """
     parsed = parse_replies(replies)
-    merged = merge_parts(good_replies(parsed).select("path", "part", "insight"))
-    asked = prepared.prompts.groupBy("path").agg(F.max("total").alias("total"))
+    requested = prepared.prompts.select("path", "part", "total")
+    merged = merge_parts(one_per_part(good_replies(parsed)).join(requested, ["path", "part"], "left_semi"))
+    asked = requested.groupBy("path").agg(F.max("total").alias("total"))
     whole = merged.join(asked, "path").where("parts = total").select(
         "path", "insight", (F.col("total") > 1).alias("chunked")
     )

@@ -607,15 +607,15 @@ def run_rates(spark, sf):
 
 
 def _calls(spark, sf) -> DataFrame:
-    """A conversation is a call: user text in, assistant text out."""
+    """A conversation is a call: system and user text in, assistant text out."""
     turns = table(spark, sf, "conversations").select(
         "conv_id", "role", token_count(F.col("text")).alias("tokens")
     )
-    def of(role: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("role") == role, F.col("tokens"))), F.lit(0))
+    def of(*roles: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("role").isin(*roles), F.col("tokens"))), F.lit(0))
 
     return turns.groupBy("conv_id").agg(
-        of("user").alias("prompt_tokens"), of("assistant").alias("completion_tokens")
+        of("system", "user").alias("prompt_tokens"), of("assistant").alias("completion_tokens")
     )
 
 
@@ -689,7 +689,7 @@ def golden_score(spark, sf):
     golden = cut(analyzed.join(table(spark, sf, "labels"), "doc_id"))
 
     def changed(field: str) -> Column:
-        kept = F.when(F.col("quality") == 0, F.slice(field, F.lit(2), F.lit(100))).otherwise(F.col(field))
+        kept = F.when(F.col("quality") == 0, F.slice(field, F.lit(2), F.greatest(F.size(field), F.lit(1)))).otherwise(F.col(field))
         return F.transform(kept, lambda v, i: F.when(
             (F.col("toxic") == 1) & (i == F.size(kept) - 1), F.concat(F.lit("zz"), v)
         ).otherwise(v))

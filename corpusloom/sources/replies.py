@@ -45,6 +45,15 @@ def good_replies(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("insight").isNotNull())
 
 
+def one_per_part(parsed: DataFrame) -> DataFrame:
+    """(path, part, insight), the reply that sorts first of each part's good ones.
+
+    The minimum is taken before the shuffle as well, so a part's repeats never gather.
+    """
+    first = F.min_by("insight", F.struct(F.length("reply"), "reply"))
+    return parsed.groupBy("path", "part").agg(first.alias("insight"))
+
+
 def quarantine(parsed: DataFrame) -> DataFrame:
     """Rejected replies, as they came."""
     return parsed.where(F.col("insight").isNull()).drop("insight")

@@ -68,7 +68,7 @@ def test_salted_join_is_the_plain_join(spark):
     right = [(k, k + "!") for k in ["hot", "none"] + [f"k{i}" for i in range(0, 40, 2)]]
     a = spark.createDataFrame(left, "id bigint, k string")
     b = spark.createDataFrame(right, "k string, v string")
-    assert [r.k for r in hot_keys(a, "k", 0.2, 100).collect()] == ["hot"]
-    got = left_join_hot(a, b, "k", "id", salts=8, share=0.2, rows=100)
+    assert [r.k for r in hot_keys(a, "k", 0.2).collect()] == ["hot"]
+    got = left_join_hot(a, b, "k", "id", salts=8, share=0.2)
     want = dict(right)
     assert sorted((r.id, r.k, r.v) for r in got.collect()) == [(i, k, want.get(k)) for i, k in left]

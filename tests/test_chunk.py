@@ -8,25 +8,6 @@ def estimate(s):
     return len(s) // 4 + 1 if s else 0
 
 
-def expected(text, budget):
-    """Pieces in order; a piece joins the open chunk or opens the next."""
-    if estimate(text) <= budget:
-        return [text]
-    chunks, room = [], -1
-    for line in text.splitlines(keepends=True):
-        if estimate(line) > budget:
-            chunks += [line[i:i + budget * 4] for i in range(0, len(line), budget * 4)]
-            room = -1
-            continue
-        if estimate(line) <= room:
-            chunks[-1] += line
-        else:
-            chunks.append(line)
-            room = budget
-        room -= estimate(line)
-    return chunks
-
-
 def split(spark, texts, budget):
     df = spark.createDataFrame(list(enumerate(texts)), "id bigint, content string")
     rows = chunk.chunk_table(df, budget).collect()
@@ -44,8 +25,18 @@ line = st.text(alphabet="ab é\r\x0b ", max_size=60)
 
 @given(st.lists(st.lists(line, max_size=12).map("\n".join), min_size=30, max_size=30), st.integers(1, 12))
 @settings(max_examples=6, deadline=None)
-def test_same_as_packing_by_hand(spark, texts, budget):
-    assert split(spark, texts, budget) == [expected(s, budget) for s in texts]
+def test_chunks_are_whole_and_within_the_budget(spark, texts, budget):
+    for text, parts in zip(texts, split(spark, texts, budget), strict=True):
+        assert "".join(parts) == text
+        assert len(parts) == 1 or all(0 < len(p) <= 4 * budget for p in parts)
+        assert parts == [text] or estimate(text) > budget
+
+
+def test_lines_stay_together_while_they_fit(spark):
+    # Lines of 8 characters are 3 tokens each, so two go into 7 tokens.
+    assert split(spark, ["abcdefg\n" * 5], 7) == [["abcdefg\n" * 2, "abcdefg\n" * 2, "abcdefg\n"]]
+    # A line over the budget is cut at its size, and nothing joins its pieces.
+    assert split(spark, ["ab\n" + "x" * 20 + "\ncd\n"], 3) == [["ab\n", "x" * 12, "x" * 8 + "\n", "cd\n"]]
 
 
 def test_many_lines_and_one_giant_line(spark):

@@ -59,13 +59,11 @@ def test_language_and_role(spark):
     assert [r[1] for r in got[2:]] == ["source file", "service implementation", "service interface"]
 
 
-def test_first_files_both_ways(corpus, monkeypatch):
+def test_first_files(corpus):
     files = corpus({f"d{i % 7}/f{i:03d}.py": "x" for i in range(200)})
     expected = sorted(r.path for r in files.collect())[:50]
     assert sorted(r.path for r in d.first_files(files, 50).collect()) == expected
     assert d.first_files(files, 0).count() == 0
-    monkeypatch.setattr(d, "_SORTED_LIMIT", 10)
-    assert sorted(r.path for r in d.first_files(files, 50).collect()) == expected
 
 
 def test_nothing_found_is_an_error(corpus):

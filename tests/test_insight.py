@@ -2,6 +2,7 @@ from corpusloom import Settings
 from corpusloom import fixed_values as fv
 from corpusloom.operators import insight
 from corpusloom.operators.discover import discover
+from corpusloom.operators.insight import with_insight
 from corpusloom.operators.records import conforms, rule_based_records
 
 TEXT = """import lombok.Data;
@@ -41,9 +42,11 @@ def test_a_record_has_the_declared_shape(corpus):
     assert conforms(rule_based_records(discover(corpus({"a.py": "x"}))))
 
 
-def test_first_methods_only(corpus):
+def test_all_methods_or_the_first_ones(corpus):
     many = "\n".join(f"int m{i}(int x) {{ }}" for i in range(30))
-    assert [m.name for m in record(corpus, many).insight.key_methods] == [f"m{i}" for i in range(12)]
+    assert [m.name for m in record(corpus, many).insight.key_methods] == [f"m{i}" for i in range(30)]
+    capped = with_insight(discover(corpus({"a.java": many})), max_methods=fv.MAX_METHODS).first()
+    assert [m.name for m in capped.insight.key_methods] == [f"m{i}" for i in range(12)]
 
 
 def test_a_file_in_chunks_is_merged(corpus):
@@ -52,7 +55,7 @@ def test_a_file_in_chunks_is_merged(corpus):
     assert got.analyzed_with_chunking
     assert [m.name for m in got.insight.key_methods] == [f"m{i}" for i in range(30)]
     parts = got.insight.summary.split(". ")
-    assert len(parts) > 1 and len(got.insight.summary) <= fv.SUMMARY_LIMIT
+    assert len(parts) > 1 and got.insight.summary.count("(FooService.java)") == len(parts)
 
 
 def test_insight_reads_the_redacted_text(corpus):

@@ -42,9 +42,10 @@ def test_merge_rules_as_tables(spark):
     assert scalars["one"].summary == "long " * 1000
 
 
-def test_joined_summary_is_bounded(spark):
+def test_joined_summary_is_whole_unless_a_limit_is_named(spark):
     rows = [("f", i, part("x" * 900, "r", [], [], [])) for i in (1, 2, 3)]
     df = parts(spark, rows)
-    want = " ".join(["x" * 900] * 3)[:2000]
+    want = " ".join(["x" * 900] * 3)
     assert merge.merge_scalars(df).first().summary == want
+    assert merge.merge_scalars(df, limit=2000).first().summary == want[:2000]
     assert merge.merge_parts(df).first().insight.summary == want

@@ -28,22 +28,15 @@ def test_running_sum_and_rank_with_a_hot_group(spark):
     assert ranks == {p: i + 1 for i, (_, p, _) in enumerate(sorted(rows))}
 
 
-def halve(lines, budget):
-    """The rule as a loop."""
-    text, kept = "\n".join(lines), list(lines)
-    while estimate(len(text)) > budget and len(kept) > 1:
-        kept = kept[: max(1, len(kept) // 2)]
-        text = "\n".join(kept) + fv.TRUNCATION_NOTE
-    return text
-
-
-@pytest.mark.parametrize("n, budget", [(1, 1), (1, 100), (2, 3), (7, 20), (16, 60), (33, 60), (33, 10_000), (50, 1)])
-def test_truncation_is_the_loop(spark, n, budget):
-    rng = random.Random(n * budget)
-    lines = ["x" * rng.randrange(1, 60) for _ in range(n)]
-    df = spark.createDataFrame([(f"p{i:03d}", s) for i, s in enumerate(lines)], "package string, line string")
-    rows = reduce.truncate_to_budget(df, budget).orderBy("position").collect()
-    assert "\n".join(r.line for r in rows) == halve(lines, budget)
+@pytest.mark.parametrize("budget, kept", [(1_000, 9), (60, 4), (40, 2), (1, 1)])
+def test_truncated_lines(spark, budget, kept):
+    """Nine lines of 40 characters; the note of a shortened text counts."""
+    rows = [(f"p{i}", f"{i}" * 40) for i in range(9)]
+    df = spark.createDataFrame(rows, "package string, line string").repartition(3)
+    got = reduce.truncate_to_budget(df, budget).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(1, len(got) + 1))
+    assert [(r.package, r.line) for r in got][:kept] == rows[:kept]
+    assert [r.line for r in got][kept:] == ([fv.TRUNCATION_NOTE.lstrip("\n")] if kept < 9 else [])
 
 
 @pytest.fixture

@@ -16,19 +16,21 @@ AT = "2026-01-01T00:00:00+00:00"
 
 
 def test_rule_based_run(corpus, small_tree):
-    run = analyze_by_rules(corpus(small_tree), Settings(), "acme/demo", AT)
+    run = analyze_by_rules(corpus(small_tree), Settings(), "port/demo", AT)
     stats = run.statistics.first()
     assert (stats.files_discovered, stats.files_analyzed, stats.files_skipped, stats.llm_calls) == (2, 2, 0, 0)
-    foo = run.records.where("path like '%FooController.java'").first()
-    assert foo.complexity.function_count == 2 and foo.package == "com.acme.web"
-    assert [m.name for m in foo.insight.key_methods] == ["ping", "hello"]
+    port = run.records.where("language = 'Python'").first()
+    assert port.complexity.function_count == 2 and port.complexity.max_cyclomatic_complexity == 2
+    assert [m.name for m in port.insight.key_methods] == ["berth_for", "tide"]
     doc = json.loads(run.document.first().document)
     assert doc["metadata"] == {
-        "schema_version": "1.0", "generated_at": AT, "target": "acme/demo",
+        "schema_version": "1.0", "generated_at": AT, "target": "port/demo",
         "model": Settings().model, "tool_version": "1.0.0",
     }
-    assert doc["overview"]["primary_language"] == "Java"
-    assert doc["statistics"]["languages"] == [{"language": "Java", "file_count": 2, "line_count": 9}]
+    assert doc["overview"]["primary_language"] == "Kotlin"
+    assert doc["statistics"]["languages"] == [
+        {"language": "Kotlin", "file_count": 1, "line_count": 5}, {"language": "Python", "file_count": 1, "line_count": 11},
+    ]
     with pytest.raises(ValueError):
         analyze_by_rules(corpus({"a.md": "x"}), Settings(), "t", AT)
 
@@ -88,6 +90,26 @@ def test_two_runs_with_replies_and_a_store(spark, corpus):
     assert off.looked_up.where("from_cache").count() == 0
 
 
+def test_replies_that_come_twice_or_never_or_unasked(spark, corpus):
+    long = "".join(f"line {i}\n" for i in range(40))
+    settings = Settings(chunk_token_budget=25)
+    todo = prepare(corpus({"a.py": "one", "c.py": long, "d.py": long + "end"}), settings)
+    total = {r.path: r.total for r in todo.prompts.collect()}
+    assert total["a.py"] == 1 and total["c.py"] > 2
+    ok = json.dumps({"summary": "about", "role": "r"})
+    sent = [("a.py", 1), ("a.py", 1), ("z.py", 1), ("a.py", 7)]
+    sent += [("c.py", p) for p in range(1, total["c.py"])] + [("c.py", 1)]
+    sent += [("d.py", p) for p in range(1, total["d.py"] + 1)] * 2
+    rows = [(p, n, ok) for p, n in sent] + [("d.py", 1, "{broken"), ("d.py", 1, ok.replace("about", "about it"))]
+    replies = spark.createDataFrame(rows, "path string, part bigint, reply string")
+    run = complete(todo, replies, settings, "t", AT)
+    got = {r.path: r.insight.summary for r in run.records.collect()}
+    assert got == {"a.py": "about", "d.py": " ".join(["about"] * total["d.py"])}
+    stats = run.statistics.first()
+    # Every reply to a request is paid for, the repeats and the broken one as well.
+    assert (stats.files_skipped, stats.llm_calls) == (1, len(rows) - 2)
+
+
 def test_stream_takes_in_what_is_new(spark, corpus):
     base = scratch_path(spark, "stream")
     settings = Settings(chunk_token_budget=20)
