@@ -126,43 +126,49 @@ def train_window(p: Params, h: np.ndarray, xs: np.ndarray, ys: np.ndarray, live:
         kept.append((before, z, r, cand, inner, h))
     k = h.shape[1]
     n = max(1, int(live.sum()))
-    gu, gc = np.zeros_like(p.u), np.zeros_like(p.c)
-    ge_rows, ge = [], []
+    # The output of all steps at once: its gradients need no later step.
+    states = np.stack([step[5] for step in kept])
+    one, y = _with_one(states[live]), ys[live]
+    cls = of_class[y]
+    d = _softmax(one @ p.c)
+    d[np.arange(len(y)), cls] -= 1
+    gc = one.T @ d
+    into_states = d @ p.c[:k].T
     gw: dict[int, np.ndarray] = {}
+    order = np.argsort(cls, kind="stable")
+    ends = np.cumsum(np.bincount(cls, minlength=len(sizes)))
+    for c in np.unique(cls).tolist():
+        rows = order[ends[c - 1] if c else 0:ends[c]]
+        d = _softmax(one[rows] @ p.w[c][:, :sizes[c]])
+        d[np.arange(len(rows)), in_class[y[rows]]] -= 1
+        gw[c] = np.zeros_like(p.w[c])
+        gw[c][:, :sizes[c]] = one[rows].T @ d
+        into_states[rows] += d @ p.w[c][:k, :sizes[c]].T
+    back = np.zeros_like(states)
+    back[live] = into_states
+    gu = np.zeros_like(p.u)
+    ge = np.zeros((*live.shape, 3 * k), np.float32)
     dh = np.zeros_like(start)
     for t in reversed(range(len(xs))):
-        before, z, r, cand, inner, after = kept[t]
-        on = np.nonzero(live[t])[0]
-        one = _with_one(after[on])
-        y = ys[t][on]
-        cls = of_class[y]
-        d = _softmax(one @ p.c)
-        d[np.arange(len(on)), cls] -= 1
-        gc += one.T @ d
-        back = d @ p.c[:k].T
-        for c in np.unique(cls):
-            rows = np.nonzero(cls == c)[0]
-            d = _softmax(one[rows] @ p.w[c][:, :sizes[c]])
-            d[np.arange(len(rows)), in_class[y[rows]]] -= 1
-            g = gw.setdefault(int(c), np.zeros_like(p.w[c]))
-            g[:, :sizes[c]] += one[rows].T @ d
-            back[rows] += d @ p.w[c][:k, :sizes[c]].T
-        dh[on] += back
+        before, z, r, cand, inner, _ = kept[t]
+        dh = dh + back[t]
         mask = live[t][:, None]
         dn = np.where(mask, dh, 0)
         dz = dn * (cand - before) * z * (1 - z)
         dc = dn * z * (1 - cand * cand)
         dr = dc * inner * r * (1 - r)
-        gates = np.concatenate([dz, dr, dc], axis=1)
+        ge[t] = np.concatenate([dz, dr, dc], axis=1)
         into = np.concatenate([dz, dr, dc * r], axis=1)
         gu += before.T @ into
-        ge_rows.append(xs[t][on])
-        ge.append(gates[on])
         dh = np.where(mask, dn * (1 - z) + into @ p.u.T, dh)
     scale = np.float32(rate / np.sqrt(n))
     p.u -= scale * np.clip(gu, -5, 5)
     p.c -= scale * np.clip(gc, -5, 5)
-    np.add.at(p.e, np.concatenate(ge_rows), -scale * np.clip(np.concatenate(ge), -1, 1))
+    if len(y):
+        x = xs[live]
+        order = np.argsort(x, kind="stable")
+        words, first = np.unique(x[order], return_index=True)
+        p.e[words] -= scale * np.add.reduceat(np.clip(ge[live][order], -1, 1), first, axis=0)
     for c, g in gw.items():
         p.w[c] -= scale * np.clip(g, -5, 5)
     return h
