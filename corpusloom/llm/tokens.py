@@ -10,20 +10,22 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from corpusloom.llm.arrays import ranges
-
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-# Distinct words kept in a Python worker; beyond it the memory is emptied.
+# Distinct pieces and words kept in a Python worker; beyond it the memory is emptied.
 KEPT_WORDS = 600_000
+# Words asked for in a line, and what stands between those that need the whole tokenizer.
+_LINE_WORDS, _MARK = 200, "\x01"
+_BETWEEN = f" {_MARK} "
 # A word of these goes to the tokenizer's model piece by piece.
 _PLAIN = re.compile(r"[!-;=-~]+")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
 # A word, and the marks after its last letter or digit (but for one that lower-cases to more).
 _TAIL = re.compile(r"(?s)(.*?)((?<=[^\W_\u0130])[.,;:!?]+)?")
 
@@ -36,11 +38,13 @@ def tokenizer_path(name: str = WORD_TOKENIZER) -> str:
 
 class WordEncoder:
     """Ids of string columns. For a word of printable ASCII, normalizing is lower-casing
-    and splitting is one pattern, so its pieces go to the tokenizer's model directly;
-    every other word goes through the whole tokenizer."""
+    and splitting is one pattern, so its pieces go to the tokenizer's model as they are;
+    every other word goes through the whole tokenizer. New pieces and words are asked for
+    in lines of many, and kept until the memory is full."""
 
     def __init__(self, path: str, kept: int = KEPT_WORDS):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
@@ -48,56 +52,56 @@ class WordEncoder:
         if steps != ["NFC", "Replace", "Lowercase"] or parts["model"].get("end_of_word_suffix") != "</w>":
             raise ValueError("a tokenizer that lower-cases and ends pieces with words is needed")
         self._tokenizer, self._kept = Tokenizer.from_file(path), kept
+        self._model = Tokenizer.from_file(path)
+        self._model.normalizer, self._model.pre_tokenizer = None, WhitespaceSplit()
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._mark = self._tokenizer.encode(_MARK, add_special_tokens=False).ids
+        if len(self._mark) != 1:
+            raise ValueError("a tokenizer with one id for the mark between words is needed")
         self._clear()
 
     def _clear(self):
+        # Units are pieces of plain words, and other words whole; unit 0 is the end of a row.
         self._known: dict[str, int] = {}
-        self._pieces: dict[str, list[int]] = {}
         self._ids = np.zeros(1 << 16, np.int32)
         self._starts = np.zeros(1 << 16, np.int64)
-        self._used = 0
+        self._starts[1] = self._used = 1
 
-    def _learn(self, new: list[str]) -> None:
-        lists, others = [], []
-        for k, word in enumerate(new):
-            if _PLAIN.fullmatch(word):
-                ids: list[int] = []
-                for piece in _PIECES.findall(word.lower()):
-                    ids += self._pieces.get(piece) or self._learn_piece(piece)
-                lists.append(ids)
-            else:
-                lists.append(())
-                others.append((k, *_TAIL.fullmatch(word).groups()))
-        if others:
-            # A mark at the end is a piece of its own after a letter or digit.
-            cores = dict.fromkeys(core for _, core, _ in others)
-            found = self._tokenizer.encode_batch_fast(list(cores), add_special_tokens=False)
-            cores = {core: e.ids for core, e in zip(cores, found, strict=True)}
-            for k, core, tail in others:
-                if tail:
-                    lists[k] = cores[core] + (self._pieces.get(tail) or self._learn_piece(tail))
-                else:
-                    lists[k] = cores[core]
+    def _store(self, units: list[str], lists: list[list[int]]) -> None:
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        n, used = len(self._known), self._used
-        while len(self._ids) < used + lengths.sum():
+        n, used, more = len(self._known) + 1, self._used, int(lengths.sum())
+        while len(self._ids) < used + more:
             self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-        while len(self._starts) < n + len(new) + 1:
+        while len(self._starts) < n + len(units) + 1:
             self._starts = np.concatenate([self._starts, np.zeros_like(self._starts)])
-        self._ids[used:used + lengths.sum()] = np.fromiter(
-            (i for ids in lists for i in ids), np.int32, lengths.sum())
-        self._starts[n + 1:n + len(new) + 1] = used + np.cumsum(lengths)
-        self._used += int(lengths.sum())
-        self._known.update(zip(new, range(n, n + len(new)), strict=True))
-
-    def _learn_piece(self, piece: str) -> list[int]:
-        ids = self._pieces[piece] = [t.id for t in self._tokenizer.model.tokenize(piece)]
-        return ids
+        self._ids[used:used + more] = np.fromiter(chain.from_iterable(lists), np.int32, more)
+        self._starts[n + 1:n + len(units) + 1] = used + np.cumsum(lengths)
+        self._used += more
+        self._known.update(zip(units, range(n, n + len(units)), strict=True))
 
-    def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all rows, offsets per row); null is empty; `end_id` ends each row."""
-        pieces = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
-        rows = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+    def _learn(self, new: list[str]) -> None:
+        """Store new units. A mark at the end of a word that is not plain is a piece of its
+        own after a letter or digit, so words that differ in it are asked for once."""
+        plain, others = [], []
+        for unit in new:
+            (plain if unit.isascii() and _PLAIN.fullmatch(unit) else others).append(unit)
+        parts = [_TAIL.fullmatch(word).groups() for word in others]
+        cores = list({core: 0 for core, _ in parts})
+        tails = list({tail: 0 for _, tail in parts if tail})
+        self._store(plain, self._ask_pieces(plain))
+        cores = dict(zip(cores, self._ask_words(cores), strict=True))
+        tails = dict(zip(tails, self._ask_pieces(tails), strict=True))
+        self._store(others, [cores[core] + tails[tail] if tail else cores[core] for core, tail in parts])
+
+    def _units(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(units of all distinct words, offsets per word)."""
+        plain = pc.match_substring_regex(words, f"^{_PLAIN.pattern}$")
+        cut = pc.if_else(plain, pc.ascii_lower(words), words)
+        mixed = pc.and_not(plain, pc.match_substring_regex(words, "^[A-Za-z]+$"))
+        split = pc.replace_substring_regex(cut.filter(mixed), f"({_PIECES})", "\\1 ")
+        pieces = pc.ascii_split_whitespace(pc.replace_with_mask(cut, mixed, pc.ascii_rtrim_whitespace(split)))
         coded = pieces.flatten().dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False)
         if len(self._known) + len(distinct) > self._kept:
@@ -107,14 +111,57 @@ class WordEncoder:
         if None in at:
             self._learn([w for w, k in zip(distinct, at, strict=True) if k is None])
             at = [known[w] if k is None else k for w, k in zip(distinct, at, strict=True)]
-        at = np.array(at, np.int64)
-        word = at[coded.indices.to_numpy()] if len(at) else np.zeros(0, np.int64)
-        start, length = self._starts[word], self._starts[word + 1] - self._starts[word]
-        ids = self._ids[np.repeat(start, length) + ranges(length)]
-        ends = np.concatenate([[0], np.cumsum(length)])[rows]
-        if end_id is None:
-            return ids, ends
-        return np.insert(ids, ends[1:], end_id), ends + np.arange(len(ends))
+        offsets = pieces.offsets.to_numpy()
+        return np.array(at, np.int64)[coded.indices.to_numpy()], offsets - offsets[0]
+
+    def _ask_pieces(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces of printable ASCII: each ends with the next id that ends a word."""
+        found = self._lines(self._model, pieces, " ")
+        return _cut(found, np.nonzero(self._ends[found])[0] + 1, 0)
+
+    def _ask_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of any words, by a mark after each; those with a mark, or the first character
+        of an added token, are asked alone."""
+        alone = [k for k, word in enumerate(words) if _MARK in word or "<" in word]
+        lone = set(alone)
+        found = self._lines(self._tokenizer, [w for k, w in enumerate(words) if k not in lone], _BETWEEN)
+        lists = iter(_cut(found, np.nonzero(found == self._mark[0])[0], 1))
+        encoded = self._tokenizer.encode_batch_fast([words[k] for k in alone], add_special_tokens=False)
+        singles = iter([e.ids for e in encoded])
+        return [next(singles) if k in lone else next(lists) for k in range(len(words))]
+
+    @staticmethod
+    def _lines(tokenizer, words: list[str], between: str) -> np.ndarray:
+        lines = [between.join(words[k:k + _LINE_WORDS]) + between for k in range(0, len(words), _LINE_WORDS)]
+        encoded = tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        return np.concatenate([np.zeros(0, np.int32), *(np.array(e.ids, np.int32) for e in encoded)])
+
+    def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, offsets per row); null is empty; `end_id` ends each row."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        rows = words.offsets.to_numpy() - words.offsets[0].as_py()
+        coded = words.flatten().dictionary_encode()
+        word = coded.indices.to_numpy()
+        units, offsets = self._units(coded.dictionary)
+        if end_id is not None:
+            # One more word, which is the end.
+            self._ids[0] = end_id
+            word, rows = np.insert(word, rows[1:], len(offsets) - 1), rows + np.arange(len(rows))
+            units, offsets = np.append(units, 0), np.append(offsets, len(units) + 1)
+        stored = pa.LargeListArray.from_arrays(self._starts[:len(self._known) + 2], self._ids[:self._used])
+        found = stored.take(pa.array(units))
+        lists = pa.LargeListArray.from_arrays(found.offsets.to_numpy()[offsets], found.values).take(pa.array(word))
+        ends = lists.offsets.to_numpy()
+        return lists.flatten().to_numpy(), (ends - ends[0])[rows]
+
+
+def _cut(ids: np.ndarray, ends: np.ndarray, gap: int) -> list[list[int]]:
+    """The ids between ends, without the `gap` ids at each."""
+    flat, a, out = ids.tolist(), 0, []
+    for b in ends.tolist():
+        out.append(flat[a:b])
+        a = b + gap
+    return out
 
 
 @lru_cache(maxsize=2)
