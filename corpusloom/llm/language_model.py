@@ -3,9 +3,10 @@
 The base score is the add-one unigram score over exact counts of all training tokens. The
 model is a gated recurrent unit over a vocabulary of the most frequent words, with a
 softmax that is factored into classes of words and words within a class. It is trained by
-truncated backpropagation: each task runs through windows of its training documents, and
-rounds of tasks start from the mean of the parameters of the round before, weighted by
-tokens. Scoring carries the state across windows, so a document's likelihood is that of its
+truncated backpropagation: each task runs through every window of all its training
+documents, and rounds of tasks start from the mean of the parameters of the round before,
+weighted by tokens. A lane reads whole documents one after another; its state is carried
+from window to window and begins anew with a document. Scoring carries the state across windows, so a document's likelihood is that of its
 whole text. A word outside the vocabulary costs the class of unknown words times its share of
 the add-one unigram probability outside, so probabilities sum to one.
 
@@ -22,6 +23,7 @@ training tokens, the model knows nothing and scores are the base scores.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,8 +45,6 @@ CLASSES = 64
 HIDDEN = 24
 #: Steps between truncations, lanes trained side by side, rounds.
 STEPS, LANES, ROUNDS = 16, 256, 2
-#: Of the windows of a training document, one in so many is learnt from in each round.
-EVERY = 16
 RATE = 0.05
 LOG10 = np.float32(1 / np.log(10))
 
@@ -269,6 +269,52 @@ def _start_from_counts(p: Params, lex: Lexicon) -> None:
     p.w[lex.of_class, -1, lex.in_class] = np.log(share / per_class[lex.of_class])
 
 
+def schedule(length: np.ndarray, lanes: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per step, the rows that the lanes read and the window of each: all windows of all
+    rows. A lane reads its rows whole, one after another. Long rows are dealt first, each
+    to the lane with least to do, and lanes with more to do come first, so that those that
+    go on are the first of the step before."""
+    windows = -(-length // STEPS)
+    order = np.argsort(-windows, kind="stable")
+    loads = [(0, lane) for lane in range(min(lanes, len(length)))]
+    lane_of, start = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+    for row in order.tolist():
+        load, lane = loads[0]
+        lane_of[row], start[row] = lane, load
+        heapq.heapreplace(loads, (load + int(windows[row]), lane))
+    rank = np.zeros(len(loads), np.int64)
+    rank[[lane for _, lane in sorted(loads, key=lambda x: (-x[0], x[1]))]] = np.arange(len(loads))
+    row = np.repeat(np.arange(len(length)), windows)
+    number = arrays.ranges(windows)
+    step = start[row] + number
+    order = np.lexsort((rank[lane_of[row]], step))
+    cuts = np.cumsum(np.bincount(step))[:-1]
+    return list(zip(np.split(row[order], cuts), np.split(number[order], cuts), strict=True))
+
+
+def learn(p: Params, lex: Lexicon, ids: np.ndarray, ends: np.ndarray, rate: float) -> int:
+    """Trains `p` on every window of the rows of ids; returns the number of ids."""
+    if len(ends) < 2:
+        return 0
+    end_id = ids[ends[1] - 1]
+    state = np.zeros((LANES, p.u.shape[0]), np.float32)
+    seen = 0
+    for row, number in schedule(np.diff(ends), LANES):
+        at = ends[:-1][row] + number * STEPS
+        cells = at[None, :] + np.arange(STEPS)[:, None]
+        live = cells < ends[1:][row][None, :]
+        ys = ids[np.minimum(cells, len(ids) - 1)]
+        xs = np.roll(ys, 1, axis=0)
+        xs[0] = np.where(number == 0, end_id, ids[np.maximum(at - 1, 0)])
+        state = np.where((number == 0)[:, None], np.float32(0), state[:len(row)])
+        # A step counts by its ids, so that a few long rows at the end do not outweigh the rest.
+        n = int(live.sum())
+        part = rate * np.sqrt(n / (LANES * STEPS))
+        state = train_window(p, state, xs, ys, live, lex.of_class, lex.in_class, lex.sizes, part)
+        seen += n
+    return seen
+
+
 def train(rows: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Params:
     """Parameters after `rounds` rounds over the training rows. A task sends its parameters
     as blocks, which Spark averages; the driver gets the mean, whose size is fixed."""
@@ -287,26 +333,7 @@ def train(rows: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Params:
             for batch in arrays.slices(batches, "text", 8 << 20):
                 words, offsets = _words(batch.column("text"))
                 _, ids, ends = _sequence(lex, words, offsets)
-                # Windows of a document by turns; the first begins at its start.
-                length = np.diff(ends)
-                windows = -(-length // STEPS)
-                first = np.repeat(ends[:-1], windows) + arrays.ranges(windows) * STEPS
-                number = arrays.ranges(windows) + np.repeat(np.arange(len(windows)), windows)
-                chosen = (number + turn * (EVERY // 2)) % EVERY == 0
-                left = np.repeat(ends[1:], windows)[chosen] - first[chosen]
-                first, at_start = first[chosen], (arrays.ranges(windows) == 0)[chosen]
-                end_id = ids[ends[1] - 1] if len(ends) > 1 else lex.unknown
-                for k in range(0, len(first), LANES):
-                    at = first[k:k + LANES]
-                    cells = at[None, :] + np.arange(STEPS)[:, None]
-                    live = np.arange(STEPS)[:, None] < left[k:k + LANES][None, :]
-                    ys = ids[np.minimum(cells, len(ids) - 1)]
-                    xs = np.roll(ys, 1, axis=0)
-                    xs[0] = np.where(at_start[k:k + LANES], end_id, ids[np.maximum(at - 1, 0)])
-                    state = np.zeros((len(at), HIDDEN), np.float32)
-                    rate = RATE * (0.3 if turn else 1.0)
-                    train_window(own, state, xs, ys, live, lex.of_class, lex.in_class, lex.sizes, rate)
-                    seen += int(live.sum())
+                seen += learn(own, lex, ids, ends, RATE * (0.3 if turn else 1.0))
             if not seen:
                 return
             flat = np.concatenate([a.ravel() for a in own.arrays()])

@@ -133,3 +133,55 @@ def test_pipeline(spark, rows, tmp_path):
         lengths[r.sequence_id] += r.length
     assert lengths and all(n == 4096 or n & (n - 1) == 0 for n in lengths.values())
     assert secrets.KINDS[:3] == ["assign", "access", "hex"]
+
+
+def small_lexicon():
+    import pyarrow as pa
+
+    words = [lm.END, *"abcdefg"]
+    cls = np.array([0] * 4 + [1] * 4 + [2])
+    return lm.Lexicon(pa.array(words), np.full(8, 9), 8, cls, np.array([0, 1, 2, 3] * 2 + [0]), np.array([4, 4, 1]), 72, 8)
+
+
+@pytest.mark.parametrize("lanes", [1, 3, 256])
+def test_every_window_is_learnt_from(monkeypatch, lanes):
+    """All ids once and in order; the state is the one left by the window before, and zero at a start."""
+    lex, r, calls = small_lexicon(), np.random.default_rng(5), []
+    texts = [r.integers(1, 9, n).tolist() + [0] for n in (70, 0, 15, 16, 200, 3, 31, 5, 1)]
+    ids, ends = np.concatenate(texts).astype(int), np.cumsum([0, *map(len, texts)])
+
+    def watched(p, h, xs, ys, live, *rest):
+        after = r.normal(size=h.shape).astype(np.float32)
+        calls.append([(h[k], after[k], xs[live[:, k], k].tolist(), ys[live[:, k], k].tolist()) for k in range(h.shape[0])])
+        return after
+
+    monkeypatch.setattr(lm, "train_window", watched)
+    monkeypatch.setattr(lm, "LANES", lanes)
+    assert lm.learn(lm.initial(9, 4, 3, 6), lex, ids, ends, 0.05) == len(ids)
+    read, last = [], []
+    for call in calls:
+        for k, (before, after, xs, ys) in enumerate(call):
+            if k == len(last):
+                last.append((None, [0]))
+            state, tokens_before = last[k]
+            if tokens_before[-1] == 0:
+                assert not before.any() and xs == [0, *ys[:-1]]
+                read.append(ys)
+            else:
+                assert (before == state).all() and xs == [tokens_before[-1], *ys[:-1]]
+                read.remove(tokens_before)
+                read.append(tokens_before + ys)
+                ys = tokens_before + ys
+            last[k] = (after, ys)
+    assert sorted(read) == sorted(texts)
+
+
+@pytest.mark.parametrize("changed", [(0, 40), (1, 2), (2, 130)])
+def test_every_part_of_every_row_matters(spark, changed):
+    row, word = changed
+    texts = [["a", "b"] * 100 for _ in range(3)]
+    one = spark.createDataFrame([(" ".join(t),) for t in texts], "text string").coalesce(1)
+    texts[row][word] = "g"
+    other = spark.createDataFrame([(" ".join(t),) for t in texts], "text string").coalesce(1)
+    a, b = (lm.train(x, small_lexicon(), rounds=1) for x in (one, other))
+    assert not (a.e[7] == b.e[7]).all()
