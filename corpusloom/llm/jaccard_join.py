@@ -107,6 +107,19 @@ def _pair_needs(a: Column, b: Column, percent: int) -> Column:
     return F.floor(((a + b) * percent + 99 + percent) / (100 + percent))
 
 
+def _bound(bn: Column, low: Column, high: Column, percent: int) -> Column:
+    """Least number of common prefix tokens with any partner of low to high tokens.
+
+    Up to bn it is least at low. Above, it falls by percent^2 / (100 (100 + percent)) a
+    token, give or take less than 1 by rounding, so the least is among the last lengths,
+    whose number is fixed."""
+    last = -(-2 * 100 * (100 + percent) // percent ** 2)
+    lengths = [low, *(F.greatest(low, high - k) for k in range(last + 1))]
+    return F.least(*[
+        _pair_needs(bn, x, percent) - F.greatest(_own_needs(bn, percent), _own_needs(x, percent)) + 1 for x in lengths
+    ])
+
+
 def _needed(n: np.ndarray, percent: int) -> np.ndarray:
     """Least overlap with any partner: ceil(percent / 100 * n)."""
     return -(-n * percent // 100)
@@ -235,15 +248,12 @@ def jaccard_components(
     unions = matrix.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     asked = matrix.select("token", F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("last").alias("blast"),
                           F.col("group").alias("own")).join(unions, "token").where("own > group")
-    # The lengths that can match, and what both ends of that range need (it is least there).
+    # The lengths that can match, and the least that one of them needs.
     low = F.greatest("least", F.ceil(F.col("bn") * percent / 100))
     high = F.least("most", F.floor(F.col("bn") * 100 / percent))
     bound = asked.groupBy("b", "bn", "group").agg(
         F.min("least").alias("least"), F.max("most").alias("most"), F.count("*").alias("common")
-    ).where(low <= high).where(F.col("common") >= F.least(*[
-        _pair_needs(F.col("bn"), x, percent) - F.greatest(_own_needs(F.col("bn"), percent), _own_needs(x, percent)) + 1
-        for x in (low, high)
-    ])).select("b", "group")
+    ).where(low <= high).where(F.col("common") >= _bound(F.col("bn"), low, high, percent)).select("b", "group")
     opened = asked.select("token", "b", "bn", "blast", "group").join(bound, ["b", "group"]).join(
         matrix.select("token", "group", F.col("doc").alias("a"), F.col("n").alias("an"), F.col("last").alias("alast")),
         ["token", "group"])

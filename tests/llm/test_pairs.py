@@ -206,3 +206,54 @@ def test_vectors(spark):
 def test_recall():
     x = some_vectors().astype(np.float64)
     assert vectors.candidates_recall(x / np.linalg.norm(x, axis=1, keepdims=True), 0.95) >= 0.9
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90, 95, 100])
+def test_group_bound(spark, percent):
+    """What a group must have in common is the least over all its lengths."""
+    def need(b, x):
+        return -(-(b + x) * percent // (100 + percent)) - max(-(-b * percent // 100), -(-x * percent // 100)) + 1
+
+    rows = [(b, low, high) for b in range(1, 64) for low in range(-(-b * percent // 100), b * 100 // percent + 1)
+            for high in range(low, b * 100 // percent + 1)]
+    df = spark.createDataFrame(rows, "bn bigint, low bigint, high bigint")
+    got = df.withColumn("got", jaccard_join._bound(df.bn, df.low, df.high, percent)).collect()
+    assert all(r.got == min(need(r.bn, x) for x in range(r.low, r.high + 1)) for r in got)
+
+
+def test_group_of_middle_lengths(spark):
+    """A link of a set of 28 to the one of 29 in a group with lengths 28, 29 and 30."""
+    import pyarrow as pa
+
+    def tokens(words):
+        return jaccard_join.token_sets(pa.array([" ".join(words)]), 1)[0]
+
+    def minima(words):
+        salts = [np.uint64(0xA24BAED4963EE407 * (k + 1) & (1 << 64) - 1) for k in range(2, jaccard_join.MINIMA + 2)]
+        return [int(jaccard_join.arrays.mix(tokens(words) ^ x).min()) for x in salts]
+
+    def alike(x, y):
+        return sum(a == b for a, b in zip(minima(x), minima(y), strict=True))
+
+    def order(word):  # of shared words, which have one level
+        return int(tokens([word]).view(np.int64)[0])
+
+    # Three minima bring a, c and d together and not b; prefixes of b and a meet in one word.
+    single = [f"v{k}" for k in range(20_000)]
+    salts = [np.uint64(0xA24BAED4963EE407 * (k + 1) & (1 << 64) - 1) for k in range(2, jaccard_join.MINIMA + 2)]
+    own = np.stack([jaccard_join.arrays.mix(jaccard_join.token_sets(pa.array(single), 1)[0] ^ x) for x in salts])
+    for seed in range(200):
+        shared = sorted((f"s{seed}x{k}" for k in range(27)), key=order)
+        a = [*shared, "u1", "u2"]
+        c, d = [w for w in a if w != shared[5]], [*a, "w"]
+        less = (own < np.array(minima(a), np.uint64)[:, None]).sum(axis=0)
+        if alike(a, c) == alike(a, d) == 4 and less.max() >= 3:
+            b = [*shared, single[int(less.argmax())]]
+            break
+    assert max(alike(b, x) for x in (a, c, d)) <= 1
+    assert len(a) == 29 and len(b) == len(c) == 28 and len(d) == 30
+    fill = [[*shared, *(f"f{i}y{k}" for k in range(90))] for i in range(20)]
+    rows = [(i, " ".join(words)) for i, words in enumerate([a, c, d, b, *fill])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs, n=1, percent=90).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0} | {k: k for k in range(4, 24)}
