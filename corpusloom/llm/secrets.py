@@ -42,12 +42,22 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{32,}+", least=32),
 )
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", literal="PRIVATE KEY-----"),
+    # To the next END line, or, where there is none, over the headers and lines of base64 that
+    # follow. Line ends may be written out, as in JSON.
+    Rule(
+        "private_key",
+        r"""-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"""
+        r"""(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]{0,40}PRIVATE KEY-----"""
+        r"""|(?:(?:[\x20\t\r"',]*+(?:\\r)?+(?:\n|\\n)[\x20\t"',#>*]*+)++"""
+        r"""(?:(?:Proc-Type|DEK-Info):[^\r\n\\]++|[A-Za-z0-9+/=]++(?=[\x20\t]*+(?:["',\\\r\n]|$)))"""
+        r"""|[\x20\t]*+[A-Za-z0-9+/=]{16,}+)*+)""",
+        literal="PRIVATE KEY-----",
+    ),
     Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]{36,}+", least=40, literal="gh"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}+[.]eyJ[A-Za-z0-9_-]{8,}+[.][A-Za-z0-9_-]{8,}+", literal="eyJ"),
 )
 # Each version of the rules is scanned for by itself, so that a new one costs its own rules only.
-VERSIONS: dict[str, tuple[Rule, ...]] = {"base-1": BASE_RULES, "more-1": MORE_RULES}
+VERSIONS: dict[str, tuple[Rule, ...]] = {"base-1": BASE_RULES, "more-2": MORE_RULES}
 KINDS = [r.kind for rules in VERSIONS.values() for r in rules]
 LEDGER = "blob string, version string, spans array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 

@@ -264,3 +264,30 @@ def test_mixing_prefers_by_odds(spark):
     got = [r for r in mixing.mix(docs).collect() if r.target < 2 * r.source_size]
     mean = {n: np.mean([r.copies for r in got if r.size == n]) for n in (3, 300)}
     assert mean[300] > mean[3]
+
+
+def test_whole_private_key(spark):
+    """From BEGIN to END, or over the base64 without an END; what stands around stays."""
+    r = np.random.default_rng(3)
+    lines = ["".join(r.choice(list("ABCxyz0189+/"), 64)) for _ in range(20)] + ["Qx7+/k=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    headed = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123ABCD", "", *lines]
+    key, many = "\n".join(lines), "\n".join(lines * 1000)
+    cases = [
+        (f"one\n{begin}\n{key}\n{end}\ntwo", "one\n[private_key]\ntwo"),
+        (f"one\n{begin}\n" + "\n".join(headed) + f"\n{end}\ntwo {begin}\r\n{key}\r\n{end}", "one\n[private_key]\ntwo [private_key]"),
+        ('{"k": "' + begin + "\\n" + "\\n".join(lines) + "\\n" + end + '\\n"}', '{"k": "[private_key]\\n"}'),
+        (f"one\n{begin}\n{many}\n{end}\ntwo", "one\n[private_key]\ntwo"),
+        (f"one\n{begin}\n{key}\n\nplain words here", "one\n[private_key]\n\nplain words here"),
+        (f"{begin}\n" + "\r\n".join(headed), "[private_key]"),
+        (f"{begin}\n{many}", "[private_key]"),
+        ('{"k": "' + begin + "\\n" + "\\n".join(lines) + '"}', '{"k": "[private_key]"}'),
+        (f"{begin} {''.join(lines[:3])} cut off", "[private_key] cut off"),
+        (f"{begin}\n{key}\n{begin}\n{key}\n{end} two", "[private_key]\n[private_key] two"),
+        (f"{begin} is a header, not a key.", "[private_key] is a header, not a key."),
+    ]
+    df = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(cases)], "doc_id bigint, text string")
+    spans = secrets.findings_of(secrets.versions_of(df, ["doc_id", "text"]), secrets.scan_new(df, None), ["doc_id", "text"])
+    got = {x.doc_id: x.out for x in spans.select("doc_id", secrets.redacted(F.col("text"), F.col("spans")).alias("out")).collect()}
+    for k, (_, want) in enumerate(cases):
+        assert got[k] == want, k
