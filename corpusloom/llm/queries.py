@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_dedup, jaccard_join, language_model, mixing, packing, rules, secrets, token_files, vectors, word_dedup
+from corpusloom.llm import alignment, byte_dedup, jaccard_join, language_model, mixing, packing, rules, secrets, token_files, vectors, word_dedup
 from corpusloom.llm.tokens import tokenizer_path
 from corpusloom.session import cut, scratch_path
 
@@ -97,6 +97,12 @@ def op10_mixing(spark, sf):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+@query
+def op13_token_alignment(spark, sf):
+    return alignment.score(
+        table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 @query
 def pipeline(spark, sf):
     import corpus_pipeline
