@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import alignment, byte_dedup, jaccard_join, language_model, mixing, packing, prefix_trie, rules, secrets, token_files, vectors, word_dedup
+from corpusloom.llm import alignment, byte_dedup, jaccard_join, language_id, language_model, mixing, packing, prefix_trie, rules, secrets, token_files, vectors, word_dedup
 from corpusloom.llm.tokens import tokenizer_path
 from corpusloom.session import cut, scratch_path
 
@@ -102,6 +102,11 @@ def op11_prefix_trie(spark, sf):
     return prefix_trie.trie(table(spark, sf, "conversations"))
 
 
+@query
+def op12_language_id(spark, sf):
+    return language_id.identify(table(spark, sf, "documents"))
+
+
 @query
 def op13_token_alignment(spark, sf):
     return alignment.score(
