@@ -34,6 +34,8 @@ TEST_PATH_PARTS = ["/test/", ".test.", ".spec."]
 TEST_PATH_ENDINGS = ["test.java", "tests.java", "_test.py", "test.py"]
 PACKAGE_MARKERS = ["src/main/java/", "src/main/kotlin/", "src/"]
 ROOT_PACKAGE = "(root)"
+# The tree in one line, where nothing longer fits.
+WHOLE_TREE = "(all)"
 
 MAX_FILE_BYTES = 400_000
 CHUNK_TOKEN_BUDGET = 12_000
@@ -125,6 +127,10 @@ SECURED_MARK = "@Secured"
 SECURED_NOTE = "Secured endpoints present"
 SUMMARY_LIMIT = 2000
 COMPONENT_LIMIT = 6
+# Facts of a kind that a run's document shows; the table of facts has all.
+SHOWN_FACTS = 10
+# Where a run's document says that the file records are.
+RECORDS_FOLDER = "files"
 
 # --- price per million tokens: input, output ------------------------------------
 PRICES = {
@@ -150,6 +156,11 @@ PACKAGE_PROMPT = (
     "Package: {package}\n\nFiles:\n{digest}\n\n"
     "Summarize this package's responsibility and key components."
 )
+# Requests beyond the first level of a fold; own wording.
+PACKAGES_PROMPT = (
+    "Packages: {packages}\n\nSummaries, in order:\n{digest}\n\n"
+    "Summarize what these packages do together and their key components."
+)
 OVERVIEW_PROMPT = (
     "Target: {target}\n\nPackage / directory layout:\n{tree}\n\n"
     "Per-file summaries (role — path — summary):\n{digest}\n\n"

@@ -17,7 +17,7 @@ from corpusloom.settings import Settings
 def with_insight(
     files: DataFrame, settings: Settings | None = None, max_methods: int | None = None
 ) -> DataFrame:
-    """Add `insight` and `chunked` from the redacted text; the text itself goes away.
+    """Add `insight`, `chunked` and `parts` from the redacted text; the text itself goes away.
 
     All methods are reported unless `max_methods` says how many. A file over the chunk
     budget gets one insight per chunk, merged within the row.
@@ -34,6 +34,7 @@ def with_insight(
     return df.withColumns({
         "insight": rules.merged(F.col("_parts")),
         "chunked": F.size("_chunks") > 1,
+        "parts": F.greatest(F.size("_chunks"), F.lit(0)).cast("bigint"),
     }).drop("_chunks", "_role", "_parts", "content")
 
 

@@ -28,9 +28,9 @@ def rule_based_records(
     """Records whose insight comes from the rules: one pass over the text, no shuffle.
 
     Metrics read the original text, the insight reads the redacted one. `keep` names
-    further columns to carry along.
+    further columns to carry along; `parts`, the chunks of a file, may be among them.
     """
-    df = with_metrics(files.select(*keep, *_FILE, "content"))
+    df = with_metrics(files.select(*[c for c in keep if c != "parts"], *_FILE, "content"))
     df = with_insight(df, settings)
     return df.withColumn("from_cache", F.lit(False)).select(*keep, *_record_columns())
 

@@ -154,39 +154,51 @@ def truncate_to_budget(lines: DataFrame, budget: int) -> DataFrame:
     return kept.unionByName(end)
 
 
-def reduce_digest(records: DataFrame, packages: DataFrame, budget: int) -> DataFrame:
-    """(sort_key, line) of the digest for the final request: file lines when they
-    fit, else package lines cut to the budget. The choice needs one row of sizes."""
-    lines = digest_lines(records)
-    if not digest_budget(lines, budget).first()["over_budget"]:
-        return lines.select(F.col("path").alias("sort_key"), "line")
-    kept = truncate_to_budget(package_summaries(packages), budget)
-    return kept.select(F.lpad(F.col("position").cast("string"), 19, "0").alias("sort_key"), "line")
+def joined_lines(lines: DataFrame, order: str, text: str) -> DataFrame:
+    """One row: all lines joined in order. The caller has tested their size."""
+    every = F.transform(F.array_sort(F.collect_list(F.struct(order, "line"))), lambda x: x["line"])
+    return lines.agg(F.array_join(every, "\n").alias(text))
 
 
-def _joined(lines: DataFrame, sort_key: str, limit: int) -> DataFrame:
-    """One row: the lines joined in order, or null where they exceed `limit` tokens.
+def fitting_tree(files: DataFrame, budget: int) -> DataFrame:
+    """(package, n, line): the package tree, as deep as `budget` tokens allow.
 
-    The size is known before any text is gathered: over the limit no line passes.
+    Packages deeper than that are counted with their prefix, so that every file counts
+    once at any depth; the last resort is one line for all. Prefixes are made of packages,
+    not of files, and the sizes of all depths come from one aggregation.
     """
-    tokens = lines.agg(joined_tokens(F.col("line"))).scalar()
-    fitting = lines.where(tokens <= limit).groupBy().agg(
-        F.count("*").alias("n"), F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct(sort_key, "line"))), lambda x: x["line"]
-        ), "\n").alias("text")
+    packages = files.groupBy(package_or_root(F.col(_PACKAGE)).alias(_PACKAGE)).agg(F.count("*").alias("n"))
+    names = F.split(F.col(_PACKAGE), "[.]")
+    deepest = packages.agg(F.max(F.size(names))).first()[0] or 0
+    prefix = F.when(F.col("depth") == 0, F.lit(fv.WHOLE_TREE)).when(
+        F.size(names) > F.col("depth"), F.array_join(F.slice(names, F.lit(1), F.col("depth")), ".")
+    ).otherwise(F.col(_PACKAGE))
+    trees = (
+        packages.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(deepest))))
+        .groupBy("depth", prefix.alias(_PACKAGE)).agg(F.sum("n").alias("n"))
+        .withColumn("line", fill(fv.TREE_LINE, package=F.col(_PACKAGE), n=F.col("n")))
     )
-    return fitting.select(F.when(F.col("n") > 0, F.col("text")).alias("text"))
+    sizes = trees.groupBy("depth").agg(joined_tokens(F.col("line")).alias("tokens")).collect()
+    best = max((r["depth"] for r in sizes if r["tokens"] <= budget), default=0)
+    return trees.where(F.col("depth") == best).drop("depth")
+
+
+def tokens_of(chars: int) -> int:
+    return chars // fv.CHARS_PER_TOKEN + 1 if chars > 0 else 0
 
 
 def overview_prompt(
-    target: str, tree: DataFrame, digest: DataFrame, max_input_tokens: int
+    target: str, files: DataFrame, digest: DataFrame, max_input_tokens: int
 ) -> DataFrame:
-    """One row: target, prompt, prompt_tokens. The prompt is null when tree or digest
-    alone exceed the input limit: such a request could not be sent; the tables can."""
-    tree_text = _joined(tree, _PACKAGE, max_input_tokens).scalar()
-    digest_text = _joined(digest, "sort_key", max_input_tokens).scalar()
+    """One row: target, prompt, prompt_tokens. `digest` (at, line) is the last level of a
+    fold, so its size is bounded; the tree gets what it and the wording leave."""
+    shell = len(fv.OVERVIEW_PROMPT) + len(target)
+    used = digest_budget(digest, 0).first()["tokens"] + tokens_of(shell) + 2
+    tree = fitting_tree(files, max(1, max_input_tokens - used))
     row = digest.sparkSession.range(1).select(
-        F.lit(target).alias("target"), tree_text.alias("tree"), digest_text.alias("digest")
+        F.lit(target).alias("target"),
+        joined_lines(tree, _PACKAGE, "tree").scalar().alias("tree"),
+        joined_lines(digest, "at", "digest").scalar().alias("digest"),
     )
     prompt = fill(fv.OVERVIEW_PROMPT, target=F.col("target"), tree=F.col("tree"), digest=F.col("digest"))
     return row.select("target", prompt.alias("prompt")).withColumn(
@@ -194,39 +206,64 @@ def overview_prompt(
     )
 
 
-def _top(df: DataFrame, order: list, value: str, k: int) -> DataFrame:
-    """One row, one array: `value` of the first k rows in order."""
-    top = df.orderBy(*order).limit(k).withColumn(
-        "_at", F.row_number().over(Window.orderBy(*order))
-    )
-    return top.agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("_at", value))), lambda x: x[value]
-    ).alias("items"))
-
+def overview_facts(records: DataFrame) -> DataFrame:
+    """(kind, rank, value): every fact of the overview's lists, ranked within its kind.
 
-def overview(records: DataFrame, name: str, top: int = 10) -> DataFrame:
-    """One row of project facts from the records: every list is a top-k report."""
+    Each list is as long as the corpus has items of its kind; ranks are worked out over
+    ranges, so that a kind with very many items is no one task's.
+    """
     languages = records.groupBy("language").agg(F.count("*").alias("n"))
     frameworks = records.select(
         F.explode("insight.external_dependencies").alias("framework")
     ).groupBy("framework").agg(F.count("*").alias("n"))
-    packages = package_tree(records)
+    packages = records.groupBy(package_or_root(F.col(_PACKAGE)).alias(_PACKAGE)).agg(F.count("*").alias("n"))
     roles = records.groupBy(F.col("insight.role").alias("role")).agg(F.count("*").alias("n"))
-    entries = records.where(F.col("insight.role") == fv.ROLE_HINTS[0][1]).select("path")
-    risky = records.where(F.col("complexity.band").isin("high", "very_high")).select(
-        "path", F.col("complexity.max_cyclomatic_complexity").alias("ccn"),
-        F.concat("path", F.lit(": "), "complexity.most_complex_function").alias("risk"),
-    )
-    facts = {
-        "primary_language": _top(languages, [F.desc("n"), "language"], "language", 1).select(
-            F.col("items")[0]
-        ),
-        "frameworks": _top(frameworks, [F.desc("n"), "framework"], "framework", top),
-        "key_components": _top(packages, [F.desc("n"), "package"], "package", top),
-        "entry_points": _top(entries, ["path"], "path", top),
-        "notable_patterns": _top(roles, [F.desc("n"), "role"], "role", top),
-        "potential_risks": _top(risky, [F.desc("ccn"), "path"], "risk", top),
-    }
-    return records.sparkSession.range(1).select(
-        F.lit(name).alias("name"), *[df.scalar().alias(field) for field, df in facts.items()]
-    )
+    entries = records.where(F.col("insight.role") == fv.ROLE_HINTS[0][1])
+    risky = records.where(F.col("complexity.band").isin("high", "very_high"))
+    none = F.lit(0).cast("bigint")
+
+    def of(kind: str, df: DataFrame, value: Column, weight: Column, order: Column) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), (-weight).cast("bigint").alias("_weight"), order.alias("_order"), value.alias("value"))
+
+    facts = [
+        of("primary_language", languages, F.col("language"), F.col("n"), F.col("language")),
+        of("frameworks", frameworks, F.col("framework"), F.col("n"), F.col("framework")),
+        of("key_components", packages, F.col(_PACKAGE), F.col("n"), F.col(_PACKAGE)),
+        of("entry_points", entries, F.col("path"), none, F.col("path")),
+        of("notable_patterns", roles, F.col("role"), F.col("n"), F.col("role")),
+        of("potential_risks", risky, F.concat("path", F.lit(": "), "complexity.most_complex_function"),
+           F.col("complexity.max_cyclomatic_complexity"), F.col("path")),
+    ]
+    every = facts[0]
+    for more in facts[1:]:
+        every = every.unionByName(more)
+    ranked = running_sum(every.withColumn("_one", F.lit(1).cast("bigint")), ["kind"], ["_weight", "_order"], "_one", "rank")
+    return ranked.select("kind", (F.col("rank") + 1).alias("rank"), "value", (-F.col("_weight")).alias("weight"))
+
+
+def overview(records: DataFrame, name: str, top: int | None = None) -> DataFrame:
+    """One row of project facts from the records, made by rule. Lists are whole unless `top`
+    says how many of each to show; at scale, write `overview_facts` and show a few."""
+    facts = overview_facts(records)
+    shown = facts if top is None else facts.where(F.col("rank") <= top)
+    kinds = ["frameworks", "key_components", "entry_points", "notable_patterns", "potential_risks"]
+
+    def listed(kind: str) -> Column:
+        mine = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "value"))))
+        return F.transform(mine, lambda x: x["value"]).alias(kind)
+
+    def first(kind: str) -> Column:
+        return F.max(F.when((F.col("kind") == kind) & (F.col("rank") == 1), F.col("value")))
+
+    size = records.agg(
+        F.count("*").alias("files"), F.count_distinct(package_or_root(F.col(_PACKAGE))).alias("packages")
+    ).select(F.struct("*")).scalar()
+    language, role, package = first("primary_language"), first("notable_patterns"), first("key_components")
+    row = shown.agg(language.alias("primary_language"), role.alias("_role"), package.alias("_package"), *map(listed, kinds))
+    sized = row.withColumn("_size", size)
+    purpose = F.concat(F.lit("A "), F.coalesce("primary_language", F.lit("source")), F.lit(" project of "),
+                       F.col("_size.files").cast("string"), F.lit(" files in "), F.col("_size.packages").cast("string"), F.lit(" packages."))
+    style = F.concat(F.lit("Mostly "), F.coalesce("_role", F.lit("files")), F.lit("; the largest package is "),
+                     F.coalesce("_package", F.lit(fv.ROOT_PACKAGE)), F.lit("."))
+    return sized.select(
+        F.lit(name).alias("name"), purpose.alias("purpose"), style.alias("architecture_summary"), "primary_language", *kinds)

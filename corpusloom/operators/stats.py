@@ -29,12 +29,15 @@ def cost(prompt_tokens: Column, completion_tokens: Column, model: Column) -> Col
 def usage_totals(calls: DataFrame, by: list[str] | None = None, count_empty: bool = False) -> DataFrame:
     """calls, prompt_tokens, completion_tokens of (prompt_tokens, completion_tokens).
 
-    A call that reports no tokens is not counted, unless `count_empty` (rule-based
-    runs, where no call has any).
+    A call that reports no tokens is not counted, unless `count_empty`. Rows of a
+    rule-based run, where no call has any, say themselves how many `calls` they stand for.
     """
     used = (F.col("prompt_tokens") > 0) | (F.col("completion_tokens") > 0)
+    number = F.count("*") if count_empty else F.count_if(used)
+    if "calls" in calls.columns:
+        number = F.coalesce(F.sum("calls"), F.lit(0)).cast("bigint")
     return calls.groupBy(*(by or [])).agg(
-        (F.count("*") if count_empty else F.count_if(used)).alias("calls"),
+        number.alias("calls"),
         F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"),
         F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"),
     )
@@ -47,9 +50,11 @@ def with_cost(totals: DataFrame, model: Column) -> DataFrame:
 
 
 def run_statistics(
-    discovered: DataFrame, records: DataFrame, usage: DataFrame, model: str
+    discovered: DataFrame, records: DataFrame, usage: DataFrame, model: str,
+    wall_time_seconds: float | None = None,
 ) -> DataFrame:
-    """One row. `discovered` is (path, lines); each input is aggregated once."""
+    """One row. `discovered` is (path, lines); each input is aggregated once. The wall time
+    is the caller's to measure; without one there is no such column."""
     found = discovered.agg(
         F.count("*").alias("files"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines")
     )
@@ -61,6 +66,7 @@ def run_statistics(
     row = discovered.sparkSession.range(1).select(
         one.alias("found"), two.alias("made"), three.alias("used")
     )
+    timed = [] if wall_time_seconds is None else [F.lit(float(wall_time_seconds)).alias("wall_time_seconds")]
     return row.select(
         F.col("found.files").alias("files_discovered"),
         F.col("made.files").alias("files_analyzed"),
@@ -71,6 +77,7 @@ def run_statistics(
         F.col("used.prompt_tokens").alias("prompt_tokens"),
         F.col("used.completion_tokens").alias("completion_tokens"),
         F.col("used.estimated_cost_usd").alias("estimated_cost_usd"),
+        *timed,
     )
 
 

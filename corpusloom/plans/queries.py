@@ -19,6 +19,7 @@ from corpusloom.operators import (
     cache,
     chunk,
     complexity,
+    fold,
     insight,
     merge,
     prompts,
@@ -37,7 +38,7 @@ from corpusloom.operators.discover import (
 from corpusloom.plans.src_view import src, table
 from corpusloom.session import cut, local_path, scratch_path, spread
 from corpusloom.settings import Settings
-from corpusloom.sources.replies import good_replies, parse_replies
+from corpusloom.sources.replies import good_replies, one_overview_per_part, parse_overviews, parse_replies
 from corpusloom.sources.sinks import analysis_document, metadata, read_records, write_records
 from corpusloom.sources.store import append_store, read_store
 from corpusloom.sources.tables import corpus_from_table
@@ -55,6 +56,8 @@ REPORT_BUDGET = 800
 SMALL_FILE = 2_000
 DIGEST_PART = 100
 DIGEST_BUDGET = 600
+FOLD_BUDGET = 400
+TREE_BUDGET = 60
 OUTPUT_SHARE = 0.25
 GOLDEN_THRESHOLD = 1.5
 TARGET = "acme/demo"
@@ -567,17 +570,52 @@ def truncate_to_budget(spark, sf):
 def overview_prompt(spark, sf):
     found = cut(_records(spark, sf))
     settings = Settings()
-    digest = reduce.reduce_digest(found, reduce.rule_based_packages(found), settings.reduce_budget)
-    return reduce.overview_prompt(
-        TARGET, reduce.package_tree(found), digest, settings.max_input_tokens
-    )
+    _, last = fold.fold_by_rules(found, settings.reduce_budget)
+    return reduce.overview_prompt(TARGET, found, last.lines, settings.max_input_tokens)
+
+
+@query
+def reduce_requests(spark, sf):
+    """All requests that fold the digest to a small budget, every answer made by rule."""
+    asked, _ = fold.fold_by_rules(cut(_records(spark, sf)), FOLD_BUDGET)
+    return asked.select(
+        "level", "part", "label", "first", "last", "files", "role", joined("names").alias("names"),
+        "prompt_tokens", F.md5("prompt").alias("prompt_md5"))
+
+
+@query
+def overview_replies(spark, sf):
+    """Replies to the first level as a model would give them, every 7th cut short and every
+    11th without a purpose, and the lines of the next level."""
+    level = fold.first_level(cut(_records(spark, sf)), FOLD_BUDGET)
+    purpose = F.concat(F.lit("Covers "), F.col("files").cast("string"), F.lit(" files."))
+    fields = {f: F.lit("x") for f in ("name", "architecture_summary", "primary_language")}
+    texts = [v.alias(f) for f, v in fields.items()]
+    whole = F.to_json(F.struct(*texts, purpose.alias("purpose"), F.reverse("names").alias("key_components")))
+    lacking = F.to_json(F.struct(*texts, F.reverse("names").alias("key_components")))
+    replies = level.requests.select("level", "part", F.when(F.col("part") % 7 == 0, F.substring(whole, F.lit(1), F.length(whole) - 5))
+                                    .when(F.col("part") % 11 == 0, lacking).otherwise(whole).alias("reply"))
+    parsed = parse_overviews(replies)
+    lines = fold.answered(level.requests, one_overview_per_part(parsed)).select(F.col("at").cast("bigint").alias("part"), "line")
+    return parsed.select("level", "part", F.col("overview").isNotNull().alias("accepted")).join(lines, "part")
+
+
+@query
+def fitting_tree(spark, sf):
+    """The package tree cut to the depth that a small budget allows."""
+    return reduce.fitting_tree(files(spark, sf, heavy=False), TREE_BUDGET)
+
+
+@query
+def overview_facts(spark, sf):
+    return reduce.overview_facts(cut(_records(spark, sf)))
 
 
 @query
 def overview(spark, sf):
-    facts = reduce.overview(cut(_records(spark, sf)), TARGET)
-    lists = [f for f in facts.columns if f not in ("name", "primary_language")]
-    return facts.select("name", "primary_language", *[joined(f).alias(f) for f in lists])
+    facts = reduce.overview(cut(_records(spark, sf)), TARGET, top=fv.SHOWN_FACTS)
+    lists = [f.name for f in facts.schema.fields if f.dataType.typeName() == "array"]
+    return facts.select(*[joined(f).alias(f) if f in lists else f for f in facts.columns])
 
 
 # --- statistics --------------------------------------------------------------------------------
@@ -632,14 +670,15 @@ def usage_cost(spark, sf):
 
 @query
 def analysis_document_(spark, sf):
-    measured = cut(records.rule_based_records(with_lines(headed_files(spark, sf)), keep=("lines",)))
-    made = measured.drop("lines")
-    none = spark.range(0).selectExpr("id as prompt_tokens", "id as completion_tokens")
+    measured = cut(records.rule_based_records(with_lines(headed_files(spark, sf)), keep=("lines", "parts")))
+    made = measured.drop("lines", "parts")
+    calls = measured.selectExpr("0 as prompt_tokens", "0 as completion_tokens", "parts as calls")
     return analysis_document(
         metadata(spark, TARGET, fv.DEFAULT_MODEL, GENERATED_AT),
-        reduce.overview(made, TARGET),
-        stats.run_statistics(measured, made, none, fv.DEFAULT_MODEL),
+        reduce.overview(made, TARGET, top=fv.SHOWN_FACTS),
+        stats.run_statistics(measured, made, calls, fv.DEFAULT_MODEL),
         language_breakdown(measured),
+        fv.RECORDS_FOLDER,
     )
 
 

@@ -21,6 +21,18 @@ INSIGHT = T.StructType([
     T.StructField("noteworthy", STRINGS),
 ])
 
+OVERVIEW = T.StructType([
+    T.StructField("name", T.StringType()),
+    T.StructField("purpose", T.StringType()),
+    T.StructField("architecture_summary", T.StringType()),
+    T.StructField("primary_language", T.StringType()),
+    T.StructField("frameworks", STRINGS),
+    T.StructField("key_components", STRINGS),
+    T.StructField("entry_points", STRINGS),
+    T.StructField("notable_patterns", STRINGS),
+    T.StructField("potential_risks", STRINGS),
+])
+
 COMPLEXITY = T.StructType([
     T.StructField("nloc", T.LongType()),
     T.StructField("function_count", T.LongType()),

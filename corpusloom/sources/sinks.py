@@ -33,12 +33,12 @@ def metadata(spark: SparkSession, target: str, model: str, generated_at: str) ->
 
 
 def analysis_document(
-    meta: DataFrame, overview: DataFrame, statistics: DataFrame, languages: DataFrame
+    meta: DataFrame, overview: DataFrame, statistics: DataFrame, languages: DataFrame, files: str
 ) -> DataFrame:
-    """One row, one JSON value `document`: metadata, overview, statistics.
+    """One row, one JSON value `document`: metadata, overview, statistics, files.
 
-    The file records stay a dataset of their own, as they grow with the corpus; the
-    languages are bounded by the extension list.
+    The file records stay a dataset of their own, as they grow with the corpus: `files`
+    says where they are. The languages are bounded by the extension list.
     """
     listed = languages.agg(F.array_sort(
         F.collect_list(F.struct("language", "file_count", "line_count"))
@@ -51,4 +51,5 @@ def analysis_document(
         one(meta).alias("metadata"),
         one(overview).alias("overview"),
         one(statistics, listed.alias("languages")).alias("statistics"),
+        F.lit(files).alias("files"),
     )).alias("document"))

@@ -4,7 +4,7 @@ import pytest
 
 from corpusloom import Settings
 from corpusloom import fixed_values as fv
-from corpusloom.operators import reduce
+from corpusloom.operators import fold, reduce
 from corpusloom.operators.discover import discover
 from corpusloom.operators.ranking import global_rank, running_sum
 from corpusloom.operators.records import rule_based_records
@@ -82,20 +82,22 @@ def test_package_lines(records):
     assert got["hot"] == f"[package hot] 60 files, mostly REST controller. Components: {shown}"
 
 
-def test_overview_prompt_both_ways(records):
-    packages = reduce.rule_based_packages(records)
-    tree = reduce.package_tree(records)
-    whole = reduce.overview_prompt("t", tree, reduce.reduce_digest(records, packages, 100_000), 100_000).first()
+def test_overview_prompt_within_the_limit(records):
+    whole = reduce.overview_prompt("t", records, fold.first_level(records, 100_000).lines, 100_000).first()
     assert whole.prompt.startswith("Target: t\n\nPackage / directory layout:\n  (root) (1 files)\n  b (1")
     assert whole.prompt.count(" — [dry-run]") == 62
     assert whole.prompt_tokens == estimate(len(whole.prompt))
-    short = reduce.overview_prompt("t", tree, reduce.reduce_digest(records, packages, 40), 100_000).first()
-    assert "[package (root)]" in short.prompt and "(truncated for token budget)" in short.prompt
-    assert reduce.overview_prompt("t", tree, reduce.reduce_digest(records, packages, 40), 5).first().prompt is None
+    _, last = fold.fold_by_rules(records, 150)
+    short = reduce.overview_prompt("t", records, last.lines, 150 + 100).first()
+    assert "[package " in short.prompt and short.prompt_tokens <= 250
+    # The tree gives way first: all files in one line.
+    assert "  (all) (62 files)" in reduce.overview_prompt("t", records, last.lines, 90).first().prompt
 
 
 def test_overview(records):
     got = reduce.overview(records, "name", top=2).first()
+    assert got.purpose == "A Java project of 62 files in 3 packages." and got.architecture_summary.startswith("Mostly REST controller")
+    assert len(reduce.overview(records, "name").first().entry_points) == 60
     assert (got.name, got.primary_language, got.frameworks) == ("name", "Java", ["Lombok"])
     assert got.key_components == ["hot", "(root)"]
     assert [p[-18:] for p in got.entry_points] == ["F000Controller.java"[-18:], "F001Controller.java"[-18:]]
