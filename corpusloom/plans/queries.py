@@ -57,6 +57,7 @@ SMALL_FILE = 2_000
 DIGEST_PART = 100
 DIGEST_BUDGET = 600
 FOLD_BUDGET = 400
+SCAN_PAGE = 8 << 20
 TREE_BUDGET = 60
 OUTPUT_SHARE = 0.25
 GOLDEN_THRESHOLD = 1.5
@@ -104,7 +105,7 @@ def joined(array: Column | str) -> Column:
 def scan_tree_(spark, sf):
     root = scratch_path(spark, "tree")
     _write_tree(src(spark, sf, heavy=True), root)
-    found = discover(scan_tree(spark, root))
+    found = discover(scan_tree(spark, root, page_bytes=SCAN_PAGE))
     return found.select(
         "path", "language", "package", "size_bytes", line_count(F.col("content")).alias("lines"),
         F.sha2("content", 256).alias("content_hash"),

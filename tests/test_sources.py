@@ -10,7 +10,8 @@ from corpusloom.session import local_path, scratch_path
 from corpusloom.sources.replies import good_replies, parse_replies, quarantine
 from corpusloom.sources.sinks import read_records, write_records
 from corpusloom.sources.tables import corpus_from_table
-from corpusloom.sources.tree import list_tree, scan_tree
+from corpusloom.sources import tree as tree_source
+from corpusloom.sources.tree import FILE_BYTES, list_tree, paged, scan_tree
 
 TREE = {
     "src/main/java/com/acme/web/Foo.java": b"class Foo {}\r\n",
@@ -61,19 +62,57 @@ def test_listing_prunes_folders_and_reads_no_content(spark, tree):
     assert not any(n.startswith(("build/", ".git/", "again/")) for n in names)
 
 
-def test_many_folders_are_shared_out(spark, tmp_path, monkeypatch):
-    from corpusloom.sources import tree as module
-
-    monkeypatch.setattr(module, "_SUBTREES", 3)
+def test_a_folder_of_many_files_is_read_in_several_tasks(spark, tmp_path):
+    want = {}
+    for i in range(60):
+        (tmp_path / f"f{i:02d}.py").write_text("x" * (i * 40))
+        if i:
+            want[f"f{i:02d}.py"] = i * 40
+    listing = list_tree(spark, str(tmp_path)).where("size_bytes > 0")
+    pages = {}
+    for r in paged(listing, FILE_BYTES * 5).collect():
+        pages.setdefault(r.page, []).append(r.path)
+    assert sorted(pages) == list(range(len(pages))) and len(pages) >= 12
+    assert sorted(sum(pages.values(), [])) == sorted(want) and max(map(len, pages.values())) <= 6
+    got = scan_tree(spark, str(tmp_path), page_bytes=FILE_BYTES * 5)
+    assert got.rdd.getNumPartitions() == len(pages)
+    assert {r.path: len(r.content) for r in got.collect()} == want
+    assert all(len(p) <= 6 for p in got.select("path").rdd.glom().collect())
+
+
+def test_many_folders(spark, tmp_path):
     want = set()
     for i in range(20):
         folder = tmp_path / f"d{i % 4}" / f"e{i % 5}" / f"f{i}"
         folder.mkdir(parents=True)
         (folder / "a.py").write_text("x")
         want.add(f"d{i % 4}/e{i % 5}/f{i}/a.py")
-    reader = module._TreeReader({"path": str(tmp_path), "tasks": "2"})
-    found = [row for p in reader.partitions() for row in reader.read(p)]
-    assert {n for n, _, _ in found} == want and len(found) == 20
+    assert {r.path for r in list_tree(spark, str(tmp_path)).collect()} == want
+
+
+def test_a_folder_that_cannot_be_listed(spark, tree, monkeypatch):
+    with pytest.raises(OSError, match="nowhere"):
+        list_tree(spark, tree + "/nowhere")
+    kept = list_tree(spark, tree + "/nowhere", on_error="keep").collect()
+    assert len(kept) == 1 and "FileNotFoundError" in kept[0].error and kept[0].path == ""
+    assert scan_tree(spark, tree + "/nowhere", on_error="keep").count() == 0
+
+
+def test_other_file_systems_are_opened_by_address(tmp_path):
+    """The listing of a file system that is not mounted, in the task's own code."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.py").write_text("x")
+    (tmp_path / "a" / "build").mkdir()
+    system = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    found = sorted(tree_source._entries(system, "a", mounted=False))
+    assert [(n, s, d) for n, _, s, d in found] == [("build", None, True), ("x.py", 1, False)]
+    assert tree_source._file_system("file://" + str(tmp_path))[1] == str(tmp_path)
+    batch = pa.RecordBatch.from_pydict({"path": [""], "file": [str(tmp_path / "a")]})
+    rows = pa.Table.from_batches(tree_source._list_folders(str(tmp_path), frozenset(["build"]))(iter([batch]))).to_pylist()
+    assert [r["path"] for r in rows] == ["x.py"]
 
 
 def test_table_source(spark):
