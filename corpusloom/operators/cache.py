@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom import fixed_values as fv
+from corpusloom.operators.prefilter import prefiltered
 from corpusloom.operators.skew import left_join_hot
+from corpusloom.session import cut
 
 
 def content_key(content: Column, model: str, version: str = fv.PROMPT_VERSION) -> Column:
@@ -44,5 +46,7 @@ def worklist(keyed: DataFrame, stored: DataFrame | None) -> DataFrame:
 
 
 def work_files(files: DataFrame, keyed: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """The files to be processed, with content: a semi-join on the unique path."""
-    return files.join(worklist(keyed, stored), "path")
+    """The files to be processed, with content: a join on the unique path, before which a
+    filter of the paths drops the texts of the others."""
+    todo = cut(worklist(keyed, stored))
+    return prefiltered(files, todo, "path").join(todo, "path")

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.prefilter import prefiltered
+from corpusloom.session import cut
+
 
 def unfounded_methods(reported: DataFrame, texts: DataFrame) -> DataFrame:
     """(path, name) of reported methods whose name does not occur in the file.
 
-    `reported` is (path, names array): one row per file meets its text once.
+    `reported` is (path, names array): one row per file meets its text once, and texts of
+    files without a reported name are dropped before the join.
     """
     absent = F.filter("names", lambda name: ~F.contains(F.col("content"), name))
-    joined = reported.join(texts.select("path", "content"), "path")
+    named = cut(reported.where(F.size("names") > 0))
+    joined = named.join(prefiltered(texts.select("path", "content"), named, "path"), "path")
     return joined.withColumn("_absent", absent).select(
         "path", F.explode_outer("_absent").alias("name")
     ).where("name is not null")

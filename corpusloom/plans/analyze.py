@@ -64,7 +64,7 @@ def prepare(corpus: DataFrame, settings: Settings, store: str | None = None) ->
     ))
     stored = None
     if store and settings.cache_enabled:
-        stored = read_store(corpus.sparkSession, store, settings.model)
+        stored = read_store(corpus.sparkSession, store, settings.model, keys=keyed)
     # Written down: `complete` adds to the store before it reads this.
     looked_up = cut(cache.cache_lookup(keyed.select("path", "key"), stored))
     # The requests lie in storage until they are answered.

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from corpusloom.functions.insight import insight
 from corpusloom.operators import cache
 from corpusloom.operators.skew import hot_keys, left_join_hot
 from corpusloom.session import scratch_path
+from corpusloom.sources import store
 from corpusloom.sources.store import append_store, read_store
 
 
@@ -46,6 +48,74 @@ def test_store_hits_and_misses(spark):
     assert cache.worklist(other, read_store(spark, path, "other")).count() == 1
 
 
+def test_commits_side_by_side_and_half_done(spark):
+    """Two writers that did not see one another, one that died before its manifest, and a
+    compaction: one row per key throughout, the later writer's."""
+    path = scratch_path(spark, "store")
+    base = with_rules(keyed(spark, [("a", "one")])).select("path", "key", "insight")
+    first = store.append_store(base, path, "m")
+    a = with_rules(keyed(spark, [("x", "two"), ("y", "three")])).select("path", "key", "insight")
+    b = with_rules(keyed(spark, [("z", "two"), ("w", "four")])).select("path", "key", "insight")
+    seen = store.commits(spark, path)
+    ids = []
+    for rows in (a, b):
+        ids.append(store._commit_id())
+        store._write(rows, path, ids[-1], "m", "v1")
+    store._write(with_rules(keyed(spark, [("l", "lost")])), path, store._commit_id(), "m", "v1")
+    for i in ids:
+        store._publish(spark, path, i, seen)
+    assert store._side_by_side(store.commits(spark, path)) == set(ids)
+    got = read_store(spark, path, "m")
+    assert got.count() == 4 == got.select("key").distinct().count()
+    two = keyed(spark, [("q", "two")]).first().key
+    assert got.where(F.col("key") == two).first().insight.summary == "[dry-run] A r (z)."
+    assert store.append_store(b, path, "m") is None
+    assert store.compact_store(spark, path) and list(store.commits(spark, path)) != [first]
+    assert len(store.commits(spark, path)) == 1
+    again = read_store(spark, path, "m")
+    assert sorted(r.insight.summary for r in again.collect()) == sorted(r.insight.summary for r in got.collect())
+    # A writer that had seen what was replaced meanwhile has seen its replacement.
+    late = store._commit_id()
+    store._write(with_rules(keyed(spark, [("n", "new")])), path, late, "m", "v1")
+    store._publish(spark, path, late, {first, *ids})
+    assert not store._side_by_side(store.commits(spark, path)) and read_store(spark, path, "m").count() == 5
+
+
+def test_a_lookup_reads_its_prefixes_only(spark):
+    path = scratch_path(spark, "store")
+    df = with_rules(keyed(spark, [(f"p{i}", f"text {i}") for i in range(200)])).select("path", "key", "insight")
+    append_store(df, path, "m")
+    keys = df.where(F.substring("key", 1, 1).isin("3", "b")).select("key")
+    got = read_store(spark, path, "m", keys=keys)
+    assert got.count() == keys.count() > 5
+    # The prefix is a folder, so the filter on it decides which folders are listed.
+    assert got.inputFiles() and all("/prefix=" in f for f in got.inputFiles())
+    kept = {line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "prefix#" in line and "Filter" in line}
+    assert any("IN (3,b)" in line or "IN (b,3)" in line for line in kept)
+
+
+def test_texts_of_stored_files_cross_no_exchange(spark):
+    """The filter on the paths to be sent stands between the scan and the exchange."""
+    path = scratch_path(spark, "texts")
+    spark.createDataFrame([(f"p{i}", f"text {i}") for i in range(300)], "path string, content string").write.parquet(path)
+    files = spark.read.parquet(path)
+    some = cache.with_key(files, "m").select("path", "key")
+    stored = some.where("path <> 'p7'").select("key")
+    with_threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        work = cache.work_files(files, some, stored)
+        assert [r.path for r in work.collect()] == ["p7"]
+        plan = work._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"Exchange hashpartitioning\(path#[^\n]*\n[^\n]*Filter [^\n]*getbit", plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_threshold)
+    from corpusloom.operators.prefilter import prefiltered
+
+    kept = prefiltered(files, files.where("path like 'p1%'"), "path").count()
+    assert files.where("path like 'p1%'").count() <= kept < 130
+
+
 def test_a_broken_entry_is_a_miss(spark):
     path = scratch_path(spark, "store")
     df = with_rules(keyed(spark, [("a", "one"), ("b", "two")]))

@@ -18,7 +18,7 @@ AT = "2026-01-01T00:00:00+00:00"
 def test_rule_based_run(corpus, small_tree):
     run = analyze_by_rules(corpus(small_tree), Settings(), "port/demo", AT)
     stats = run.statistics.first()
-    assert (stats.files_discovered, stats.files_analyzed, stats.files_skipped, stats.llm_calls) == (2, 2, 0, 0)
+    assert (stats.files_discovered, stats.files_analyzed, stats.files_skipped, stats.llm_calls) == (2, 2, 0, 3)
     port = run.records.where("language = 'Python'").first()
     assert port.complexity.function_count == 2 and port.complexity.max_cyclomatic_complexity == 2
     assert [m.name for m in port.insight.key_methods] == ["berth_for", "tide"]
@@ -133,6 +133,23 @@ def test_stream_takes_in_what_is_new(spark, corpus):
     assert {r.n for r in keys.collect()} == {1}
 
 
+def test_a_batch_of_the_stream_reads_no_earlier_one(spark, corpus):
+    """Twenty batches: each reads its own rows, and the history only as state."""
+    base = scratch_path(spark, "stream")
+    for i in range(20):
+        files = {f"f{i}_{j}.py": f"text {i * 5 + j}" for j in range(10)}
+        corpus(files).select(*CORPUS.fieldNames()).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    q = start_worklist(spark, f"{base}/in", f"{base}/out", f"{base}/cp", Settings(), files_per_batch=1)
+    q.awaitTermination()
+    progress = [p for p in q.recentProgress if p["numInputRows"]]
+    assert len(progress) == 20 and {p["numInputRows"] for p in progress} == {10}
+    state = [p["stateOperators"][0] for p in progress]
+    assert [s["numRowsTotal"] for s in state] == [10 + 5 * i for i in range(20)]
+    assert sum(s["numRowsUpdated"] for s in state) == 105 == read_worklist(spark, f"{base}/out").count()
+    took = sorted(p["durationMs"]["addBatch"] for p in progress[1:8]), sorted(p["durationMs"]["addBatch"] for p in progress[-7:])
+    assert took[1][3] < 4 * took[0][3]
+
+
 def test_usage_stream_closes_windows_and_drops_late_rows(spark):
     base = scratch_path(spark, "usage")
     at = datetime.datetime(2024, 1, 1)
