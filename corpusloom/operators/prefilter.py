@@ -33,11 +33,12 @@ def bits_of(ids: DataFrame, column: str) -> DataFrame:
     return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bits"))
 
 
-def prefiltered(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows of `df` that may have a partner in `ids`."""
+def prefiltered(df: DataFrame, ids: DataFrame, column: str, others: bool = False) -> DataFrame:
+    """Rows of `df` that may have a partner in `ids`; or the others, which have none."""
     bits = bits_of(ids, column).scalar()
     ok = F.lit(True)
     for place in _places(F.col(column)):
         word = F.get(bits, F.shiftright(place, 6).cast("int"))
         ok = ok & (F.getbit(word, place.bitwiseAND(F.lit(63)).cast("int")) == 1)
-    return df.where(F.col(column).isNotNull() & ok)
+    passes = F.col(column).isNotNull() & ok
+    return df.where(~passes if others else passes)
