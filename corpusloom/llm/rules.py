@@ -33,6 +33,8 @@ RULES = {
 }
 BITS = {rule: 1 << k for k, rule in enumerate(RULES)}
 SYMBOLS = b"#*$%&|<>"
+# Bytes of text whose arrays are in memory at a time, where rows wait for their measurements.
+SLICE = 1 << 20
 WINDOW = 5
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
@@ -122,16 +124,17 @@ def measure(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("d
     return rows.mapInArrow(run, schema)
 
 
-def failed_bits() -> Column:
-    """The bits of the rules that a measured row fails."""
-    n = F.col("n_words")
+def failed_bits(measures: Column | None = None) -> Column:
+    """The bits of the rules that a measured row fails; `measures` is a struct of them."""
+    m = {name: F.col(name) if measures is None else measures[name] for name in MEASURES}
+    n = m["n_words"]
     fails = {
         "few_words": n < 10,
-        "repeated_words": F.col("n_repeat_words") * 100 > n * 20,
-        "symbols": F.col("n_symbols") * 100 > n * 30,
-        "repeated_lines": F.col("n_dup_lines") * 2 > F.col("n_lines"),
-        "word_length": (F.col("word_chars") < n * 2) | (F.col("word_chars") > n * 20),
-        "long_word": F.col("word_chars") > n * 1000,
+        "repeated_words": m["n_repeat_words"] * 100 > n * 20,
+        "symbols": m["n_symbols"] * 100 > n * 30,
+        "repeated_lines": m["n_dup_lines"] * 2 > m["n_lines"],
+        "word_length": (m["word_chars"] < n * 2) | (m["word_chars"] > n * 20),
+        "long_word": m["word_chars"] > n * 1000,
     }
     bits = [F.when(fails[rule], F.lit(bit)).otherwise(0) for rule, bit in BITS.items()]
     total = bits[0]
@@ -174,11 +177,23 @@ def failures(entries: DataFrame) -> DataFrame:
     return entries.agg(F.bit_or("failed").alias("by_any"), F.bit_and("failed").alias("by_all"))
 
 
+def _measured(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The measurements of each text as a struct."""
+    for column in texts:
+        found: list[list[np.ndarray]] = [[] for _ in MEASURES]
+        for part in arrays.slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text", SLICE):
+            for own, more in zip(found, _measure(part.column("text")), strict=True):
+                own.append(more)
+        columns = [pa.array(np.concatenate(m) if m else [], pa.int64()) for m in found]
+        yield pa.StructArray.from_arrays(columns, names=MEASURES)
+
+
 def keep_good(docs: DataFrame, policy: Policy = STANDARD, text_col: str = "text") -> DataFrame:
-    """The rows whose text passes, with all their columns."""
-    columns = tuple(docs.columns)
-    measured = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)],
-                           F.col(f"`{text_col}`").alias("_measured"))
-    names = tuple(f"c{k}" for k in range(len(columns)))
-    passed = ledger(measured, "_measured", names).where(kept_by(policy))
-    return passed.select(*[F.col(n).alias(c) for n, c in zip(names, columns, strict=True)])
+    """The rows whose text passes, with all their columns, whatever their names. Only the
+    text goes to the Python workers, once, and only measurements come back."""
+    ship(docs.sparkSession)
+    measures = F.arrow_udf(_measured, ", ".join(f"{m} bigint" for m in MEASURES), F.ArrowUDFType.SCALAR_ITER)
+    row = F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns])
+    found = docs.select(row.alias("r"), measures(docs[f"`{text_col}`"].cast("string")).alias("m"))
+    passed = found.where(failed_bits(F.col("m")).bitwiseAND(F.lit(policy.mask)) == 0)
+    return passed.select(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns])
