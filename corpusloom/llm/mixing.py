@@ -13,10 +13,15 @@ repeated first. The random number of a document comes from a digest of its id (f
 with a null id, of its text), so reruns agree.
 
 The order of a source is never sorted in one task: ranks fall into cells, whose totals
-are few, and only the rows of the cell in which the target falls are sorted.
+are few, and only the rows of the cell in which the target falls are sorted. Documents are
+taken in order as long as they fit; then those that still fit, and at last the one that
+leaves the least, so that small sources come near their targets as well.
 
 A null text has size 0 and is taken with 0 words. A null source is one, last in order.
-Rows with equal ids are documents each, told apart by their text.
+Rows with equal ids are documents each, told apart by their text. Equal places are ordered
+by that digest, equal rows by where they were read. An empty table gives an empty table;
+other columns are not read, but by `take`, which carries them. A very long text is counted
+whole, in one task.
 """
 
 from __future__ import annotations
@@ -24,10 +29,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.prefilter import prefiltered
+from corpusloom.session import cut as session_cut
+
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
 MOST = 2
 CELLS = 1 << 16
+#: Documents of a size class that are asked to fill what a source's cut leaves.
+FILLERS = 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -67,6 +77,12 @@ def source_targets(
     )
 
 
+def row_key_of(row_id: Column, text: Column) -> Column:
+    """A digest of id and text: rows with one id and different texts are different."""
+    told = [F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), c.cast("string"), F.lit(":"))) for c in (row_id, text)]
+    return F.md5(F.concat(*told).cast("binary"))
+
+
 def _random(row_id: Column) -> Column:
     """A number in (0, 1) from a digest."""
     digits = F.conv(F.substring(F.md5(row_id.cast("binary")), 1, 12), 16, 10).cast("bigint")
@@ -79,11 +95,12 @@ def mix(
 ) -> DataFrame:
     """(row_key, doc_id, source, size, source_size, target, copies, taken) per row.
     `row_key` is a digest that tells rows apart; equal rows share it and their copies."""
-    text, row_id = F.col(text_col).cast("string"), F.col(id_col)
-    sized = docs.select(
-        row_id.alias("doc_id"), F.col(source_col).alias("source"), n_words(text).alias("size"),
-        F.coalesce(row_id.cast("string"), F.concat(F.lit("text:"), F.md5(text.cast("binary"))), F.lit("null")).alias("row_key"),
-    ).withColumn("weight", F.length(F.bin(F.col("size"))).cast("bigint"))
+    text, row_id = docs[f"`{text_col}`"].cast("string"), docs[f"`{id_col}`"]
+    # The texts are read here, once.
+    sized = session_cut(docs.select(
+        row_id.alias("doc_id"), docs[f"`{source_col}`"].alias("source"), n_words(text).alias("size"),
+        row_key_of(row_id, text).alias("row_key"),
+    ).withColumn("weight", F.length(F.bin(F.col("size"))).cast("bigint")).withColumn("row", F.monotonically_increasing_id()))
     targets = source_targets(sized, "source", weights, share_percent, most)
 
     # One row per source and weight: the factor, with the heaviest stopped at `most`.
@@ -114,7 +131,7 @@ def mix(
     rows = sized.alias("s").join(
         F.broadcast(factors.alias("f")),
         F.col("s.source").eqNullSafe(F.col("f.source")) & (F.col("s.weight") == F.col("f.weight")), "left",
-    ).select("row_key", "doc_id", "s.source", "size", "source_size", "target", "certain", "rest", place.alias("place")
+    ).select("row", "row_key", "doc_id", "s.source", "size", "source_size", "target", "certain", "rest", place.alias("place")
              ).withColumn("cell", F.floor(F.col("place") * CELLS).cast("int"))
 
     # The cell in which each source's remaining words run out.
@@ -131,28 +148,65 @@ def mix(
     ).select("r.*", "cut_cell", "cut_before")
     # Without a cut every place fits: the expected fractions are used up.
     inside = F.col("cell") == F.col("cut_cell")
-    edge = placed.where(inside)
-    order = Window.partitionBy("source").orderBy("place", "row_key")
+    order = Window.partitionBy("source").orderBy("place", "row_key", "row")
     reach = F.col("cut_before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    # A document is taken while at least half of it fits.
-    edge = edge.withColumn("extra", (reach - F.col("size") / 2.0 <= F.col("rest")).cast("bigint"))
+    edge = placed.where(inside).withColumn("reach", reach).withColumn("extra", (F.col("reach") <= F.col("rest")).cast("bigint"))
     sure = placed.where(~F.coalesce(inside, F.lit(False))).withColumn("extra", F.coalesce(
         (F.col("cell") < F.col("cut_cell")), F.col("place").isNotNull() & F.col("cut_cell").isNull()
-    ).cast("bigint"))
-    copies = (F.col("certain") + F.col("extra")).cast("bigint")
-    return sure.unionByName(edge).select(
+    ).cast("bigint")).withColumn("reach", F.lit(None).cast("bigint"))
+    ranked = session_cut(sure.unionByName(edge))
+    more = _fillers(ranked)
+    final = ranked.join(more, "row", "left")
+    copies = (F.col("certain") + F.col("extra") + F.coalesce("filler", F.lit(0))).cast("bigint")
+    return final.select(
         "row_key", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
         (copies * F.col("size")).alias("taken"),
     )
 
 
-def take(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as it is taken."""
-    keyed = docs.withColumn("_row_key", F.coalesce(
-        F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.col(text_col).cast("binary"))), F.lit("null")))
-    chosen = mix(docs, id_col, text_col, **options).where("copies > 0").groupBy("row_key").agg(
-        F.max("copies").cast("int").alias("_copies"))
-    return (
-        keyed.join(chosen, F.col("_row_key") == F.col("row_key")).drop("row_key", "_row_key")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy")
+def _fillers(ranked: DataFrame) -> DataFrame:
+    """(row, filler): documents beyond the cut of a source that still fit what it leaves, in
+    order; the last one may pass the target where that leaves less than stopping before it.
+    Of every source and size class the first few in order are asked: a bounded number."""
+    spent = ranked.where("place is not null").groupBy("source").agg(
+        F.sum(F.when(F.col("extra") == 1, F.col("size")).otherwise(0)).alias("spent"), F.first("rest").alias("left"))
+    waiting = ranked.where("place is not null and extra = 0 and size > 0")
+    first = Window.partitionBy("source", "size_class").orderBy("place", "row_key", "row")
+    asked = (
+        waiting.withColumn("size_class", F.length(F.bin(F.col("size"))))
+        .withColumn("k", F.row_number().over(first)).where(F.col("k") <= FILLERS)
+        .groupBy("source").agg(F.array_sort(F.collect_list(F.struct("place", "row_key", "row", "size"))).alias("asked"))
     )
+    gaps = asked.alias("a").join(spent.alias("s"), F.col("a.source").eqNullSafe(F.col("s.source"))).select(
+        "asked", (F.col("left") - F.col("spent")).alias("gap"))
+    none = F.array().cast("array<bigint>")
+    taken = F.aggregate(
+        "asked", F.struct(F.col("gap").alias("gap"), none.alias("rows")),
+        lambda acc, x: F.when(x["size"] <= acc["gap"], F.struct(
+            (acc["gap"] - x["size"]).alias("gap"), F.array_append(acc["rows"], x["row"]).alias("rows"))).otherwise(acc),
+    )
+    filled = gaps.select("asked", taken.alias("t"))
+    # The one that leaves the least, if that is less than the gap itself.
+    over = F.array_min(F.transform(
+        F.filter("asked", lambda x: ~F.array_contains(F.col("t.rows"), x["row"])),
+        lambda x: F.struct(F.abs(F.col("t.gap") - x["size"]).alias("off"), x["place"], x["row"].alias("row"))))
+    last = F.when(over["off"] < F.col("t.gap"), F.array(over["row"])).otherwise(none)
+    return filled.select(F.explode(F.concat("t.rows", last)).alias("row")).withColumn("filler", F.lit(1).cast("bigint"))
+
+
+def take(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents of the mix with all their columns, each as often as it is taken. A row
+    travels as one struct, so its columns may have any names. Equal rows are any of them,
+    so they share what is taken of them all."""
+    row = F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns])
+    keyed = docs.select(row.alias("r"), row_key_of(docs[f"`{id_col}`"], docs[f"`{text_col}`"]).alias("row_key"))
+    chosen = session_cut(mix(docs, id_col, text_col, **options).groupBy("row_key").agg(
+        F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows")).where("copies > 0"))
+    once, several = chosen.where("rows = 1"), chosen.where("rows > 1")
+    single = keyed.join(once, "row_key")
+    # Rows that differ in other columns only are equal here; one stands for all.
+    repeated = prefiltered(keyed, several, "row_key").join(several, "row_key").groupBy("row_key").agg(
+        F.first("r").alias("r"), F.first("copies").alias("copies"))
+    every = single.select("r", "copies").unionByName(repeated.select("r", "copies"))
+    return every.select("r", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
+        *[F.col(f"r.`{c}`").alias(c) for c in docs.columns])
