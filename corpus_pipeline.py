@@ -1,15 +1,14 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a table, which is written and read
-again as the next one's documents. All but the last keep the columns of documents. A
-column with a clashing name is carried along, nulls and repeated rows are as the operators
-say, and an empty table gives an empty table.
+again as the next one's documents. All but the last keep the columns of documents: a row
+travels as one struct, so that further columns are carried whatever their names. Nulls and
+repeated rows are as the operators say, and an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpusloom.llm import jaccard_join, mixing, packing, rules, secrets
 from corpusloom.llm.tokens import tokenizer_path
@@ -31,22 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every secret replaced by its kind; `n_chars` follows the text."""
-    ledger = cut(secrets.scan_new(docs, None))
-    history = docs.withColumn("_blob", secrets.blob_of(F.col("text")))
-    found = secrets.spans_by_blob(ledger)
-    joined = history.join(found, history["_blob"] == found["blob"], "left")
-    clean = F.when(F.size("spans") > 0, secrets.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    out = joined.withColumn("_clean", clean)
-    changed = ~F.col("text").eqNullSafe(F.col("_clean"))
-    columns = []
-    for name in docs.columns:
-        if name == "text":
-            columns.append(F.col("_clean").alias("text"))
-        elif name == "n_chars":
-            columns.append(F.when(changed, F.length("_clean")).otherwise(F.col(name)).cast(docs.schema[name].dataType).alias(name))
-        else:
-            columns.append(history[name])
-    return out.select(*columns)
+    return secrets.redact_rows(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,18 +70,20 @@ def _byte_values(seed: int, lower: bool) -> np.ndarray:
     return values
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, U64), np.full(n, _INVERSE, U64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+#: One pair of tables per worker, as long as its longest slice so far.
+_TABLES: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of the hash base and of its inverse."""
-    size = 1 << max(16, int(n - 1).bit_length())
-    up, down = _powers(size)
-    return up[:n], down[:n]
+    if not _TABLES or len(_TABLES[0]) < n:
+        size = n + n // 8 + 1024
+        _TABLES.clear()
+        for step in (_BASE, _INVERSE):
+            table = np.full(size, step, U64)
+            table[0] = 1
+            _TABLES.append(np.multiply.accumulate(table, out=table))
+    return _TABLES[0][:n], _TABLES[1][:n]
 
 
 def prefix_hashes(raw: np.ndarray, seed: int = 0, lower: bool = False) -> np.ndarray:

@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm import arrays, pages
 from corpusloom.llm.components import components
 from corpusloom.llm.ship import ship
+from corpusloom.operators.prefilter import prefiltered
+from corpusloom.operators.ranking import global_rank
 from corpusloom.session import cut
 
 MINIMA = 4
@@ -273,9 +275,35 @@ def jaccard_components(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of one document of each component, the one with the smallest id, and
-    those without an id, with all columns. Of equal ids one row is kept."""
-    found = jaccard_components(docs, id_col, text_col, **options)
-    out = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(out, docs[id_col] == out["_kept"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of one document of each component, the one with the smallest id, and those
+    without an id, with all columns, whatever their names: a row travels as one struct. Of
+    equal rows one is kept. Rows with one id and different texts are documents each: all
+    but the first are known by a number beyond all ids."""
+    row = F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns])
+    text = F.col("text")
+    keyed = docs.select(row.alias("r"), docs[f"`{id_col}`"].cast("bigint").alias("doc"), docs[f"`{text_col}`"].cast("string").alias("text"))
+    several = _second_texts(keyed)
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    some = prefiltered(keyed, several, "doc")
+    renamed = some.withColumn("digest", digest).join(several, ["doc", "digest"], "left").select(
+        "r", F.coalesce("number", "doc").alias("doc"), "text")
+    named = prefiltered(keyed, several, "doc", others=True).select("r", "doc", "text").unionByName(renamed)
+    found = jaccard_components(named, "doc", "text", **options)
+    out = cut(found.where("doc_id = component_id").select(F.col("doc_id").alias("doc")).distinct())
+    kept = named.join(out, "doc").groupBy("doc").agg(F.first("r").alias("r"))
+    return kept.select("r").unionByName(named.where("doc is null").select("r")).select(
+        *[F.col(f"r.`{c}`").alias(c) for c in docs.columns])
+
+
+def _second_texts(keyed: DataFrame) -> DataFrame:
+    """(doc, digest, number): the texts of an id beyond its first, with numbers that no id
+    has. There are none where ids tell texts apart."""
+    told = cut(keyed.where("doc is not null").select(
+        "doc", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")).groupBy("doc").agg(
+        F.min("digest").alias("least"), F.max("digest").alias("most")))
+    largest = told.agg(F.max("doc")).first()[0] or 0
+    ids = told.where("least < most").select("doc", "least")
+    texts = prefiltered(keyed, ids, "doc").join(ids, "doc").select(
+        "doc", "least", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+    others = cut(texts.where("digest <> least").select("doc", "digest").distinct())
+    return cut(global_rank(others, ["doc", "digest"], "number").withColumn("number", F.col("number") + largest))

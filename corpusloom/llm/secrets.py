@@ -18,6 +18,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom import fixed_values as fv
+from corpusloom.operators.prefilter import prefiltered
+from corpusloom.session import cut
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -53,11 +57,11 @@ MORE_RULES = (
         r"""|[\x20\t]*+[A-Za-z0-9+/=]{16,}+)*+)""",
         literal="PRIVATE KEY-----",
     ),
-    Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]{36,}+", least=40, literal="gh"),
+    Rule("hub_token", {name: p for name, p, _ in fv.SECRET_RULES}["github-token"], literal="gh"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}+[.]eyJ[A-Za-z0-9_-]{8,}+[.][A-Za-z0-9_-]{8,}+", literal="eyJ"),
 )
 # Each version of the rules is scanned for by itself, so that a new one costs its own rules only.
-VERSIONS: dict[str, tuple[Rule, ...]] = {"base-1": BASE_RULES, "more-2": MORE_RULES}
+VERSIONS: dict[str, tuple[Rule, ...]] = {"base-1": BASE_RULES, "more-3": MORE_RULES}
 KINDS = [r.kind for rules in VERSIONS.values() for r in rules]
 LEDGER = "blob string, version string, spans array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
@@ -172,3 +176,27 @@ def redacted(text: Column, spans: Column) -> Column:
         lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))),
     )
     return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def redact_rows(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", row_col: str = "doc_id") -> DataFrame:
+    """The rows with every secret of their text replaced by its kind, and, where there is
+    such a column, its length. All other columns are carried as they are, whatever their
+    names: a row travels as one struct. A null text stays null."""
+    ledger = cut(scan_new(docs, None, row_col, text_col))
+    found = cut(spans_by_blob(ledger))
+    row = F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns])
+    text = F.col(f"r.`{text_col}`")
+    history = docs.select(row.alias("r"), blob_of(docs[f"`{text_col}`"]).alias("blob"))
+    # Texts without a secret are not shuffled.
+    hit = prefiltered(history, found, "blob").join(found, "blob", "left")
+    clean = hit.withColumn("clean", F.when(F.col("spans").isNotNull(), redacted(text, F.col("spans"))).otherwise(text))
+    changed = ~text.eqNullSafe(F.col("clean"))
+    columns = []
+    for name in docs.columns:
+        own = F.col(f"r.`{name}`")
+        if name == text_col:
+            own = F.col("clean")
+        elif name == length_col:
+            own = F.when(changed, F.length("clean")).otherwise(own).cast(docs.schema[name].dataType)
+        columns.append(own.alias(name))
+    return prefiltered(history, found, "blob", others=True).select("r.*").unionByName(clean.select(*columns))
