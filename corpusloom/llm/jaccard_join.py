@@ -17,8 +17,10 @@ member, so only groups that reach the bound are opened, and members are compared
    are out: every pair within a group is linked already. A class asks the other groups
    that hold its token. What it has in common with a group's union bounds its overlap with
    every member: of a pair, all common tokens but those after the end of one prefix are in
-   both prefixes. Groups that reach what a partner of their lengths needs are opened: the
-   bound is made exact for each member, and members that reach it are compared whole.
+   both prefixes. Groups that reach what a partner of their lengths needs are opened. One
+   proved link joins a class to a group, so the members that the matrix names most often
+   for the common tokens are compared first. Where that proves nothing, the bound is made
+   exact for each member, and members that reach it are compared whole.
 
 A group may hold most documents, and nothing gathers it: pivots are compared one pair at a
 time, the matrix has one row for it per token, and pairs within it are not made.
@@ -247,16 +249,30 @@ def jaccard_components(
     shared = grouped.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
     sizes = standing.select("doc", "n", F.struct("last_level", "last").alias("last"))
     matrix = cut(grouped.join(shared.select("token"), "token", "left_semi").join(sizes, "doc"))
-    unions = matrix.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    unions = matrix.groupBy("token", "group").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("doc").alias("one"), F.max("doc").alias("other"))
     asked = matrix.select("token", F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("last").alias("blast"),
                           F.col("group").alias("own")).join(unions, "token").where("own > group")
     # The lengths that can match, and the least that one of them needs.
     low = F.greatest("least", F.ceil(F.col("bn") * percent / 100))
     high = F.least("most", F.floor(F.col("bn") * 100 / percent))
-    bound = asked.groupBy("b", "bn", "group").agg(
-        F.min("least").alias("least"), F.max("most").alias("most"), F.count("*").alias("common")
-    ).where(low <= high).where(F.col("common") >= _bound(F.col("bn"), low, high, percent)).select("b", "group")
-    opened = asked.select("token", "b", "bn", "blast", "group").join(bound, ["b", "group"]).join(
+    bound = cut(asked.groupBy("b", "bn", "group").agg(
+        F.min("least").alias("least"), F.max("most").alias("most"), F.count("*").alias("common"),
+        F.mode("one", True).alias("one"), F.mode("other", True).alias("other"),
+    ).where(low <= high).where(F.col("common") >= _bound(F.col("bn"), low, high, percent)).select("b", "group", "one", "other"))
+    # One proved link joins a class to a group: the members that hold most of the common
+    # tokens, as the matrix names them, are compared first.
+    likely = bound.select(F.col("one").alias("a"), "b").unionByName(bound.select(F.col("other").alias("a"), "b"))
+    links = cut(links.unionByName(_verified(likely, texts, n, percent)))
+    now = cut(components(links))
+
+    def side(column: str) -> DataFrame:
+        return now.select(F.col("id").alias(column), F.col("component").alias(f"{column}_now"))
+
+    # What is not joined by then is compared with every member that reaches the bound.
+    left = cut(bound.select("b", "group").join(side("b"), "b", "left").join(side("group"), "group", "left").where(
+        F.coalesce("b_now", "b") != F.coalesce("group_now", "group")).select("b", "group"))
+    opened = asked.select("token", "b", "bn", "blast", "group").join(left, ["b", "group"]).join(
         matrix.select("token", "group", F.col("doc").alias("a"), F.col("n").alias("an"), F.col("last").alias("alast")),
         ["token", "group"])
     after = F.when(F.col("alast") <= F.col("blast"), _own_needs(F.col("an"), percent)).otherwise(

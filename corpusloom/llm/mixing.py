@@ -120,7 +120,7 @@ def mix(
         .withColumn("copies_expected", F.least(F.coalesce(F.col("factor") * F.col("weight"), F.lit(float(most))), F.lit(float(most))))
         .withColumn("certain", F.floor("copies_expected"))
         .withColumn("fraction", F.col("copies_expected") - F.col("certain"))
-        .withColumn("rest", F.col("target") - F.sum(F.col("certain") * F.col("class_size")).over(every))
+        .withColumn("rest", F.greatest(F.col("target") - F.sum(F.col("certain") * F.col("class_size")).over(every), F.lit(0.0)))
         .select("source", "weight", "source_size", "target", "certain", "fraction", "rest")
     )
     # At most 63 rows per source: the size of the list of sources.

@@ -61,6 +61,8 @@ class Method:
     contexts: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Contexts]
     decide: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
     key_width: int
+    # Bytes of text whose arrays are in memory at a time.
+    slice_bytes: int = arrays.SLICE_BYTES
 
 
 def fixed_width(packed: np.ndarray) -> pa.Array:
@@ -147,7 +149,7 @@ def _runs(order: np.ndarray, *sorted_keys: np.ndarray) -> np.ndarray:
 def _anchor_pages(method: Method, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = count()
-        for batch in arrays.slices(batches, "text"):
+        for batch in arrays.slices(batches, "text", method.slice_bytes):
             docs, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
             raw, offsets = arrays.text_bytes(batch.column("text"))
             hashes, row, place = method.anchors(raw, offsets)
@@ -223,7 +225,7 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterat
 def _context_pages(method: Method, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = count()
-        for batch in arrays.slices(batches, "text"):
+        for batch in arrays.slices(batches, "text", method.slice_bytes):
             # By id, so that the first of equal contexts is that of the smallest.
             batch = batch.sort_by([("doc", "ascending")])
             docs, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()

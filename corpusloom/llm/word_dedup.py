@@ -27,6 +27,8 @@ WINDOW = 13
 # Differences of members of the cover are all residues of the period.
 PERIOD, COVER = 7, (1, 2, 4)
 
+#: Bytes of text at a time: a word has more arrays than a byte of it.
+SLICE = 1 << 20
 
 def _hashed(raw: np.ndarray, offsets: np.ndarray, seed: int = 0):
     starts, ends, rows = arrays.words(raw, offsets)
@@ -62,7 +64,7 @@ def method(window: int = WINDOW) -> overlap.Method:
             two.astype(np.uint32)[:, None].view(np.uint8).reshape(-1, 4)], axis=1)
         return overlap.Contexts(keys, one, row, at - rows[row], np.ones(len(at), np.uint16))
 
-    return overlap.Method(anchors, contexts, _decide, 12)
+    return overlap.Method(anchors, contexts, _decide, 12, SLICE)
 
 
 def _decide(keys: np.ndarray, flags: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -109,12 +111,12 @@ def dedup(
         return text.decode() if with_text else hashlib.sha256(text).hexdigest()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrays.slices(batches, "text"):
+        for batch in arrays.slices(batches, "text", SLICE):
             found = [(n, r, content(t)) for n, r, t in _kept_words(*arrays.text_bytes(batch.column("text")), None)]
             yield _rows(batch, found)
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrays.slices(batches, "text"):
+        for batch in arrays.slices(batches, "text", SLICE):
             raw, offsets = arrays.text_bytes(batch.column("text"))
             _, _, word_rows = arrays.words(raw, offsets)
             starts = [np.unique(np.frombuffer(p, "<u4")) + word_rows[k]

@@ -1,11 +1,13 @@
 """Operators that compare documents or vectors, against brute force."""
 
+import collections
 import hashlib
 import random
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import byte_dedup, jaccard_join, suffixes, vectors, word_dedup
 from corpusloom.llm.components import components
@@ -257,3 +259,47 @@ def test_group_of_middle_lengths(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
     got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs, n=1, percent=90).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 0} | {k: k for k in range(4, 24)}
+
+
+def test_vectors_of_every_length_link(spark):
+    """Lengths that are few or short, ids that repeat, and lengths that are not learnt."""
+    r = np.random.default_rng(9)
+    rows = [(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0]), (3, [2.0, 4.0, 6.0]), (4, [3.0, -1.0, 0.5]), (5, [7.0]), (6, [2.0]), (7, [-1.0])]
+    for width in (2, 8, 16, 30, 64):
+        for k in range(40):
+            v = r.normal(size=width)
+            rows.append((100 * width + k % 30, v.tolist()))
+            rows.append((100 * width + 50 + k, (v + r.normal(size=width) * 0.05 * np.linalg.norm(v) / np.sqrt(width)).tolist()))
+    want = collections.Counter()
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    linked = [[j for j in range(len(rows)) if j != i and len(rows[j][1]) == len(rows[i][1]) and unit[i] @ unit[j] >= 0.95] for i in range(len(rows))]
+    for i, (vec, _) in enumerate(rows):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in linked[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        want[vec, len(linked[i]), min(rows[j][0] for j in seen)] += 1
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("width", F.lit(1))
+    for learnt in (16, 2):
+        old, vectors.LEARNT = vectors.LEARNT, learnt
+        try:
+            got = vectors.near_duplicates(docs).collect()
+        finally:
+            vectors.LEARNT = old
+        assert collections.Counter((x.vec_id, x.n_links, x.component_id) for x in got) == want
+
+
+def test_tables_grow_with_the_vectors():
+    sizes = [vectors.plan(n, 0.95) for n in (1_000, 10**5, 10**7, 10**9)]
+    assert sizes == sorted(sizes) and sizes[0][0] == vectors.CHUNK_BITS
+    # A key and its neighbours hold a bounded number of vectors.
+    assert all(n / 2 ** b * (b + 1) < 3000 for n, (b, _) in zip((10**5, 10**7), sizes[1:3]))
+    x = np.random.default_rng(3).normal(size=(600, 64))
+    x = np.concatenate([x, x + np.random.default_rng(4).normal(size=x.shape) * 0.3])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    codes = vectors.Codes(19, 10, {64: vectors.learn_codes(x, 190)})
+    chunk = codes.chunks(x)
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
+    assert len(a) > 100 and np.mean(vectors._near(chunk[a], chunk[b]).any(axis=1)) > 0.95
