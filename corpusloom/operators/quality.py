@@ -9,18 +9,25 @@ from corpusloom.operators.prefilter import prefiltered
 from corpusloom.session import cut
 
 
-def unfounded_methods(reported: DataFrame, texts: DataFrame) -> DataFrame:
-    """(path, name) of reported methods whose name does not occur in the file.
+# A whole identifier, in any script.
+IDENTIFIER = r"[\p{L}_$][\p{L}\p{N}_$]*"
 
-    `reported` is (path, names array): one row per file meets its text once, and texts of
-    files without a reported name are dropped before the join.
+
+def occurrence_index(texts: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataFrame:
+    """`keep` and `ids`: the hashed distinct identifiers of each text. One row per file,
+    made where the text is read, so that what is joined later is narrow."""
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(IDENTIFIER), F.lit(0)))
+    return texts.select(*keep, F.transform(found, lambda name: F.xxhash64(name)).alias("ids"))
+
+
+def unfounded_methods(reported: DataFrame, index: DataFrame) -> DataFrame:
+    """(path, name) of reported methods whose name is no identifier of the file.
+
+    `reported` is (path, names array), `index` the occurrences of the files.
     """
-    absent = F.filter("names", lambda name: ~F.contains(F.col("content"), name))
-    named = cut(reported.where(F.size("names") > 0))
-    joined = named.join(prefiltered(texts.select("path", "content"), named, "path"), "path")
-    return joined.withColumn("_absent", absent).select(
-        "path", F.explode_outer("_absent").alias("name")
-    ).where("name is not null")
+    absent = F.filter("names", lambda name: ~F.array_contains(F.col("ids"), F.xxhash64(name)))
+    return reported.join(index.select("path", "ids"), "path").select(
+        "path", F.explode(absent).alias("name"))
 
 
 def run_agreement(runs: DataFrame, fields: list[str]) -> DataFrame:
@@ -79,23 +86,75 @@ def golden_scores(actual: DataFrame, golden: DataFrame) -> DataFrame:
 DIMENSIONS = ["faithfulness", "completeness", "signature_accuracy", "role_summary"]
 
 
-def golden_gate(scores: DataFrame, threshold: float) -> DataFrame:
-    """One row: files, sum of points per dimension, mean score, passed."""
+def golden_gate(scores: DataFrame, threshold: float, unfounded: DataFrame | None = None) -> DataFrame:
+    """One row: files, sum of points per dimension, mean score, invented methods, passed.
+
+    `unfounded` (path, name) are reported methods that their files do not hold: one of
+    them in a golden file fails the gate, whatever the mean.
+    """
     total = sum((F.sum(d) for d in DIMENSIONS[1:]), F.sum(DIMENSIONS[0]))
     mean = F.try_divide(total.cast("double"), F.count("*") * len(DIMENSIONS))
+    invented = F.lit(0).cast("bigint")
+    if unfounded is not None:
+        invented = unfounded.join(scores.select("path"), "path", "left_semi").agg(F.count("*")).scalar()
     return scores.agg(
         F.count("*").alias("files"), *[F.sum(d).alias(d) for d in DIMENSIONS],
         mean.alias("mean_score"),
-    ).withColumn("passed", F.coalesce(F.col("mean_score") >= threshold, F.lit(False)))
+    ).withColumn("invented_methods", invented).withColumn(
+        "passed", F.coalesce(F.col("mean_score") >= threshold, F.lit(False)) & (F.col("invented_methods") == 0))
+
+
+def folder_digests(snapshot: DataFrame) -> DataFrame:
+    """(folder, files, one, other) from (path, key): a digest of all files below a folder.
+
+    Files are summed up where they lie; folders then hand their sums to the folder above,
+    level by level, in one aggregation over folders. Sums do not depend on the order, and
+    two of 64 bits tell sets of files apart. The root is the empty folder.
+    """
+    folder = F.regexp_replace("path", "/?[^/]*$", "")
+    sums = [F.sum(c).alias(c.split("_")[0]) for c in ("one", "other")]
+    own = snapshot.select(
+        folder.alias("folder"), F.xxhash64("path", "key").cast("decimal(38,0)").alias("one"),
+        F.xxhash64(F.lit("other"), "key", "path").cast("decimal(38,0)").alias("other"),
+    ).groupBy("folder").agg(F.count("*").alias("files"), *sums)
+    names = F.split("folder", "/")
+    above = F.transform(F.sequence(F.lit(0), F.when(F.col("folder") == "", 0).otherwise(F.size(names))),
+                        lambda d: F.array_join(F.slice(names, F.lit(1), d), "/"))
+    return own.select(F.explode(above).alias("folder"), "files", "one", "other").groupBy("folder").agg(
+        F.sum("files").alias("files"), *sums)
+
+
+def snapshot_folders(current: DataFrame, earlier: DataFrame) -> DataFrame:
+    """(folder, files, earlier_files, same): every folder of either snapshot, and whether
+    all that is below it is the same."""
+    now, then = folder_digests(current), folder_digests(earlier)
+    then = then.select("folder", F.col("files").alias("earlier_files"), F.col("one").alias("then_one"), F.col("other").alias("then_other"))
+    same = (F.col("files") == F.col("earlier_files")) & (F.col("one") == F.col("then_one")) & (F.col("other") == F.col("then_other"))
+    return now.join(then, "folder", "full_outer").select(
+        "folder", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("earlier_files", F.lit(0)).alias("earlier_files"),
+        F.coalesce(same, F.lit(False)).alias("same"))
+
+
+def changed_folders(current: DataFrame, earlier: DataFrame) -> DataFrame:
+    """(folder): the folders below which something differs."""
+    return snapshot_folders(current, earlier).where(~F.col("same")).select("folder")
 
 
 def snapshot_diff(current: DataFrame, earlier: DataFrame) -> DataFrame:
-    """(path, status): new, deleted, changed or unchanged, from (path, key) tables."""
-    now = current.select("path", F.col("key").alias("now"), F.lit(True).alias("is_now"))
-    then = earlier.select("path", F.col("key").alias("then"), F.lit(True).alias("was_then"))
+    """(path, status): new, deleted, changed or unchanged, from (path, key) tables.
+
+    Files of folders that are the same in both are unchanged and meet no join: only those
+    below folders that differ are compared by path.
+    """
+    folder = F.regexp_replace("path", "/?[^/]*$", "")
+    now, then = (cut(s.select("path", "key").withColumn("folder", folder)) for s in (current, earlier))
+    differing = cut(changed_folders(now, then))
+    same = prefiltered(now, differing, "folder", others=True).select("path", F.lit("unchanged").alias("status"))
+    now = prefiltered(now, differing, "folder").select("path", F.col("key").alias("now"), F.lit(True).alias("is_now"))
+    then = prefiltered(then, differing, "folder").select("path", F.col("key").alias("then"), F.lit(True).alias("was_then"))
     # A path without a key is there all the same: its content could not be read.
     status = (
         F.when(F.col("was_then").isNull(), "new").when(F.col("is_now").isNull(), "deleted")
         .when(F.col("now").eqNullSafe(F.col("then")), "unchanged").otherwise("changed")
     )
-    return now.join(then, "path", "full_outer").select("path", status.alias("status"))
+    return same.unionByName(now.join(then, "path", "full_outer").select("path", status.alias("status")))

@@ -697,7 +697,7 @@ def _method_names(analyzed: DataFrame) -> DataFrame:
 @query
 def hallucinated_methods(spark, sf):
     found = files(spark, sf)
-    return quality.unfounded_methods(_method_names(insight.with_insight(found)), found)
+    return quality.unfounded_methods(_method_names(insight.with_insight(found)), quality.occurrence_index(found))
 
 
 @query
@@ -739,18 +739,28 @@ def golden_score(spark, sf):
         "summary", changed("names").alias("names"), changed("signatures").alias("signatures"),
     )
     scores = quality.golden_scores(actual, golden)
-    return quality.golden_gate(scores, GOLDEN_THRESHOLD)
+    invented = quality.unfounded_methods(actual, quality.occurrence_index(files(spark, sf)))
+    return quality.golden_gate(scores, GOLDEN_THRESHOLD, invented)
 
 
 @query
 def snapshot_diff(spark, sf):
     """The earlier snapshot lacks some files, has other contents, and some more."""
+    return quality.snapshot_diff(*_snapshots(spark, sf))
+
+
+def _snapshots(spark, sf) -> tuple[DataFrame, DataFrame]:
     keyed = _keyed(files(spark, sf)).select("doc_id", "path", "key")
     rest = F.col("doc_id") % 10
     earlier = keyed.where(rest != 3).withColumn(
         "key", F.when(rest == 5, F.reverse("key")).otherwise(F.col("key"))
     )
-    return quality.snapshot_diff(keyed.where(rest != 4), earlier)
+    return keyed.where(rest != 4), earlier
+
+
+@query
+def snapshot_folders(spark, sf):
+    return quality.snapshot_folders(*_snapshots(spark, sf))
 
 
 @query

@@ -18,7 +18,13 @@ with a as (select doc_id, text, lang, source,
     when 1 then concat('  String t = "ghp_', lpad(cast(doc_id as string), 36, '0'), '";', '\n')
     when 2 then concat('  password = "pw', lpad(cast(doc_id as string), 8, '0'), '";', '\n')
     when 3 then concat('  String u = "jdbc:postgresql://usr:pw', cast(doc_id as string), '@db.internal/app";', '\n')
-    when 4 then concat('  api_key = "sk-ant-', lpad(cast(doc_id as string), 24, '0'), '";', '\n') else '' end as secret,
+    when 4 then concat('  api_key = "sk-ant-', lpad(cast(doc_id as string), 24, '0'), '";', '\n')
+    when 5 then case doc_id % 40 when 5 then concat('-----BEGIN RSA PRIVATE KEY-----', '\n', 'MIIE', lpad(cast(doc_id as string), 40, 'k'), '\n', '-----END RSA PRIVATE KEY-----', '\n')
+      when 13 then concat('  String o = "sk-', lpad(cast(doc_id as string), 32, 'a'), '";', '\n')
+      when 21 then concat('  String g = "AIza', lpad(cast(doc_id as string), 35, 'g'), '";', '\n')
+      when 29 then concat('  String s = "xoxb-', lpad(cast(doc_id as string), 24, '7'), '";', '\n')
+      else concat('  String j = "eyJ', lpad(cast(doc_id as string), 12, 'h'), '.eyJ', lpad(cast(doc_id as string), 12, 'p'), '.', lpad(cast(doc_id as string), 20, 's'), '";', '\n') end
+    else '' end as secret,
   concat_ws('', transform(if(doc_id % 4 = 0, cast(array() as array<bigint>), sequence(cast(1 as bigint), doc_id % 4)), j -> concat('  public int m', cast(j as string), '(int x) {', repeat(' if (x > 0) { x++; }', cast((doc_id * 7 + j * 3) % 23 as int)), ' return x; }\n'))) as methods from documents),
 b as (select doc_id, lang, source, ext,
   concat(case doc_id % 7 when 0 then concat('src/test/java/com/acme/', source, '/')
@@ -37,7 +43,13 @@ with a as (select doc_id, text, lang, source,
     when 1 then concat('  String t = "ghp_', lpad(cast(doc_id as varchar), 36, '0'), '";', chr(10))
     when 2 then concat('  password = "pw', lpad(cast(doc_id as varchar), 8, '0'), '";', chr(10))
     when 3 then concat('  String u = "jdbc:postgresql://usr:pw', cast(doc_id as varchar), '@db.internal/app";', chr(10))
-    when 4 then concat('  api_key = "sk-ant-', lpad(cast(doc_id as varchar), 24, '0'), '";', chr(10)) else '' end as secret,
+    when 4 then concat('  api_key = "sk-ant-', lpad(cast(doc_id as varchar), 24, '0'), '";', chr(10))
+    when 5 then case doc_id % 40 when 5 then concat('-----BEGIN RSA PRIVATE KEY-----', chr(10), 'MIIE', lpad(cast(doc_id as varchar), 40, 'k'), chr(10), '-----END RSA PRIVATE KEY-----', chr(10))
+      when 13 then concat('  String o = "sk-', lpad(cast(doc_id as varchar), 32, 'a'), '";', chr(10))
+      when 21 then concat('  String g = "AIza', lpad(cast(doc_id as varchar), 35, 'g'), '";', chr(10))
+      when 29 then concat('  String s = "xoxb-', lpad(cast(doc_id as varchar), 24, '7'), '";', chr(10))
+      else concat('  String j = "eyJ', lpad(cast(doc_id as varchar), 12, 'h'), '.eyJ', lpad(cast(doc_id as varchar), 12, 'p'), '.', lpad(cast(doc_id as varchar), 20, 's'), '";', chr(10)) end
+    else '' end as secret,
   coalesce(array_to_string(list_transform(range(1, doc_id % 4 + 1), lambda j: concat('  public int m', cast(j as varchar), '(int x) {', repeat(' if (x > 0) { x++; }', cast((doc_id * 7 + j * 3) % 23 as int)), ' return x; }', chr(10))), ''), '') as methods from documents),
 b as (select doc_id, lang, source, ext,
   concat(case doc_id % 7 when 0 then concat('src/test/java/com/acme/', source, '/')

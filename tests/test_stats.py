@@ -56,7 +56,14 @@ def test_windows(spark):
 def test_unfounded_methods(spark):
     reported = spark.createDataFrame([("a", ["ping", "pong"]), ("b", [])], "path string, names array<string>")
     texts = spark.createDataFrame([("a", "int ping()"), ("b", "")], "path string, content string")
-    assert [tuple(r) for r in quality.unfounded_methods(reported, texts).collect()] == [("a", "pong")]
+    index = quality.occurrence_index(texts)
+    assert index.columns == ["path", "ids"]
+    assert [tuple(r) for r in quality.unfounded_methods(reported, index).collect()] == [("a", "pong")]
+    # A part of an identifier is no occurrence.
+    named = spark.createDataFrame([("c", ["f", "größe", "$x", "i"])], "path string, names array<string>")
+    text = spark.createDataFrame([("c", "if (größe) $x.if2()")], "path string, content string")
+    got = quality.unfounded_methods(named, quality.occurrence_index(text)).collect()
+    assert sorted(r.name for r in got) == ["f", "i"]
 
 
 def test_agreement(spark):
@@ -79,6 +86,10 @@ def test_golden_set(spark):
     assert got == {"a": (2, 2, 2, 2), "b": (0, 1, 0, 1), "c": (2, 2, 2, 1)}
     gate = quality.golden_gate(scores, 1.4).first()
     assert (gate.files, gate.mean_score, gate.passed) == (3, 17 / 12, True)
+    invented = spark.createDataFrame([("b", "zz"), ("not golden", "q")], "path string, name string")
+    failed = quality.golden_gate(scores, 1.4, invented).first()
+    assert (failed.invented_methods, failed.passed) == (1, False)
+    assert quality.golden_gate(scores, 1.4, invented.where("path <> 'b'")).first().passed
     assert not quality.golden_gate(scores, 1.5).first().passed
     assert quality.golden_gate(scores.limit(0), 1.0).first().passed is False
 
@@ -88,3 +99,23 @@ def test_snapshot_diff(spark):
     then = spark.createDataFrame([("same", "1"), ("gone", "2"), ("changed", "4")], "path string, key string")
     got = {r.path: r.status for r in quality.snapshot_diff(now, then).collect()}
     assert got == {"same": "unchanged", "new": "new", "changed": "changed", "gone": "deleted"}
+
+
+def test_snapshots_are_compared_below_folders_that_differ(spark):
+    rows = [(f"a/b{i % 5}/c{i % 3}/f{i}.py", str(i)) for i in range(90)] + [("top.py", "t"), ("n/x.py", None)]
+    changed = {"a/b1/c0/f6.py": "new key", "a/b2/c1/f7.py": None}
+    then = [(p, changed.get(p, k)) for p, k in rows if p != "a/b3/c2/f8.py"] + [("gone/g.py", "g")]
+    now, before = (spark.createDataFrame(r, "path string, key string") for r in (rows, then))
+    want = {p: "unchanged" for p, _ in rows}
+    old = dict(then)
+    for p, k in rows:
+        want[p] = "new" if p not in old else "unchanged" if old[p] == k else "changed"
+    want["gone/g.py"] = "deleted"
+    assert {r.path: r.status for r in quality.snapshot_diff(now, before).collect()} == want
+    folders = {r.folder: (r.files, r.earlier_files, r.same) for r in quality.snapshot_folders(now, before).collect()}
+    assert folders[""] == (92, 92, False) and folders["n"] == (1, 1, True) and folders["gone"] == (0, 1, False)
+    touched = {p for p, s in want.items() if s != "unchanged"}
+    for folder, (_, _, same) in folders.items():
+        assert same == (not any(p.startswith(folder + "/") or not folder for p in touched)), folder
+    same = quality.snapshot_diff(now, now)
+    assert {r.status for r in same.collect()} == {"unchanged"} and same.count() == len(rows)
