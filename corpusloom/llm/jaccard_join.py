@@ -49,6 +49,8 @@ from corpusloom.operators.ranking import global_rank
 from corpusloom.session import cut
 
 MINIMA = 4
+# Bytes of text whose tokens are in memory at a time: a byte has some ten numbers.
+SLICE = 1 << 20
 # Cells of the count of common tokens: a fixed size.
 CELL_BITS = 20
 # A cell that a task counts so often, and four times as often as the mean, is common.
@@ -88,7 +90,7 @@ def common_cells(docs: DataFrame, text: str, n: int) -> Broadcast:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << CELL_BITS, np.int64)
-        for batch in arrays.slices(batches, text):
+        for batch in arrays.slices(batches, text, SLICE):
             tokens, _ = token_sets(batch.column(text), n)
             seen += np.bincount(_cell(tokens), minlength=1 << CELL_BITS)
         at = np.nonzero((seen >= OFTEN) & (seen >= 4 * seen.mean()))[0]
@@ -138,7 +140,7 @@ SETS = (
 
 def _sets(docs: DataFrame, n: int, percent: int, levels: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrays.slices(batches, "text"):
+        for batch in arrays.slices(batches, "text", SLICE):
             tokens, offsets = token_sets(batch.column("text"), n)
             sizes = np.diff(offsets)
             owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -190,7 +192,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, pivot_tokens = None, None
-        for batch in arrays.slices(batches, "text"):
+        for batch in arrays.slices(batches, "text", SLICE):
             tokens, offsets = token_sets(batch.column("text"), n)
             out = []
             for k, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
