@@ -2,13 +2,16 @@
 
 A document of more than a window gives full windows; the rest goes online to the fill
 level whose use leaves the smallest sum of squared counts of partly filled windows, kept
-in an array of counts per level. When a task's documents have ended, its open windows
-are laid end to end and cut into full windows; what is left then is cut at powers of
-two, which need no padding. A task packs what it reads, with memory bounded by its open
-windows: no document moves, and a hot source is as any other.
-
-A null or empty text is its end id. Equal ids are packed each. A window never holds ids
-of two tasks, so a task that runs again gives the same rows.
+in an array of counts per level. A piece may be cut to fill a window, at a price. When a
+task's documents have ended, the emptiest windows are taken apart and placed by the same
+array until one is left, which is cut at powers of two, which need no padding. A task packs
+what it reads, with memory bounded by its few open windows: no document moves, and a hot
+source is as any other.
+
+A null or empty text is its end id. Equal ids are packed each; of equal choices the fullest
+window is taken. A very long text gives full windows as it is read. An empty table gives an
+empty table; other columns are not read. A window never holds ids of two tasks, so a task
+that runs again gives the same rows.
 """
 
 from __future__ import annotations
@@ -26,62 +29,83 @@ from corpusloom.llm.ship import ship
 from corpusloom.llm.tokens import END_ID, encoder
 
 WINDOW = 4096
+#: Levels of fill that are counted, and what a cut costs in units of the sum of squares.
+LEVELS, CUT_PRICE = 8, 1.5
 PIECES = "doc_id bigint, start bigint, length bigint, {content}, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
 class Levels:
-    """Open windows by fill level."""
-
-    def __init__(self, window: int):
-        self.window = window
-        self.counts = np.zeros(window, np.int64)
-        self.open: dict[int, list[list]] = {}
-
-    def place(self, size: int, piece) -> list | None:
-        """Put a piece (below a window) where the sum of squares grows least; returns a
-        window that is full by it."""
-        counts = self.counts
-        rest = self.window - size
-        # Level h to h + size: (n[h] - 1)^2 - n[h]^2 + (n[h + size] + 1)^2 - n[h + size]^2.
-        growth = np.full(rest + 1, np.iinfo(np.int64).max)
-        used = np.nonzero(counts[1:rest + 1])[0] + 1
-        growth[0] = 2 * counts[size] + 1
-        growth[used] = 2 - 2 * counts[used]
-        inner = used[used < rest]
-        growth[inner] += 2 * counts[inner + size]
-        if len(used) and used[-1] == rest:
-            growth[rest] -= 1
-        # Of equal choices the fullest.
-        level = rest - int(np.argmin(growth[::-1]))
-        pieces = self.open[level].pop() if level else []
-        if level:
-            counts[level] -= 1
-        pieces.append(piece)
-        if level + size == self.window:
-            return pieces
-        counts[level + size] += 1
-        self.open.setdefault(level + size, []).append(pieces)
-        return None
-
-    def rest(self) -> Iterator[list]:
-        for level in sorted(self.open, reverse=True):
-            yield from self.open[level]
-
-
-def relay(windows: Iterator[list], window: int) -> Iterator[list]:
-    """Lay the pieces (key, start, length) of open windows end to end: full windows,
-    then one of each power of two that the last has."""
-    room, now, last = window, [], []
-    for key, start, length in (p for pieces in windows for p in pieces):
+    """Open windows, and an array of how many there are at each level of fill.
+
+    A piece goes where the sum of the squared counts grows least: to a new window, to an
+    open one it fits, or to one that it fills, by being cut. A cut has a price, so that a
+    piece is cut only where counts would grow otherwise. The counts bound the open windows
+    to a few per level.
+    """
+
+    def __init__(self, window: int, levels: int = LEVELS, price: float = CUT_PRICE):
+        self.window, self.step, self.price = window, max(1, window // levels), price
+        self.counts = np.zeros(window // self.step + 1, np.int64)
+        self.open: list[list] = []   # [fill, pieces]
+
+    def _choice(self, size: int, price: float, opening: bool) -> list | None:
+        """The open window that a piece goes to; None for a new one."""
+        counts, step = self.counts, self.step
+        best, chosen = (2 * counts[size // step] + 1 if opening else np.inf, 0), None
+        for one in self.open:
+            fill = one[0]
+            level, after = fill // step, fill + size
+            if after < self.window:
+                moved = after // step
+                growth = 0 if moved == level else 2 - 2 * counts[level] + 2 * counts[moved]
+            else:
+                growth = 1 - 2 * counts[level]
+                if after > self.window:
+                    # What is left is counted as a window of its own.
+                    left = (after - self.window) // step
+                    growth += 2 * (counts[left] - (left == level)) + 1 + price
+            # Of equal choices the fullest.
+            if (growth, -fill) < best:
+                best, chosen = (growth, -fill), one
+        return chosen
+
+    def place(self, key, start: int, length: int, price: float | None = None, opening: bool = True) -> Iterator[list]:
+        """Place a piece; yields the pieces of the windows that are full by it."""
+        price = self.price if price is None else price
         while length:
-            k = min(length, room)
-            now.append((key, start, k))
-            start, length, room = start + k, length - k, room - k
-            if not room:
-                yield now
-                room, now = window, []
-    fill = window - room
-    for bit in (1 << b for b in reversed(range(max(1, fill).bit_length()))):
+            one = self._choice(length, price, opening) if length < self.window else None
+            if one is None:
+                one = [0, []]
+                self.open.append(one)
+            else:
+                self.counts[one[0] // self.step] -= 1
+            k = min(length, self.window - one[0])
+            one[0] += k
+            one[1].append((key, start, k))
+            start, length = start + k, length - k
+            if one[0] == self.window:
+                # The one that was chosen, not one that is equal to it.
+                self.open = [other for other in self.open if other is not one]
+                yield one[1]
+            else:
+                self.counts[one[0] // self.step] += 1
+
+    def drain(self) -> Iterator[list]:
+        """Close what is open: the emptiest window is taken apart and its pieces are placed
+        in the others, with cuts for nothing, until one window is left."""
+        while len(self.open) > 1:
+            least = min(self.open, key=lambda one: one[0])
+            self.open = [other for other in self.open if other is not least]
+            self.counts[least[0] // self.step] -= 1
+            for piece in least[1]:
+                yield from self.place(*piece, price=0.0, opening=False)
+
+
+def powers_of_two(pieces: list) -> Iterator[list]:
+    """The pieces of the last window as windows of powers of two, which need no padding."""
+    now = list(pieces)
+    fill = sum(length for _, _, length in now)
+    for bit in (1 << b for b in reversed(range(fill.bit_length()))):
         if fill & bit:
             part, need = [], bit
             while need:
@@ -90,8 +114,7 @@ def relay(windows: Iterator[list], window: int) -> Iterator[list]:
                 part.append((key, start, k))
                 need -= k
                 now[0:1] = [(key, start + k, length - k)] if length > k else []
-            last.append(part)
-    yield from last
+            yield part
 
 
 def pack(
@@ -146,12 +169,14 @@ def pack(
                 if total > whole:
                     # An open window keeps its own bytes only, not those of the slice.
                     kept = (doc, whole, memoryview(key[2][4 * whole:].tobytes()), total)
-                    full = levels.place(total - whole, (kept, whole, total - whole))
-                    if full:
+                    for full in levels.place(kept, whole, total - whole):
                         put(full)
             yield flush()
-        for pieces in relay(levels.rest(), window):
-            put(pieces)
+        for full in levels.drain():
+            put(full)
+        for one in levels.open:
+            for part in powers_of_two(one[1]):
+                put(part)
         if fields[0]:
             yield flush()
 

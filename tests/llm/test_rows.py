@@ -115,21 +115,64 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing, tokenizer_path()).count() == 0
 
 
-def test_sum_of_squares_choice():
-    """Every placement is one whose sum of squared counts is least."""
-    levels = packing.Levels(16)
-    for size in np.random.default_rng(3).integers(1, 16, 400).tolist():
-        before = levels.counts.copy()
-        options = []
-        for level in range(0, 16 - size + 1):
-            if level == 0 or before[level]:
-                after = before.copy()
-                after[level] -= level > 0
-                if level + size < 16:
-                    after[level + size] += 1
-                options.append(int((after ** 2).sum()))
-        levels.place(size, ("k", 0, size))
-        assert int((levels.counts ** 2).sum()) == min(options)
+def test_sum_of_squares_grows_least():
+    """Every placement without cuts against all choices; with cuts, no choice without one
+    would have been better by more than their price."""
+    for price in (1e9, 0.5):
+        levels = packing.Levels(64, 8, price)
+        for size in np.random.default_rng(3).integers(1, 64, 500).tolist():
+            before, fills = levels.counts.copy(), [one[0] for one in levels.open]
+            options = []
+            for fill in {0, *fills}:
+                if fill + size <= 64:
+                    after = before.copy()
+                    after[fill // 8] -= fill > 0
+                    if fill + size < 64:
+                        after[(fill + size) // 8] += 1
+                    options.append(int((after ** 2).sum()))
+            full = list(levels.place("k", 0, size))
+            assert all(sum(k for *_, k in w) == 64 for w in full)
+            now = int((levels.counts ** 2).sum())
+            assert now == min(options) if price > 1 else now <= min(options)
+            assert levels.counts.sum() == len(levels.open)
+            assert np.array_equal(levels.counts, np.bincount([one[0] // 8 for one in levels.open], minlength=len(levels.counts)))
+
+
+@pytest.mark.parametrize("tasks", [4, 32])
+def test_most_ids_are_in_windows_that_the_levels_closed(tasks):
+    """Sizes like those of 10,000 documents, dealt to tasks; every id is placed once."""
+    sizes = np.minimum(np.random.default_rng(6).lognormal(5.6, 1.3, 10_000).astype(int) + 1, 20_000)
+    closed = cut = online = 0
+    for part in np.array_split(sizes, tasks):
+        levels, pieces = packing.Levels(4096), []
+        for doc, size in enumerate(part.tolist()):
+            whole = size - size % 4096
+            closed += whole
+            online += whole
+            for window in levels.place(doc, whole, size - whole):
+                pieces += window
+                online += 4096
+        assert len(levels.open) < 30
+        for window in levels.drain():
+            assert sum(k for *_, k in window) == 4096
+            pieces += window
+        assert len(levels.open) <= 1
+        closed += sum(k for *_, k in pieces)
+        for one in levels.open:
+            parts = list(packing.powers_of_two(one[1]))
+            assert all(n & (n - 1) == 0 for n in (sum(k for *_, k in p) for p in parts))
+            pieces += [p for part_ in parts for p in part_]
+        of = collections.defaultdict(list)
+        for doc, start, k in pieces:
+            of[doc].append((start, k))
+        for doc, size in enumerate(part.tolist()):
+            at = size - size % 4096
+            for start, k in sorted(of[doc]):
+                assert start == at
+                at += k
+            assert at == size
+            cut += len(of[doc]) - 1
+    assert closed >= 0.95 * sizes.sum() and online >= 0.85 * sizes.sum() and cut < 0.3 * len(sizes)
 
 
 def measures(text):
