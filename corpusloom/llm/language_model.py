@@ -46,6 +46,10 @@ HIDDEN = 24
 #: Steps between truncations, lanes trained side by side, rounds.
 STEPS, LANES, ROUNDS = 16, 256, 2
 RATE = 0.05
+#: Share of the lanes that have work, below which long rows wait for more rows.
+BUSY = 0.75
+#: Weights that are summed up as one row.
+BLOCK = 4096
 LOG10 = np.float32(1 / np.log(10))
 
 
@@ -70,8 +74,9 @@ def initial(words: int, class_size: int, classes: int, hidden: int) -> Params:
     )))
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """Through the hyperbolic tangent, which does not overflow."""
+    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
 
 
 def _step(p: Params, h: np.ndarray, x: np.ndarray):
@@ -86,91 +91,116 @@ def _step(p: Params, h: np.ndarray, x: np.ndarray):
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 def _with_one(h: np.ndarray) -> np.ndarray:
-    return np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
+    out = np.ones((len(h), h.shape[1] + 1), np.float32)
+    out[:, :-1] = h
+    return out
+
+
+def _by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, list[int]]:
+    """(order of rows by class, where each class ends)."""
+    return np.argsort(cls, kind="stable"), np.cumsum(np.bincount(cls, minlength=classes)).tolist()
 
 
 def log_probabilities(p: Params, h: np.ndarray, y: np.ndarray, of_class: np.ndarray, in_class: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each next word, given the states before it."""
-    one = _with_one(h)
-    scores = one @ p.c
-    top = scores.max(axis=1)
     cls = of_class[y]
-    at = np.arange(len(y))
-    out = scores[at, cls] - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
-    order = np.argsort(cls, kind="stable")
-    ends = np.cumsum(np.bincount(cls, minlength=len(sizes)))
+    order, ends = _by_class(cls, len(sizes))
+    # Rows of a class side by side, so that each class is one product.
+    one, word, rows = _with_one(h[order]), in_class[y[order]], np.arange(len(y))
+    scores = one @ p.c
+    scores -= scores.max(axis=1, keepdims=True)
+    told = scores[rows, cls[order]]
+    told -= np.log(np.exp(scores, out=scores).sum(axis=1))
     start = 0
-    for c, end in enumerate(ends.tolist()):
-        if end > start:
-            rows = order[start:end]
-            inner = one[rows] @ p.w[c][:, :sizes[c]]
-            top = inner.max(axis=1)
-            out[rows] += inner[np.arange(len(rows)), in_class[y[rows]]] - top - np.log(np.exp(inner - top[:, None]).sum(axis=1))
+    for c, end in enumerate(ends):
+        # The word of a class of one is certain.
+        if end > start and sizes[c] > 1:
+            inner = one[start:end] @ p.w[c, :, :sizes[c]]
+            inner -= inner.max(axis=1, keepdims=True)
+            told[start:end] += inner[rows[:end - start], word[start:end]]
+            told[start:end] -= np.log(np.exp(inner, out=inner).sum(axis=1))
         start = end
+    out = np.empty_like(told)
+    out[order] = told
     return out
 
 
 def train_window(p: Params, h: np.ndarray, xs: np.ndarray, ys: np.ndarray, live: np.ndarray, of_class, in_class, sizes, rate: float) -> np.ndarray:
     """Truncated backpropagation through one window (steps x lanes); returns the state."""
     kept = []
-    start = h
+    lanes, k = h.shape
+    whole = live.all(axis=1)
+    states = np.empty((len(xs), lanes, k), np.float32)
     for t in range(len(xs)):
         before = h
         h, z, r, cand, inner = _step(p, h, xs[t])
-        h = np.where(live[t][:, None], h, before)
-        kept.append((before, z, r, cand, inner, h))
-    k = h.shape[1]
+        if not whole[t]:
+            h = np.where(live[t][:, None], h, before)
+        kept.append((before, z, r, cand, inner))
+        states[t] = h
     n = max(1, int(live.sum()))
-    # The output of all steps at once: its gradients need no later step.
-    states = np.stack([step[5] for step in kept])
-    one, y = _with_one(states[live]), ys[live]
+    scale = np.float32(rate / np.sqrt(n))
+    # The output of all steps at once: its gradients need no later step. Rows of a class are
+    # side by side; a class's weights change once it has told its gradients.
+    every = bool(whole.all())
+    flat, y = (states.reshape(-1, k), ys.ravel()) if every else (states[live], ys[live])
     cls = of_class[y]
+    order, ends = _by_class(cls, len(sizes))
+    one, word, rows = _with_one(flat[order]), in_class[y[order]], np.arange(len(y))
     d = _softmax(one @ p.c)
-    d[np.arange(len(y)), cls] -= 1
-    gc = one.T @ d
-    into_states = d @ p.c[:k].T
-    gw: dict[int, np.ndarray] = {}
-    order = np.argsort(cls, kind="stable")
-    ends = np.cumsum(np.bincount(cls, minlength=len(sizes)))
-    for c in np.unique(cls).tolist():
-        rows = order[ends[c - 1] if c else 0:ends[c]]
-        d = _softmax(one[rows] @ p.w[c][:, :sizes[c]])
-        d[np.arange(len(rows)), in_class[y[rows]]] -= 1
-        gw[c] = np.zeros_like(p.w[c])
-        gw[c][:, :sizes[c]] = one[rows].T @ d
-        into_states[rows] += d @ p.w[c][:k, :sizes[c]].T
-    back = np.zeros_like(states)
-    back[live] = into_states
+    d[rows, cls[order]] -= 1
+    into = d @ p.c[:k].T
+    p.c -= scale * np.clip(one.T @ d, -5, 5)
+    start = 0
+    for c, end in enumerate(ends):
+        # The word of a class of one is certain: nothing to learn.
+        if end > start and sizes[c] > 1:
+            own, weights = one[start:end], p.w[c, :, :sizes[c]]
+            d = _softmax(own @ weights)
+            d[rows[:end - start], word[start:end]] -= 1
+            into[start:end] += d @ weights[:k].T
+            weights -= scale * np.clip(own.T @ d, -5, 5)
+        start = end
+    back = np.zeros((len(y), k), np.float32)
+    back[order] = into
+    if every:
+        back = back.reshape(len(xs), lanes, k)
+    else:
+        spread = np.zeros_like(states)
+        spread[live] = back
+        back = spread
     gu = np.zeros_like(p.u)
-    ge = np.zeros((*live.shape, 3 * k), np.float32)
-    dh = np.zeros_like(start)
+    ge = np.empty((len(xs), lanes, 3 * k), np.float32)
+    into = np.empty((lanes, 3 * k), np.float32)
+    dh = np.zeros_like(h)
+    ut = np.ascontiguousarray(p.u.T)
     for t in reversed(range(len(xs))):
-        before, z, r, cand, inner, _ = kept[t]
-        dh = dh + back[t]
-        mask = live[t][:, None]
-        dn = np.where(mask, dh, 0)
-        dz = dn * (cand - before) * z * (1 - z)
-        dc = dn * z * (1 - cand * cand)
-        dr = dc * inner * r * (1 - r)
-        ge[t] = np.concatenate([dz, dr, dc], axis=1)
-        into = np.concatenate([dz, dr, dc * r], axis=1)
+        before, z, r, cand, inner = kept[t]
+        dh += back[t]
+        dn = dh if whole[t] else dh * live[t][:, None]
+        g = ge[t]
+        np.multiply(dn * (cand - before), z * (1 - z), out=g[:, :k])
+        dc = np.multiply(dn * z, 1 - cand * cand, out=g[:, 2 * k:])
+        np.multiply(dc * inner, r * (1 - r), out=g[:, k:2 * k])
+        into[:, :2 * k] = g[:, :2 * k]
+        np.multiply(dc, r, out=into[:, 2 * k:])
         gu += before.T @ into
-        dh = np.where(mask, dn * (1 - z) + into @ p.u.T, dh)
-    scale = np.float32(rate / np.sqrt(n))
+        after = dn * (1 - z)
+        after += into @ ut
+        dh = after if whole[t] else np.where(live[t][:, None], after, dh)
     p.u -= scale * np.clip(gu, -5, 5)
-    p.c -= scale * np.clip(gc, -5, 5)
     if len(y):
-        x = xs[live]
+        x, ge = (xs.ravel(), ge.reshape(-1, 3 * k)) if every else (xs[live], ge[live])
         order = np.argsort(x, kind="stable")
-        words, first = np.unique(x[order], return_index=True)
-        p.e[words] -= scale * np.add.reduceat(np.clip(ge[live][order], -1, 1), first, axis=0)
-    for c, g in gw.items():
-        p.w[c] -= scale * np.clip(g, -5, 5)
+        first = np.nonzero(np.diff(x[order], prepend=-1))[0]
+        p.e[x[order][first]] -= scale * np.add.reduceat(np.clip(ge, -1, 1, out=ge)[order], first, axis=0)
     return h
 
 
@@ -292,27 +322,60 @@ def schedule(length: np.ndarray, lanes: int) -> list[tuple[np.ndarray, np.ndarra
     return list(zip(np.split(row[order], cuts), np.split(number[order], cuts), strict=True))
 
 
-def learn(p: Params, lex: Lexicon, ids: np.ndarray, ends: np.ndarray, rate: float) -> int:
-    """Trains `p` on every window of the rows of ids; returns the number of ids."""
-    if len(ends) < 2:
-        return 0
-    end_id = ids[ends[1] - 1]
-    state = np.zeros((LANES, p.u.shape[0]), np.float32)
-    seen = 0
-    for row, number in schedule(np.diff(ends), LANES):
+@dataclass
+class Rows:
+    """Rows of ids to learn from: where each ends, and the state and id before it."""
+
+    ids: np.ndarray
+    ends: np.ndarray     # rows + 1
+    state: np.ndarray    # rows x hidden
+    before: np.ndarray
+
+    @classmethod
+    def fresh(cls, ids: np.ndarray, ends: np.ndarray, hidden: int) -> Rows:
+        """Whole documents: the state is zero, and an end came before."""
+        n = len(ends) - 1
+        end_id = ids[ends[1] - 1] if n else 0
+        return cls(ids, ends, np.zeros((n, hidden), np.float32), np.full(n, end_id))
+
+    def joined(self, other: Rows) -> Rows:
+        return Rows(np.concatenate([self.ids, other.ids]), np.concatenate([self.ends, self.ends[-1] + other.ends[1:]]),
+                    np.concatenate([self.state, other.state]), np.concatenate([self.before, other.before]))
+
+
+def learn(p: Params, lex: Lexicon, rows: Rows, rate: float, last: bool = True) -> tuple[int, Rows]:
+    """Trains `p` on the windows of the rows, each row's in order. Where more rows follow
+    (not `last`), it stops when few lanes have something left: long rows go on beside the
+    next ones. Returns the number of ids seen and what is left, with its states."""
+    ids, ends = rows.ids, rows.ends
+    length = np.diff(ends)
+    windows = -(-length // STEPS)
+    done = np.zeros(len(length), np.int64)
+    states = rows.state.copy()
+    seen, state = 0, np.zeros((LANES, rows.state.shape[1]), np.float32)
+    for row, number in schedule(length, LANES) if len(length) else []:
+        if not last and len(row) < LANES * BUSY:
+            break
         at = ends[:-1][row] + number * STEPS
         cells = at[None, :] + np.arange(STEPS)[:, None]
         live = cells < ends[1:][row][None, :]
         ys = ids[np.minimum(cells, len(ids) - 1)]
         xs = np.roll(ys, 1, axis=0)
-        xs[0] = np.where(number == 0, end_id, ids[np.maximum(at - 1, 0)])
-        state = np.where((number == 0)[:, None], np.float32(0), state[:len(row)])
+        xs[0] = np.where(number == 0, rows.before[row], ids[np.maximum(at - 1, 0)])
+        state = np.where((number == 0)[:, None], rows.state[row], state[:len(row)])
         # A step counts by its ids, so that a few long rows at the end do not outweigh the rest.
         n = int(live.sum())
         part = rate * np.sqrt(n / (LANES * STEPS))
         state = train_window(p, state, xs, ys, live, lex.of_class, lex.in_class, lex.sizes, part)
+        done[row] = number + 1
+        states[row] = state
         seen += n
-    return seen
+    left = np.nonzero(done < windows)[0]
+    start = ends[:-1][left] + done[left] * STEPS
+    size = ends[1:][left] - start
+    kept = ids[np.repeat(start, size) + arrays.ranges(size)]
+    before = np.where(done[left] == 0, rows.before[left], ids[np.maximum(start - 1, 0)]) if len(ids) else rows.before[left]
+    return seen, Rows(kept, np.concatenate([[0], np.cumsum(size)]), states[left], before)
 
 
 def train(rows: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Params:
@@ -329,33 +392,54 @@ def train(rows: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Params:
         def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
             lex, p = start.value
             own = Params(*(a.copy() for a in p.arrays()))
-            seen = 0
+            rate = RATE * (0.3 if turn else 1.0)
+            seen, left = 0, Rows.fresh(np.zeros(0, np.int64), np.zeros(1, np.int64), HIDDEN)
             for batch in arrays.slices(batches, "text", 8 << 20):
                 words, offsets = _words(batch.column("text"))
                 _, ids, ends = _sequence(lex, words, offsets)
-                seen += learn(own, lex, ids, ends, RATE * (0.3 if turn else 1.0))
+                n, left = learn(own, lex, left.joined(Rows.fresh(ids, ends, HIDDEN)), rate, last=False)
+                seen += n
+            n, _ = learn(own, lex, left, rate)
+            seen += n
             if not seen:
                 return
             flat = np.concatenate([a.ravel() for a in own.arrays()])
-            blocks = np.array_split(flat, -(-len(flat) // 4096))
+            blocks = np.array_split(flat, -(-len(flat) // BLOCK))
             yield pa.RecordBatch.from_arrays([
                 pa.array(range(len(blocks)), pa.int32()), pa.array([seen] * len(blocks), pa.int64()),
                 pa.array(blocks, pa.list_(pa.float32())),
             ], names=["block", "tokens", "weights"])
 
-        weighted = rows.select("text").mapInArrow(run, schema).select(
-            "block", "tokens", F.posexplode("weights").alias("k", "w"))
-        mean = weighted.groupBy("block", "k").agg((F.sum(F.col("w") * F.col("tokens")) / F.sum("tokens")).alias("w"))
-        got = mean.toArrow().sort_by([("block", "ascending"), ("k", "ascending")])
+        sent = rows.select("text").mapInArrow(run, schema)
+        # A block of all tasks' weights meets in one task, which sums them up as it reads.
+        dealt = sent.repartition(pages.partitions(spark), "block").sortWithinPartitions("block")
+        got = dealt.mapInArrow(_mean_blocks, schema).toArrow().sort_by("block")
         if got.num_rows:
-            flat, at, parts = got.column("w").to_numpy().astype(np.float32), 0, []
+            flat, at, parts = got.column("weights").combine_chunks().flatten().to_numpy(), 0, []
             for a in p.arrays():
-                parts.append(flat[at:at + a.size].reshape(a.shape))
+                parts.append(flat[at:at + a.size].reshape(a.shape).copy())
                 at += a.size
             p = Params(*parts)
     return p
 
 
+def _mean_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of each block of weights, by tokens; blocks come one after another."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for block, tokens, weights in zip(batch.column("block").to_pylist(), batch.column("tokens").to_pylist(), batch.column("weights"), strict=True):
+            values = weights.values.to_numpy().astype(np.float64) * tokens
+            if block in sums:
+                sums[block][0] += tokens
+                sums[block][1] += values
+            else:
+                sums[block] = [tokens, values]
+    yield pa.RecordBatch.from_arrays([
+        pa.array(list(sums), pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()),
+        pa.array([(total / n).astype(np.float32) for n, total in sums.values()], pa.list_(pa.float32())),
+    ], names=["block", "tokens", "weights"])
+
+
 def score_texts(lex: Lexicon, p: Params, ids: np.ndarray, ends: np.ndarray, lanes: int = 1024) -> np.ndarray:
     """Natural log-likelihood of each row's ids, states carried from start to end. Rows of
     like length run side by side; a lane stops when its row ends."""
@@ -386,7 +470,7 @@ def score_texts(lex: Lexicon, p: Params, ids: np.ndarray, ends: np.ndarray, lane
     return out
 
 
-SCORED = "row bigint, n_tokens bigint, n_frequent bigint, base double, score double, rare array<string>"
+SCORED = "row string, n_tokens bigint, n_frequent bigint, base double, score double, rare array<string>"
 
 
 def score(
@@ -396,7 +480,7 @@ def score(
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(
-        F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"),
+        F.concat_ws(":", F.col(id_col).cast("string"), F.hex(F.xxhash64(text_col, id_col))).alias("row"), F.col(id_col).alias("doc_id"),
         F.coalesce(held_out(F.col(id_col)), F.lit(True)).alias("held_out"), tokens_of(F.col(text_col)).alias("text"),
     )
     learnt = rows.where("not held_out")

@@ -157,7 +157,7 @@ def test_every_window_is_learnt_from(monkeypatch, lanes):
 
     monkeypatch.setattr(lm, "train_window", watched)
     monkeypatch.setattr(lm, "LANES", lanes)
-    assert lm.learn(lm.initial(9, 4, 3, 6), lex, ids, ends, 0.05) == len(ids)
+    assert lm.learn(lm.initial(9, 4, 3, 6), lex, lm.Rows.fresh(ids, ends, 6), 0.05)[0] == len(ids)
     read, last = [], []
     for call in calls:
         for k, (before, after, xs, ys) in enumerate(call):
@@ -176,6 +176,45 @@ def test_every_window_is_learnt_from(monkeypatch, lanes):
     assert sorted(read) == sorted(texts)
 
 
+@pytest.mark.parametrize("lanes", [2, 4, 256])
+def test_long_rows_go_on_beside_the_next_ones(monkeypatch, lanes):
+    """Rows in three slices: every window once, in its row's order, from the state left."""
+    lex, r, calls = small_lexicon(), np.random.default_rng(5), []
+    texts = [r.integers(1, 9, n).tolist() + [0] for n in (700, 3, 150, 16, 20, 3, 310, 5, 1, 40, 90, 0, 33, 64, 8)]
+
+    def watched(p, h, xs, ys, live, *rest):
+        after = r.normal(size=h.shape).astype(np.float32)
+        calls.extend((h[k], after[k], xs[0, k], ys[live[:, k], k].tolist()) for k in range(h.shape[0]))
+        return after
+
+    monkeypatch.setattr(lm, "train_window", watched)
+    monkeypatch.setattr(lm, "LANES", lanes)
+    seen, left = 0, lm.Rows.fresh(np.zeros(0, np.int64), np.zeros(1, np.int64), 6)
+    for k in range(0, len(texts), 5):
+        part = texts[k:k + 5]
+        new = lm.Rows.fresh(np.concatenate(part).astype(int), np.cumsum([0, *map(len, part)]), 6)
+        n, left = lm.learn(lm.initial(9, 4, 3, 6), lex, left.joined(new), 0.05, last=False)
+        seen += n
+        assert seen + len(left.ids) == sum(map(len, texts[:k + 5]))
+    n, left = lm.learn(lm.initial(9, 4, 3, 6), lex, left, 0.05)
+    assert seen + n == sum(map(len, texts)) and not len(left.ids)
+    # A window goes on from the window that left its state.
+    begun, whole = {}, []
+    for before, after, x, ys in calls:
+        if not before.any():
+            assert x == 0
+            row = ys
+        else:
+            row = begun.pop(before.tobytes())
+            assert x == row[-1]
+            row = row + ys
+        if ys[-1] == 0:
+            whole.append(row)
+        else:
+            begun[after.tobytes()] = row
+    assert sorted(whole) == sorted(texts) and not begun
+
+
 @pytest.mark.parametrize("changed", [(0, 40), (1, 2), (2, 130)])
 def test_every_part_of_every_row_matters(spark, changed):
     row, word = changed
