@@ -25,10 +25,11 @@ from corpusloom.operators.discover import (
 )
 from corpusloom.operators.merge import merge_parts
 from corpusloom.operators.prompts import prompt_table
-from corpusloom.schemas import OVERVIEW
+from corpusloom.schemas import INSIGHT, OVERVIEW
 from corpusloom.session import cut
 from corpusloom.settings import Settings
 from corpusloom.sources.replies import good_replies, one_overview_per_part, one_per_part, parse_overviews, parse_replies
+from corpusloom.sources.runs import RunFolder, kept
 from corpusloom.sources.sinks import analysis_document, metadata
 from corpusloom.sources.store import append_store, read_store
 
@@ -55,23 +56,35 @@ class Analysis:
     seconds: float
 
 
-def prepare(corpus: DataFrame, settings: Settings, store: str | None = None) -> Prepared:
-    """Discover, look up, and list the requests for contents not in the store."""
-    files = require_files(discover(corpus, settings))
+def prepare(
+    corpus: DataFrame, settings: Settings, store: str | None = None, run: RunFolder | None = None
+) -> Prepared:
+    """Discover, look up, and list the requests for contents not in the store.
+
+    With a run folder the same call in a later session finds what this one has made.
+    """
+    files = discover(corpus, settings)
     # Hashing and counting read every text once; all later readers use this table.
-    keyed = cut(with_lines(cache.with_key(files, settings.model)).select(
+    keyed = kept(run, "keyed", lambda: with_lines(cache.with_key(require_files(files), settings.model)).select(
         "path", "key", "language", "lines"
     ))
     stored = None
     if store and settings.cache_enabled:
         stored = read_store(corpus.sparkSession, store, settings.model, keys=keyed)
     # Written down: `complete` adds to the store before it reads this.
-    looked_up = cut(cache.cache_lookup(keyed.select("path", "key"), stored))
-    # The requests lie in storage until they are answered.
-    prompts = cut(prompt_table(cache.work_files(files, keyed, stored), settings))
+    looked_up = kept(run, "looked_up", lambda: _typed(cache.cache_lookup(keyed.select("path", "key"), stored)))
+    # The requests lie in storage until they are answered. What was found is not asked for,
+    # whatever the store holds by the time that this stage is made.
+    missed = looked_up.where(~F.col("from_cache")).select("path", "key")
+    prompts = kept(run, "prompts", lambda: prompt_table(cache.work_files(files, missed, None), settings))
     return Prepared(files, keyed, looked_up, prompts)
 
 
+def _typed(looked_up: DataFrame) -> DataFrame:
+    """Without a store the insight is a null of no type, which no file holds."""
+    return looked_up.withColumn("insight", F.col("insight").cast(INSIGHT))
+
+
 def complete(
     prepared: Prepared,
     replies: DataFrame,
@@ -80,6 +93,7 @@ def complete(
     generated_at: str,
     store: str | None = None,
     files_at: str = fv.RECORDS_FOLDER,
+    run: RunFolder | None = None,
 ) -> Analysis:
     """Take in replies (path, part, reply): merge, store, assemble, reduce.
 
@@ -95,7 +109,7 @@ def complete(
     whole = merged.join(asked, "path").where("parts = total").select(
         "path", "insight", (F.col("total") > 1).alias("chunked")
     )
-    answered = cut(whole.join(prepared.keyed.select("path", "key"), "path"))
+    answered = kept(run, "answered", lambda: whole.join(prepared.keyed.select("path", "key"), "path"))
     by_key = answered.select("key", "insight", "chunked")
     if store and settings.cache_enabled:
         append_store(answered.select("path", "key", "insight"), store, settings.model)
@@ -104,7 +118,7 @@ def complete(
         F.col("insight").isNotNull()
     )
     made = records.hits_and_results(prepared.looked_up, results)
-    recorded = cut(records.assemble(prepared.files, made))
+    recorded = kept(run, "records", lambda: records.assemble(prepared.files, made))
     tokens = prepared.prompts.join(parsed.select("path", "part", "reply"), ["path", "part"])
     usage = tokens.select("prompt_tokens", token_count(F.col("reply")).alias("completion_tokens"))
     return _finish(prepared.keyed, recorded, usage, settings, target, generated_at, files_at, time.monotonic() - began)

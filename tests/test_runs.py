@@ -1,5 +1,6 @@
 import datetime
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 from corpusloom import Settings
 from corpusloom.plans.analyze import analyze_by_rules, complete, prepare
 from corpusloom.schemas import CORPUS
-from corpusloom.session import scratch_path
+from corpusloom.session import scratch_path, scratch_scope
+from corpusloom.sources.runs import RunFolder
 from corpusloom.sources.store import read_store
 from corpusloom.streaming.usage import start_usage_windows
 from corpusloom.streaming.worklist import read_worklist, start_worklist
@@ -110,6 +112,46 @@ def test_replies_that_come_twice_or_never_or_unasked(spark, corpus):
     assert (stats.files_skipped, stats.llm_calls) == (1, len(rows) - 2)
 
 
+def test_a_run_goes_on_in_another_session(spark, corpus):
+    """Requests of one session, killed half-way through its last stage; replies of another."""
+    base = scratch_path(spark, "run")
+    settings = Settings(chunk_token_budget=100)
+    files = {"a.py": "same", "b.py": "same", "c.py": "other"}
+    first = RunFolder(spark, base, "settings 1")
+    prepare(corpus(files), settings, None, first)
+    assert set(first.log()) == {"keyed", "looked_up", "prompts"}
+    with pytest.raises(ValueError):
+        RunFolder(spark, base, "settings 2")
+    # A stage without its log entry is made again.
+    spark.range(3).write.parquet(f"{base}/stages/answered")
+
+    other = spark.newSession()
+    run = RunFolder(other, base, "settings 1")
+    made = []
+
+    def watched(name, build, stage=run.stage):
+        return stage(name, lambda: made.append(name) or build())
+
+    run.stage = watched
+    again = other.createDataFrame(corpus(files).collect(), CORPUS.simpleString().removeprefix("struct<").removesuffix(">"))
+    todo = prepare(again, settings, None, run)
+    assert made == [] and sorted(r.path for r in todo.prompts.collect()) == ["a.py", "c.py"]
+    result = complete(todo, reply_to(todo.prompts), settings, "t", AT, run=run)
+    assert made == ["answered", "records"]
+    assert sorted(r.path for r in result.records.collect()) == ["a.py", "b.py", "c.py"]
+    assert result.statistics.first().llm_calls == 2
+
+
+def test_scratch_tables_are_removed(spark, corpus, small_tree, tmp_path):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    with scratch_scope(spark):
+        run = analyze_by_rules(corpus(small_tree), Settings(), "t", AT)
+        run.records.write.json(f"{tmp_path}/out")
+        assert set(os.listdir(shared)) > before
+    assert set(os.listdir(shared)) == before and spark.read.json(f"{tmp_path}/out").count() == 2
+
+
 def test_stream_takes_in_what_is_new(spark, corpus):
     base = scratch_path(spark, "stream")
     settings = Settings(chunk_token_budget=20)
