@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from corpusloom import fixed_values as fv
 from corpusloom.operators.prefilter import prefiltered
-from corpusloom.operators.skew import left_join_hot
 from corpusloom.session import cut
 
 
@@ -23,14 +22,15 @@ def with_key(files: DataFrame, model: str) -> DataFrame:
 def cache_lookup(keyed: DataFrame, stored: DataFrame | None) -> DataFrame:
     """Add the stored insight (null = miss) and from_cache to rows with path and key.
 
-    `stored` has one row per key. Pass narrow rows: many paths may share one key, and
-    they are salted, but everything in `keyed` crosses the shuffle. Without a store
+    `stored` has one row per key. Pass narrow rows: everything in `keyed` crosses the
+    shuffle. Many paths may share one key; Spark splits such a partition when it sees its
+    size (the left side of a join with one row per key can be split). Without a store
     (cache off, or rule-based results that must not mix with it) every row misses.
     """
     if stored is None:
         return keyed.withColumns({"insight": F.lit(None), "from_cache": F.lit(False)})
     hit = stored.withColumn("_hit", F.lit(True))
-    return left_join_hot(keyed, hit, "key", spread_by="path").withColumn(
+    return keyed.join(hit, "key", "left").withColumn(
         "from_cache", F.coalesce("_hit", F.lit(False))
     ).drop("_hit")
 

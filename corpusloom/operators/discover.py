@@ -7,12 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import paths
 from corpusloom.functions.text import line_count
-from corpusloom.operators.ranking import global_rank
 from corpusloom.settings import Settings
 
-# Up to here a sorted limit keeps its paths in one task; beyond, paths are ranked
-# across partitions.
-
 
 def file_filter(settings: Settings):
     """The predicate of a run over (path, size_bytes); content is never touched."""
@@ -47,9 +43,9 @@ def discover(
 
 
 def first_files(files: DataFrame, n: int) -> DataFrame:
-    """The first `n` files in path order. Only paths are ordered; texts stay in place."""
-    paths_only = files.select("path")
-    first = global_rank(paths_only, ["path"]).where(F.col("rank") <= n).select("path")
+    """The first `n` files in path order. Only paths are ordered, each task keeping its
+    first `n`; texts stay in place."""
+    first = files.select("path").orderBy("path").limit(n)
     return files.join(first, "path", "left_semi")
 
 

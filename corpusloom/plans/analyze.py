@@ -114,9 +114,7 @@ def complete(
     if store and settings.cache_enabled:
         append_store(answered.select("path", "key", "insight"), store, settings.model)
     missed = prepared.looked_up.where(~F.col("from_cache")).select("path", "key")
-    results = cache.left_join_hot(missed, by_key, "key", spread_by="path").where(
-        F.col("insight").isNotNull()
-    )
+    results = missed.join(by_key, "key")
     made = records.hits_and_results(prepared.looked_up, results)
     recorded = kept(run, "records", lambda: records.assemble(prepared.files, made))
     tokens = prepared.prompts.join(parsed.select("path", "part", "reply"), ["path", "part"])

@@ -1,12 +1,10 @@
 import hashlib
-import random
 import re
 
 from pyspark.sql import functions as F
 
 from corpusloom.functions.insight import insight
 from corpusloom.operators import cache
-from corpusloom.operators.skew import hot_keys, left_join_hot
 from corpusloom.session import scratch_path
 from corpusloom.sources import store
 from corpusloom.sources.store import append_store, read_store
@@ -132,13 +130,21 @@ def test_copies_are_sent_once(spark):
     assert sorted(r.path for r in got) == ["p0", "q"]
 
 
-def test_salted_join_is_the_plain_join(spark):
-    rng = random.Random(1)
-    left = [(i, "hot" if rng.random() < 0.4 else f"k{rng.randrange(40)}") for i in range(1000)]
-    right = [(k, k + "!") for k in ["hot", "none"] + [f"k{i}" for i in range(0, 40, 2)]]
-    a = spark.createDataFrame(left, "id bigint, k string")
-    b = spark.createDataFrame(right, "k string, v string")
-    assert [r.k for r in hot_keys(a, "k", 0.2).collect()] == ["hot"]
-    got = left_join_hot(a, b, "k", "id", salts=8, share=0.2)
-    want = dict(right)
-    assert sorted((r.id, r.k, r.v) for r in got.collect()) == [(i, k, want.get(k)) for i, k in left]
+def test_paths_of_one_key_are_split(spark):
+    """A third of all paths with one key: the join reads its partition in several parts."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        path = scratch_path(spark, "keyed")
+        spark.range(60_000).selectExpr("concat('path/', id, '/', sha2(string(id), 256)) path", "if(id % 3 = 0, 'hot', sha2(string(id), 256)) key").repartition(8).write.parquet(path)
+        stored = spark.range(40_000).selectExpr("if(id = 0, 'hot', sha2(string(id), 256)) key").withColumn("insight", F.lit(None).cast("string"))
+        found = cache.cache_lookup(spark.read.parquet(path), stored.repartition(8))
+        assert found.where("from_cache").count() >= 20_000
+        found.collect()
+        assert "skew" in found._jdf.queryExecution().executedPlan().toString().lower()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
