@@ -28,7 +28,11 @@ time, the matrix has one row for it per token, and pairs within it are not made.
 Words are runs of characters other than space and 0x09 to 0x0D, with A-Z lower-cased. A
 text with fewer words than a shingle is one shingle; a text without words, or null, has no
 tokens and no partner. A null id has no partner either and no component. Repeated rows
-are one document. Where one id has several texts, any one of them stands for the id.
+are one document. Where one id has several texts, any one of them stands for the id;
+`keep_one` tells them apart. A very long text is a slice of its own and is compared whole.
+Ties between pivots, or between members to be compared first, go to the smallest id, and
+change the work only. An empty table gives an empty table; other columns are not read, but
+by `keep_one`, which carries them whatever their names.
 """
 
 from __future__ import annotations

@@ -18,7 +18,10 @@ broadcast table, or rare.
 Words are runs of characters other than space and 0x09 to 0x0D with A-Z lower-cased, then
 one end. A null text is empty: its end alone is scored. A row with a null id is scored and
 not learnt from. Repeated rows are scored each; all copies are learnt from. Without
-training tokens, the model knows nothing and scores are the base scores.
+training tokens, the model knows nothing and scores are the base scores. Words of one count
+at the edge of the vocabulary, or of the broadcast table, are taken in alphabetical order. A
+very long text is learnt from and scored whole, its state carried from window to window. An
+empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations

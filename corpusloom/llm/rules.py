@@ -6,7 +6,9 @@ operation on the bits. No text is read again, and nothing is shuffled but counts
 distinct bit pattern.
 
 Words are runs of characters other than space and 0x09 to 0x0D. A null text has none. A
-null document id stays null. Repeated rows are measured each.
+null document id stays null. Repeated rows are measured each, and there are no ties. A very
+long text is measured whole, as a slice of its own. An empty table gives an empty table.
+Other columns are not read, but by `keep_good`, which carries them whatever their names.
 """
 
 from __future__ import annotations

@@ -9,6 +9,10 @@ A scan of a text cuts it at the matches of a rule, so that a match's place is th
 length of what comes before it, in code points.
 
 A null text is the empty blob. A null path is kept. Repeated rows get the same findings.
+Spans of one start are listed by kind. A very long text is scanned whole, in the task that
+reads it; patterns give back nothing they need not. An empty table gives an empty ledger
+and no findings. Other columns are not read, but by `redact_rows`, which carries them
+whatever their names.
 """
 
 from __future__ import annotations
