@@ -275,8 +275,12 @@ def jaccard_components(
     def side(column: str) -> DataFrame:
         return now.select(F.col("id").alias(column), F.col("component").alias(f"{column}_now"))
 
-    # What is not joined by then is compared with every member that reaches the bound.
-    left = cut(bound.select("b", "group").join(side("b"), "b", "left").join(side("group"), "group", "left").where(
+    # What is not joined by then is compared with every member that reaches the bound, where
+    # a group has members that were not compared: most have one or two.
+    sizes_of = matrix.select("group", "doc").distinct().groupBy("group").agg(F.count("*").alias("members"))
+    compared = F.when(F.col("one") == F.col("other"), 1).otherwise(2)
+    left = cut(bound.join(sizes_of, "group").where(F.col("members") > compared).select("b", "group")
+               .join(side("b"), "b", "left").join(side("group"), "group", "left").where(
         F.coalesce("b_now", "b") != F.coalesce("group_now", "group")).select("b", "group"))
     opened = asked.select("token", "b", "bn", "blast", "group").join(left, ["b", "group"]).join(
         matrix.select("token", "group", F.col("doc").alias("a"), F.col("n").alias("an"), F.col("last").alias("alast")),
