@@ -309,11 +309,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     text = F.col("text")
     keyed = docs.select(row.alias("r"), docs[f"`{id_col}`"].cast("bigint").alias("doc"), docs[f"`{text_col}`"].cast("string").alias("text"))
     several = _second_texts(keyed)
-    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
-    some = prefiltered(keyed, several, "doc")
-    renamed = some.withColumn("digest", digest).join(several, ["doc", "digest"], "left").select(
-        "r", F.coalesce("number", "doc").alias("doc"), "text")
-    named = prefiltered(keyed, several, "doc", others=True).select("r", "doc", "text").unionByName(renamed)
+    named = keyed
+    # As a rule ids tell texts apart, and the rows are read as they are.
+    if not several.isEmpty():
+        digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+        some = prefiltered(keyed, several, "doc")
+        renamed = some.withColumn("digest", digest).join(several, ["doc", "digest"], "left").select(
+            "r", F.coalesce("number", "doc").alias("doc"), "text")
+        named = prefiltered(keyed, several, "doc", others=True).select("r", "doc", "text").unionByName(renamed)
     found = jaccard_components(named, "doc", "text", **options)
     out = cut(found.where("doc_id = component_id").select(F.col("doc_id").alias("doc")).distinct())
     kept = named.join(out, "doc").groupBy("doc").agg(F.first("r").alias("r"))
