@@ -36,7 +36,7 @@ RULES = {
 BITS = {rule: 1 << k for k, rule in enumerate(RULES)}
 SYMBOLS = b"#*$%&|<>"
 # Bytes of text whose arrays are in memory at a time, where rows wait for their measurements.
-SLICE = 1 << 20
+SLICE = 1 << 19
 WINDOW = 5
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 

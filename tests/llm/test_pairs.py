@@ -6,11 +6,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import byte_dedup, jaccard_join, suffixes, vectors, word_dedup
 from corpusloom.llm.components import components
+from corpusloom.session import batch_bytes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string, places string"
@@ -303,3 +305,40 @@ def test_tables_grow_with_the_vectors():
     chunk = codes.chunks(x)
     a, b = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
     assert len(a) > 100 and np.mean(vectors._near(chunk[a], chunk[b]).any(axis=1)) > 0.95
+
+
+def test_common_shingles_are_told_from_rare(spark):
+    """Shingles of a dozen documents are common, however many rare ones there are beside."""
+    r = random.Random(8)
+    shared = [f"s{k}" for k in range(40)]
+
+    def text(k):
+        own = [f"w{k}x{r.randrange(10 ** 9)}" for _ in range(400)]
+        return " ".join(own + shared if k % 25 == 0 else own)
+
+    rows = spark.createDataFrame([(k, text(k)) for k in range(300)], "doc bigint, text string").coalesce(1)
+    table = jaccard_join.common_tokens(rows, "text", 3).value
+    tokens, _ = jaccard_join.token_sets(pa.array([" ".join(shared)]), 3)
+    assert (table[jaccard_join._cell(tokens)] > 0).all()
+    assert np.count_nonzero(table) <= len(tokens) + 5
+
+
+def test_repeated():
+    tokens, times = jaccard_join.repeated(np.array([5, 9, 5, 1 << 63, 7, 5, 1 << 63], np.uint64))
+    assert tokens.tolist() == [5, 1 << 63] and times.tolist() == [3, 2]
+    assert not len(jaccard_join.repeated(np.zeros(0, np.uint64))[0])
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    rows = spark.range(400).select(F.lit("x" * 10_000).alias("text")).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    with batch_bytes(spark, 1 << 20):
+        most = max(r.n for r in rows.mapInArrow(sizes, "n bigint").collect())
+    assert most <= 200
+    assert spark.conf.get(key) == before
