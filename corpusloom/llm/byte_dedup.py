@@ -170,14 +170,17 @@ def _by_ends(distinct: np.ndarray, part: np.ndarray, smallest: np.ndarray) -> No
 
 def _parts(distinct: np.ndarray) -> Iterator[np.ndarray]:
     """Row numbers of contexts that are sorted together: those with equal shared bytes
-    stay together, also where they alone are more than is sorted at once."""
+    stay together, also where they alone are more than is sorted at once. A context whose
+    shared bytes no other has is left out: none of its windows equals another's."""
     width = distinct.shape[1]
     most = max(1, _AT_ONCE // (width + 1))
     core = np.ascontiguousarray(distinct[:, _STEP - 1:width - _STEP + 1])
     rows = core.view(f"V{core.shape[1]}").ravel()
     code = overlap.fixed_width(rows).dictionary_encode().indices.to_numpy()
+    sizes = np.bincount(code)
     order = np.argsort(code, kind="stable")
-    ends = np.cumsum(np.bincount(code))
+    order = order[sizes[code[order]] > 1]
+    ends = np.cumsum(np.where(sizes > 1, sizes, 0))
     start = 0
     while start < len(order):
         k = int(np.searchsorted(ends, start + most, side="right"))

@@ -323,6 +323,24 @@ def test_common_shingles_are_told_from_rare(spark):
     assert np.count_nonzero(table) <= len(tokens) + 5
 
 
+def test_only_contexts_with_a_partner_are_sorted():
+    """Of contexts, those whose shared bytes no other has; all that have a partner stay."""
+    r = np.random.default_rng(6)
+    alone = r.integers(97, 123, (50, 60)).astype(np.uint8)
+    pair = np.tile(r.integers(97, 123, 60).astype(np.uint8), (2, 1))
+    pair[1, 0] ^= 1
+    keys = np.concatenate([alone[:30], pair, alone[30:], pair[:1], alone[:1]])
+    distinct = np.unique(keys, axis=0)
+    parts = list(byte_dedup._parts(distinct))
+    assert sorted(map(bytes, distinct[np.concatenate(parts)])) == sorted(map(bytes, pair))
+    flags, docs = np.full(len(keys), (1 << 11) - 1, np.uint16), np.arange(len(keys))
+    told = byte_dedup._decide(keys, flags, docs, 50)
+    # A window that covers the changed byte is new; equal contexts repeat whole.
+    every = (1 << 11) - 1
+    assert told[31] == every - 1 and told[-2] == told[-1] == every
+    assert not told[:31].any() and not told[32:-2].any()
+
+
 def test_repeated():
     tokens, times = jaccard_join.repeated(np.array([5, 9, 5, 1 << 63, 7, 5, 1 << 63], np.uint64))
     assert tokens.tolist() == [5, 1 << 63] and times.tolist() == [3, 2]
