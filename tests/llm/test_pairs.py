@@ -360,3 +360,33 @@ def test_batches_are_bounded_by_bytes(spark):
         most = max(r.n for r in rows.mapInArrow(sizes, "n bigint").collect())
     assert most <= 200
     assert spark.conf.get(key) == before
+
+
+def test_families_about_the_threshold(spark):
+    """Copies of a few texts with more and more edits: some link only through others."""
+    r = random.Random(12)
+    sets, rows = {}, []
+    for family in range(3):
+        base = [f"b{family}x{k}" for k in range(60)]
+        for k in range(50):
+            words = list(base)
+            for _ in range(r.randint(1, 6)):
+                words[r.randrange(60)] = f"e{family}x{r.randrange(30)}"
+            rows.append((100 * family + k, " ".join(words)))
+            sets[rows[-1][0]] = set(words)
+    ids, parent = list(sets), {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in ids:
+        for j in ids:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x.doc_id: x.component_id for x in jaccard_join.jaccard_components(docs, n=1, percent=90).collect()}
+    assert got == {i: root(i) for i in ids}
+    assert 3 < len(set(got.values())) < len(ids)
