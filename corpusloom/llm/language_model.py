@@ -6,8 +6,9 @@ softmax that is factored into classes of words and words within a class. It is t
 truncated backpropagation: each task runs through every window of all its training
 documents, and rounds of tasks start from the mean of the parameters of the round before,
 weighted by tokens. A lane reads whole documents one after another; its state is carried
-from window to window and begins anew with a document. Scoring carries the state across windows, so a document's likelihood is that of its
-whole text. A word outside the vocabulary costs the class of unknown words times its share of
+from window to window and begins anew with a document. Scoring carries the state across
+windows, so a document's likelihood is that of its whole text. Texts are numbered once, into
+a written table of ids that the rounds and the scoring read. A word outside the vocabulary costs the class of unknown words times its share of
 the add-one unigram probability outside, so probabilities sum to one.
 
 Counts: distinct words of a slice are counted before the shuffle. To score, words that are
@@ -35,10 +36,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from corpusloom.llm import arrays, pages
 from corpusloom.llm.ship import ship
-from corpusloom.session import cut
+from corpusloom.session import cut, scan_bytes
 
 END = "\n"  # no word holds it
 #: Words of the model's vocabulary, and in the broadcast table of counts.
@@ -53,7 +55,9 @@ RATE = 0.05
 BUSY = 0.75
 #: Weights that are summed up as one row.
 BLOCK = 4096
-LOG10 = np.float32(1 / np.log(10))
+#: Bytes of ids that are learnt from in one go, and of a written table that a task reads,
+#: where its files are that large: about what a task has of the texts.
+IDS_BYTES, SPLIT_BYTES = 3 << 20, 16 << 20
 
 
 @dataclass
@@ -77,38 +81,61 @@ def initial(words: int, class_size: int, classes: int, hidden: int) -> Params:
     )))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """Through the hyperbolic tangent, which does not overflow."""
-    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
-
-
-def _step(p: Params, h: np.ndarray, x: np.ndarray):
-    """One step of all lanes: (new state, update, reset, candidate)."""
+def _step(p: Params, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One step of all lanes: (new state, update, reset, candidate), lanes by hidden."""
+    gates = np.ascontiguousarray(p.e.take(x, axis=0).T)
     k = h.shape[1]
-    gate_in = p.e[x]
-    inner = h @ p.u
-    zr = _sigmoid(gate_in[:, :2 * k] + inner[:, :2 * k])
-    z, r = zr[:, :k], zr[:, k:]
-    cand = np.tanh(gate_in[:, 2 * k:] + r * inner[:, 2 * k:])
-    return h + z * (cand - h), z, r, cand, inner[:, 2 * k:]
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
-
-
-def _with_one(h: np.ndarray) -> np.ndarray:
-    out = np.ones((len(h), h.shape[1] + 1), np.float32)
-    out[:, :-1] = h
+    new = _cell(p.u.T, gates, h.T, np.empty((3 * k, len(h)), np.float32))
+    return new.T, gates[:k].T, gates[k:2 * k].T, gates[2 * k:].T
+
+
+def _cell(ut: np.ndarray, gates: np.ndarray, h: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """The new state, hidden by lanes, so that gates are rows side by side. `gates` holds the
+    input's part and becomes update, reset and candidate; `inner` takes the state's part."""
+    k = len(h)
+    np.matmul(ut, h, out=inner)
+    # The sigmoid through the hyperbolic tangent, which does not overflow.
+    zr, cand = gates[:2 * k], gates[2 * k:]
+    zr += inner[:2 * k]
+    zr *= np.float32(0.5)
+    np.tanh(zr, out=zr)
+    zr *= np.float32(0.5)
+    zr += np.float32(0.5)
+    cand += zr[k:] * inner[2 * k:]
+    np.tanh(cand, out=cand)
+    new = cand - h
+    new *= zr[:k]
+    new += h
+    return new
+
+
+def _bounded(weights: np.ndarray) -> bool:
+    """States are within -1 and 1: whether no score can be too large or small for exp."""
+    return float(np.abs(weights).sum(axis=-2).max()) < 80
+
+
+def _exp(x: np.ndarray, bounded: bool) -> np.ndarray:
+    """exp of the scores in place, as a column's softmax needs it."""
+    if not bounded:
+        x -= x.max(axis=0)
+    return np.exp(x, out=x)
+
+
+def _with_one(h: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Columns of states, and a row of ones."""
+    out = np.ones((len(h) + 1, len(columns)), np.float32)
+    np.take(h, columns, axis=1, out=out[:-1], mode="clip")
     return out
 
 
 def _by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, list[int]]:
     """(order of rows by class, where each class ends)."""
-    return np.argsort(cls, kind="stable"), np.cumsum(np.bincount(cls, minlength=classes)).tolist()
+    return _order(cls, classes), np.cumsum(np.bincount(cls, minlength=classes)).tolist()
+
+
+def _order(x: np.ndarray, bound: int) -> np.ndarray:
+    """Stable order of numbers below `bound`; short types are sorted by their digits."""
+    return np.argsort(x.astype(np.min_scalar_type(bound)), kind="stable")
 
 
 def log_probabilities(p: Params, h: np.ndarray, y: np.ndarray, of_class: np.ndarray, in_class: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -116,99 +143,121 @@ def log_probabilities(p: Params, h: np.ndarray, y: np.ndarray, of_class: np.ndar
     cls = of_class[y]
     order, ends = _by_class(cls, len(sizes))
     # Rows of a class side by side, so that each class is one product.
-    one, word, rows = _with_one(h[order]), in_class[y[order]], np.arange(len(y))
-    scores = one @ p.c
-    scores -= scores.max(axis=1, keepdims=True)
-    told = scores[rows, cls[order]]
-    told -= np.log(np.exp(scores, out=scores).sum(axis=1))
+    one, word, rows = _with_one(h.T, order), in_class[y[order]], np.arange(len(y))
+    scores = p.c.T @ one
+    bounded = _bounded(p.c), _bounded(p.w)
+    if not bounded[0]:
+        scores -= scores.max(axis=0)
+    told = scores[cls[order], rows]
+    total = np.exp(scores, out=scores).sum(axis=0)
     start = 0
     for c, end in enumerate(ends):
         # The word of a class of one is certain.
         if end > start and sizes[c] > 1:
-            inner = one[start:end] @ p.w[c, :, :sizes[c]]
-            inner -= inner.max(axis=1, keepdims=True)
-            told[start:end] += inner[rows[:end - start], word[start:end]]
-            told[start:end] -= np.log(np.exp(inner, out=inner).sum(axis=1))
+            inner = p.w[c, :, :sizes[c]].T @ one[:, start:end]
+            if not bounded[1]:
+                inner -= inner.max(axis=0)
+            told[start:end] += inner[word[start:end], rows[:end - start]]
+            # Logs of sums apart: their product may be too small or large.
+            total[start:end] = np.log(total[start:end]) + np.log(np.exp(inner, out=inner).sum(axis=0))
+        else:
+            total[start:end] = np.log(total[start:end])
         start = end
     out = np.empty_like(told)
-    out[order] = told
+    out[order] = told - total
     return out
 
 
 def train_window(p: Params, h: np.ndarray, xs: np.ndarray, ys: np.ndarray, live: np.ndarray, of_class, in_class, sizes, rate: float) -> np.ndarray:
-    """Truncated backpropagation through one window (steps x lanes); returns the state."""
-    kept = []
-    lanes, k = h.shape
+    """Truncated backpropagation through one window (steps x lanes); returns the state.
+    Arrays are hidden by lanes: gates and states are rows, and sums run along columns."""
+    (lanes, k), steps = h.shape, len(xs)
     whole = live.all(axis=1)
-    states = np.empty((len(xs), lanes, k), np.float32)
-    for t in range(len(xs)):
-        before = h
-        h, z, r, cand, inner = _step(p, h, xs[t])
-        if not whole[t]:
-            h = np.where(live[t][:, None], h, before)
-        kept.append((before, z, r, cand, inner))
-        states[t] = h
-    n = max(1, int(live.sum()))
-    scale = np.float32(rate / np.sqrt(n))
-    # The output of all steps at once: its gradients need no later step. Rows of a class are
-    # side by side; a class's weights change once it has told its gradients.
     every = bool(whole.all())
-    flat, y = (states.reshape(-1, k), ys.ravel()) if every else (states[live], ys[live])
+    ut = np.ascontiguousarray(p.u.T)
+    gates = np.ascontiguousarray(p.e.take(xs, axis=0).transpose(0, 2, 1))
+    inner = np.empty_like(gates)
+    states = np.empty((steps + 1, k, lanes), np.float32)
+    states[0] = h.T
+    for t in range(steps):
+        new = _cell(ut, gates[t], states[t], inner[t])
+        states[t + 1] = new if whole[t] else np.where(live[t], new, states[t])
+    at = np.flatnonzero(live)
+    n = max(1, len(at))
+    scale = np.float32(rate / np.sqrt(n))
+    # The output of all steps at once: its gradients need no later step. Columns of a class
+    # are side by side; the weights change once all gradients are told.
+    y = ys.ravel()[at]
     cls = of_class[y]
     order, ends = _by_class(cls, len(sizes))
-    one, word, rows = _with_one(flat[order]), in_class[y[order]], np.arange(len(y))
-    d = _softmax(one @ p.c)
-    d[rows, cls[order]] -= 1
-    into = d @ p.c[:k].T
-    p.c -= scale * np.clip(one.T @ d, -5, 5)
-    start = 0
+    flat = np.ascontiguousarray(states[1:].transpose(1, 0, 2)).reshape(k, -1)
+    at_order = at[order]
+    one, word, columns = _with_one(flat, at_order), in_class[y[order]], np.arange(len(y))
+    d = _exp(p.c.T @ one, _bounded(p.c))
+    d *= 1 / d.sum(axis=0)
+    d[cls[order], columns] -= 1
+    # One more column, of zeros, for what is not read.
+    into = np.zeros((k, len(y) + 1), np.float32)
+    np.matmul(p.c[:k], d, out=into[:, :-1])
+    of_c = one @ d.T
+    of_w, bounded, start = np.zeros_like(p.w), _bounded(p.w), 0
     for c, end in enumerate(ends):
         # The word of a class of one is certain: nothing to learn.
         if end > start and sizes[c] > 1:
-            own, weights = one[start:end], p.w[c, :, :sizes[c]]
-            d = _softmax(own @ weights)
-            d[rows[:end - start], word[start:end]] -= 1
-            into[start:end] += d @ weights[:k].T
-            weights -= scale * np.clip(own.T @ d, -5, 5)
+            own, weights = one[:, start:end], p.w[c, :, :sizes[c]]
+            d = _exp(weights.T @ own, bounded)
+            d *= 1 / np.add.reduce(d, axis=0)
+            d[word[start:end], columns[:end - start]] -= 1
+            into[:, start:end] += weights[:k] @ d
+            of_w[c, :, :sizes[c]] = own @ d.T
         start = end
-    back = np.zeros((len(y), k), np.float32)
-    back[order] = into
-    if every:
-        back = back.reshape(len(xs), lanes, k)
-    else:
-        spread = np.zeros_like(states)
-        spread[live] = back
-        back = spread
-    gu = np.zeros_like(p.u)
-    ge = np.empty((len(xs), lanes, 3 * k), np.float32)
-    into = np.empty((lanes, 3 * k), np.float32)
-    dh = np.zeros_like(h)
-    ut = np.ascontiguousarray(p.u.T)
-    for t in reversed(range(len(xs))):
-        before, z, r, cand, inner = kept[t]
-        dh += back[t]
-        dn = dh if whole[t] else dh * live[t][:, None]
-        g = ge[t]
-        np.multiply(dn * (cand - before), z * (1 - z), out=g[:, :k])
-        dc = np.multiply(dn * z, 1 - cand * cand, out=g[:, 2 * k:])
-        np.multiply(dc * inner, r * (1 - r), out=g[:, k:2 * k])
-        into[:, :2 * k] = g[:, :2 * k]
-        np.multiply(dc, r, out=into[:, 2 * k:])
-        gu += before.T @ into
-        after = dn * (1 - z)
-        after += into @ ut
-        dh = after if whole[t] else np.where(live[t][:, None], after, dh)
+    p.c -= scale * np.clip(of_c, -5, 5)
+    np.clip(of_w, -5, 5, out=of_w)
+    of_w *= scale
+    p.w -= of_w
+    column = np.full(steps * lanes, len(y))
+    column[at_order] = columns
+    back = into.take(column, axis=1).reshape(k, steps, lanes)
+    # What the gates pass on, for all steps at once.
+    z, r, cand = gates[:, :k], gates[:, k:2 * k], gates[:, 2 * k:]
+    by_z = cand - states[:-1]
+    by_z *= z
+    keep = 1 - z
+    by_z *= keep
+    by_c = cand * cand
+    np.subtract(1, by_c, out=by_c)
+    by_c *= z
+    by_r = 1 - r
+    by_r *= r
+    by_r *= inner[:, 2 * k:]
+    ge = np.empty_like(gates)
+    dh = np.zeros((k, lanes), np.float32)
+    # Of the last part, what the state's own part of the candidate takes.
+    own = inner
+    for t in reversed(range(steps)):
+        dh += back[:, t]
+        dn = dh if whole[t] else dh * live[t]
+        g, into = ge[t], own[t]
+        np.multiply(dn, by_z[t], out=g[:k])
+        dc = np.multiply(dn, by_c[t], out=g[2 * k:])
+        np.multiply(dc, by_r[t], out=g[k:2 * k])
+        into[:2 * k] = g[:2 * k]
+        np.multiply(dc, r[t], out=into[2 * k:])
+        after = p.u @ into
+        dn = dn * keep[t]
+        after += dn
+        dh = after if whole[t] else np.where(live[t], after, dh)
+    gu = np.matmul(states[:-1], own.transpose(0, 2, 1)).sum(axis=0)
     p.u -= scale * np.clip(gu, -5, 5)
     if len(y):
-        x, ge = (xs.ravel(), ge.reshape(-1, 3 * k)) if every else (xs[live], ge[live])
-        order = np.argsort(x, kind="stable")
-        first = np.nonzero(np.diff(x[order], prepend=-1))[0]
-        p.e[x[order][first]] -= scale * np.add.reduceat(np.clip(ge, -1, 1, out=ge)[order], first, axis=0)
-    return h
-
-
-def tokens_of(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        np.clip(ge, -1, 1, out=ge)
+        by_id = np.ascontiguousarray(ge.transpose(0, 2, 1)).reshape(-1, 3 * k)
+        x = xs.ravel() if every else xs.ravel()[at]
+        order = _order(x, len(p.e))
+        x = x[order]
+        first = np.flatnonzero(np.diff(x, prepend=-1))
+        p.e[x[first]] -= scale * np.add.reduceat(by_id.take(at[order], axis=0), first, axis=0)
+    return states[-1].T
 
 
 def held_out(id_col: Column) -> Column:
@@ -216,8 +265,9 @@ def held_out(id_col: Column) -> Column:
 
 
 def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """(words of all rows, offsets per row) of lower-cased texts, without ends."""
-    lists = pc.ascii_split_whitespace(column.cast(pa.large_string()))
+    """(words of all rows, offsets per row) of texts, A-Z lower-cased, without ends."""
+    # Lower-cased before the cast: pyarrow reads the cast of a slice from its first row on.
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")).cast(pa.large_string()))
     words, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
     # White space at the ends of a text leaves empty words.
     full = pc.greater(pc.binary_length(words), 0)
@@ -226,7 +276,7 @@ def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, n) of the training rows (text lower-cased), the end included."""
+    """(word, n) of the training rows, the end included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.slices(batches, "text", 16 << 20):
@@ -257,6 +307,10 @@ class Lexicon:
     def unknown(self) -> int:
         return self.size
 
+    @property
+    def id_type(self) -> np.dtype:
+        return np.dtype("<u2" if self.size < 1 << 16 else "<u4")
+
     def lookup(self, words: pa.Array) -> np.ndarray:
         """Place of each word among the known ones, or -1."""
         coded = words.dictionary_encode()
@@ -382,8 +436,34 @@ def learn(p: Params, lex: Lexicon, rows: Rows, rate: float, last: bool = True) -
 
 
 def train(rows: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Params:
-    """Parameters after `rounds` rounds over the training rows. A task sends its parameters
-    as blocks, which Spark averages; the driver gets the mean, whose size is fixed."""
+    """Parameters after `rounds` rounds over the texts of the training rows."""
+    known = rows.sparkSession.sparkContext.broadcast(lex)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = known.value
+        for batch in arrays.slices(batches, "text", 8 << 20):
+            _, ids, ends = _sequence(lex, *_words(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([_packed(lex, ids, ends)], names=["ids"])
+
+    return train_ids(cut(rows.select("text").mapInArrow(run, "ids binary")), lex, rounds)
+
+
+def _packed(lex: Lexicon, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Model ids of each row as bytes."""
+    flat = ids.astype(lex.id_type)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
+
+
+def _unpacked(lex: Lexicon, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(model ids of all rows, offsets per row) of what `_packed` gave."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1] // lex.id_type.itemsize
+    flat = np.frombuffer(column.buffers()[2], lex.id_type)[offsets[0]:offsets[-1]]
+    return flat.astype(np.int64), offsets.astype(np.int64) - offsets[0]
+
+
+def train_ids(rows: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Params:
+    """The same over written ids of rows. A task sends its parameters as blocks, which Spark
+    averages; the driver gets the mean, whose size is fixed."""
     spark = rows.sparkSession
     p = initial(lex.size + 1, int(lex.sizes.max()), len(lex.sizes), HIDDEN)
     _start_from_counts(p, lex)
@@ -397,9 +477,8 @@ def train(rows: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Params:
             own = Params(*(a.copy() for a in p.arrays()))
             rate = RATE * (0.3 if turn else 1.0)
             seen, left = 0, Rows.fresh(np.zeros(0, np.int64), np.zeros(1, np.int64), HIDDEN)
-            for batch in arrays.slices(batches, "text", 8 << 20):
-                words, offsets = _words(batch.column("text"))
-                _, ids, ends = _sequence(lex, words, offsets)
+            for batch in arrays.slices(batches, "ids", IDS_BYTES):
+                ids, ends = _unpacked(lex, batch.column("ids"))
                 n, left = learn(own, lex, left.joined(Rows.fresh(ids, ends, HIDDEN)), rate, last=False)
                 seen += n
             n, _ = learn(own, lex, left, rate)
@@ -413,10 +492,11 @@ def train(rows: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Params:
                 pa.array(blocks, pa.list_(pa.float32())),
             ], names=["block", "tokens", "weights"])
 
-        sent = rows.select("text").mapInArrow(run, schema)
+        sent = rows.select("ids").mapInArrow(run, schema)
         # A block of all tasks' weights meets in one task, which sums them up as it reads.
         dealt = sent.repartition(pages.partitions(spark), "block").sortWithinPartitions("block")
-        got = dealt.mapInArrow(_mean_blocks, schema).toArrow().sort_by("block")
+        with scan_bytes(spark, SPLIT_BYTES):
+            got = dealt.mapInArrow(_mean_blocks, schema).toArrow().sort_by("block")
         if got.num_rows:
             flat, at, parts = got.column("weights").combine_chunks().flatten().to_numpy(), 0, []
             for a in p.arrays():
@@ -466,14 +546,15 @@ def score_texts(lex: Lexicon, p: Params, ids: np.ndarray, ends: np.ndarray, lane
             nexts.append(y)
             owners.append(rows[:n])
             x = y
-            if sum(map(len, nexts)) >= 1 << 15 or t == steps - 1:
+            if sum(map(len, nexts)) >= 1 << 13 or t == steps - 1:
                 got = log_probabilities(p, np.concatenate(states), np.concatenate(nexts), lex.of_class, lex.in_class, lex.sizes)
                 out += np.bincount(np.concatenate(owners), weights=got, minlength=len(out))
                 states, nexts, owners = [], [], []
     return out
 
 
-SCORED = "row string, n_tokens bigint, n_frequent bigint, base double, score double, rare array<string>"
+ENCODED = "n_tokens bigint, n_frequent bigint, base double, outside double, ids binary, rare array<string>"
+SCORED = "n_tokens bigint, n_frequent bigint, base double, score double"
 
 
 def score(
@@ -483,55 +564,75 @@ def score(
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(
-        F.concat_ws(":", F.col(id_col).cast("string"), F.hex(F.xxhash64(text_col, id_col))).alias("row"), F.col(id_col).alias("doc_id"),
-        F.coalesce(held_out(F.col(id_col)), F.lit(True)).alias("held_out"), tokens_of(F.col(text_col)).alias("text"),
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
+        F.coalesce(held_out(F.col(id_col)), F.lit(True)).alias("held_out"), F.col(text_col).cast("string").alias("text"),
     )
-    learnt = rows.where("not held_out")
-    counts = cut(word_counts(learnt))
+    of_row = ["row", "doc_id", "held_out"]
+    counts = cut(word_counts(rows.where("not held_out")))
     lex = lexicon(counts, vocabulary, frequent)
-    model = spark.sparkContext.broadcast((lex, train(learnt, lex)))
+    known = spark.sparkContext.broadcast(lex)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, p = model.value
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = known.value
         total = lex.tokens + lex.distinct + 1
         known_log = np.log10((lex.counts + 1) / total)
+        # An unknown word costs its class, and its share of what the vocabulary leaves.
+        mass = 1 - float(((lex.counts[:lex.size] + 1) / total).sum())
         for batch in arrays.slices(batches, "text", 8 << 20):
             words, offsets = _words(batch.column("text"))
             place, ids, ends = _sequence(lex, words, offsets)
             owner = arrays.owners(ends)
             seen = place >= 0
             shares = np.where(seen, known_log[np.maximum(place, 0)] if len(known_log) else 0.0, 0.0)
-            base = np.bincount(owner, weights=shares, minlength=batch.num_rows)
-            model_score = score_texts(lex, p, ids, ends) / np.log(10)
-            # An unknown word: its class, then its share of what the vocabulary leaves.
-            outside = ids == lex.unknown
-            mass = 1 - float(((lex.counts[:lex.size] + 1) / total).sum())
-            model_score = model_score - np.bincount(owner, weights=outside, minlength=batch.num_rows) * np.log10(mass)
-            model_score = model_score + np.bincount(owner, weights=np.where(outside, shares, 0.0), minlength=batch.num_rows)
+
+            def summed(weights, owner=owner, n=batch.num_rows):
+                return np.bincount(owner, weights=weights, minlength=n)
+
+            unknown = ids == lex.unknown
+            outside = summed(np.where(unknown, shares, 0.0)) - summed(unknown) * np.log10(mass)
             is_end = np.zeros(len(ids), bool)
             is_end[ends[1:] - 1] = True
             # An end that no training row has.
-            lost = np.bincount(owner[is_end & ~seen], minlength=batch.num_rows) * np.log10(1 / total)
+            lost = summed(is_end & ~seen) * np.log10(1 / total)
             rare = ~seen[~is_end]
             first = np.concatenate([[0], np.cumsum(rare)])[offsets]
             yield pa.RecordBatch.from_arrays([
-                batch.column("row"), pa.array(np.diff(ends)), pa.array(np.bincount(owner, weights=seen, minlength=batch.num_rows).astype(np.int64)),
-                pa.array(base + lost), pa.array(model_score + lost),
+                *map(batch.column, of_row), pa.array(np.diff(ends)), pa.array(summed(seen).astype(np.int64)),
+                pa.array(summed(shares) + lost), pa.array(outside + lost), _packed(lex, ids, ends),
                 pa.ListArray.from_arrays(first.astype(np.int32), words.filter(pa.array(rare)).cast(pa.string())),
-            ], names=[x.split()[0] for x in SCORED.split(", ")])
+            ], names=encoded_schema.names)
+
+    # The texts are cut into words once; the rows are numbered from here on.
+    encoded_schema = _schema(rows.select(of_row), ENCODED)
+    encoded = cut(rows.mapInArrow(encode, encoded_schema))
+    model = spark.sparkContext.broadcast((lex, train_ids(encoded.where("not held_out"), lex)))
 
-    scored = cut(rows.select("row", "text").mapInArrow(run, SCORED))
-    one = scored.dropDuplicates(["row"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, p = model.value
+        for batch in arrays.slices(batches, "ids", IDS_BYTES):
+            model_score = score_texts(lex, p, *_unpacked(lex, batch.column("ids"))) / np.log(10)
+            yield pa.RecordBatch.from_arrays([
+                *map(batch.column, [*of_row, "n_tokens", "n_frequent", "base"]), pa.array(model_score + batch.column("outside").to_numpy()),
+            ], names=scored_schema.names)
+
+    scored_schema = _schema(rows.select(of_row), SCORED)
+    with scan_bytes(spark, SPLIT_BYTES):
+        scored = cut(encoded.drop("rare").mapInArrow(run, scored_schema))
     # Per document and distinct rare word.
-    asked = one.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+    asked = encoded.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     found = asked.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(lex.tokens + lex.distinct + 1)))).alias("more"),
     )
-    final = one.drop("rare").join(found, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
-    return rows.select("row", "doc_id", "held_out").join(final, "row").select(
+    return scored.join(found, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_frequent") + F.coalesce("more_known", F.lit(0))).cast("bigint").alias("n_known"),
         F.lit(lex.tokens).cast("bigint").alias("train_tokens"), (F.col("base") + more).alias("base_score"),
         (F.col("score") + more).alias("score"),
     )
+
+
+def _schema(rows: DataFrame, more: str) -> StructType:
+    """The columns of `rows` and further ones; any may be null."""
+    fields = [*rows.schema, *StructType.fromDDL(more)]
+    return StructType([StructField(f.name, f.dataType) for f in fields])

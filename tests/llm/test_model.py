@@ -224,3 +224,71 @@ def test_every_part_of_every_row_matters(spark, changed):
     other = spark.createDataFrame([(" ".join(t),) for t in texts], "text string").coalesce(1)
     a, b = (lm.train(x, small_lexicon(), rounds=1) for x in (one, other))
     assert not (a.e[7] == b.e[7]).all()
+
+
+def test_words_of_slices():
+    import pyarrow as pa
+
+    texts = ["One TWO", None, "", " \t", "\u00c9t\u00c9 x\x0by", "three"] * 50
+    for column in (pa.array(texts), pa.array([x or "" for x in texts])):
+        for a, b in ((0, 300), (1, 7), (150, 299), (4, 4)):
+            words, offsets = lm._words(column.slice(a, b - a))
+            rows = [words.slice(x, y - x).to_pylist() for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
+            assert rows == [tokens(x)[:-1] for x in texts[a:b]]
+            ids, ends = np.arange(offsets[-1] + b - a), offsets + np.arange(b - a + 1)
+            lex = small_lexicon()
+            got = lm._unpacked(lex, lm._packed(lex, ids, ends).slice(1))
+            assert (got[0] == ids[ends[min(1, b - a)]:]).all() and (got[1] == ends[1:] - ends[min(1, b - a)]).all()
+
+
+def test_texts_are_cut_into_words_once(spark, tmp_path):
+    """The texts are read to count words and to number them, by no round and not to score."""
+    import json
+
+    docs = spark.createDataFrame([(k, "a b c " * k) for k in range(40)], SCHEMA.split(", lang")[0])
+    docs.write.parquet(f"{tmp_path}/docs")
+    read = spark.read.parquet(f"{tmp_path}/docs")
+    cuts, cut = [], lm.cut
+    try:
+        lm.cut = lambda df: cuts.append(df) or cut(df)
+        got = lm.score(read)
+    finally:
+        lm.cut = cut
+    plans = [df._jdf.queryExecution().analyzed().toString() for df in cuts]
+    assert [f"text#" in p for p in plans] == [True, True, False]
+    assert "text#" not in got._jdf.queryExecution().analyzed().toString()
+    assert got.count() == 40
+
+
+@pytest.mark.parametrize("bounded", [True, False])
+def test_window_is_plain_backpropagation(bounded):
+    """One window's changes, against gradients of the loss by differences."""
+    lex, r = small_lexicon(), np.random.default_rng(3)
+    p = lm.initial(9, 4, 3, 5)
+    if not bounded:
+        # Biases alike beyond what exp takes change no probability.
+        p.c[-1] += 100
+        p.w[:, -1] += 100
+    xs, ys = r.integers(0, 9, (2, 6, 3))
+    live = np.arange(6)[:, None] < np.array([6, 4, 1])
+
+    def loss(q):
+        h, out = np.zeros((3, 5), np.float32), 0.0
+        for x, y, on in zip(xs, ys, live, strict=True):
+            h = lm._step(q, h, x)[0]
+            out -= lm.log_probabilities(q, h, y, lex.of_class, lex.in_class, lex.sizes)[on].sum(dtype=float)
+        return out
+
+    after = lm.Params(*(a.copy() for a in p.arrays()))
+    rate = 1e-3
+    lm.train_window(after, np.zeros((3, 5), np.float32), xs, ys, live, lex.of_class, lex.in_class, lex.sizes, rate)
+    # The unused unknown class of one has no words to learn.
+    for a, b in zip(p.arrays(), after.arrays(), strict=True):
+        told = (a.astype(float) - b) / (rate / np.sqrt(live.sum()))
+        for at in map(tuple, r.integers(0, a.shape, (40, a.ndim))):
+            old, moved = a[at], []
+            for step in (0.02, -0.02):
+                a[at] = old + step
+                moved.append(loss(p))
+            a[at] = old
+            assert told[at] == pytest.approx((moved[0] - moved[1]) / 0.04, abs=0.03 if bounded else 0.1)
