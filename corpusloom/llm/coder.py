@@ -110,7 +110,10 @@ class Model:
 def _settle(low, size):
     """Lanes whose upper word is settled, or whose interval straddles one for too long."""
     fixed = (low ^ (low + size)) >> _WORD == 0
-    short = ~fixed & (size >> _WORD == 0)
+    short = size >> _WORD == 0
+    short &= ~fixed
+    if not short.any():
+        return fixed, size
     size = np.where(short, (~low + np.uint64(1)) & np.uint64(0xFFFFFFFF), size)
     return fixed | short, size
 

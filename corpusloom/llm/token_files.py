@@ -101,7 +101,7 @@ def write_tokens(
             waiting, size, at = [], 0, at + len(block)
 
         out = None
-        for batch in slices(batches, "t", 4 << 20):
+        for batch in slices(batches, "t", 8 << 20):
             if out is None:
                 system.create_dir(root, recursive=True)
                 whole = f"{name}.{task.taskAttemptId()}"

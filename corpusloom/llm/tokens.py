@@ -8,9 +8,10 @@ the tokenizer once per distinct word and keeps the answers, up to a bound.
 from __future__ import annotations
 
 import json
+import os
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,11 @@ KEPT_WORDS = 600_000
 # Words asked for in a line, and what stands between those that need the whole tokenizer.
 _LINE_WORDS, _MARK = 200, "\x01"
 _BETWEEN = f" {_MARK} "
+# Latin letters that normalizing leaves whole and that lower-case to one of them.
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
 # A word of these goes to the tokenizer's model piece by piece.
-_PLAIN = re.compile(r"[!-;=-~]+")
-_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
+_PLAIN = re.compile(f"[!-;=-~{_LATIN}]+")
+_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^\sa-z0-9{_LATIN}]+"
 # A word, and the marks after its last letter or digit (but for one that lower-cases to more).
 _TAIL = re.compile(r"(?s)(.*?)((?<=[^\W_\u0130])[.,;:!?]+)?")
 
@@ -37,14 +40,14 @@ def tokenizer_path(name: str = WORD_TOKENIZER) -> str:
 
 
 class WordEncoder:
-    """Ids of string columns. For a word of printable ASCII, normalizing is lower-casing
+    """Ids of string columns. For a word of printable ASCII and Latin letters, normalizing is lower-casing
     and splitting is one pattern, so its pieces go to the tokenizer's model as they are;
     every other word goes through the whole tokenizer. New pieces and words are asked for
     in lines of many, and kept until the memory is full."""
 
     def __init__(self, path: str, kept: int = KEPT_WORDS):
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import WhitespaceSplit
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
@@ -53,7 +56,8 @@ class WordEncoder:
             raise ValueError("a tokenizer that lower-cases and ends pieces with words is needed")
         self._tokenizer, self._kept = Tokenizer.from_file(path), kept
         self._model = Tokenizer.from_file(path)
-        self._model.normalizer, self._model.pre_tokenizer = None, WhitespaceSplit()
+        self._model.normalizer = None
+        self._model.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -69,55 +73,60 @@ class WordEncoder:
         self._starts = np.zeros(1 << 16, np.int64)
         self._starts[1] = self._used = 1
 
-    def _store(self, units: list[str], lists: list[list[int]]) -> None:
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        n, used, more = len(self._known) + 1, self._used, int(lengths.sum())
+    def _store(self, units: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Units one after another, each with the ids up to its end."""
+        n, used, more = len(self._known) + 1, self._used, len(ids)
         while len(self._ids) < used + more:
             self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
         while len(self._starts) < n + len(units) + 1:
             self._starts = np.concatenate([self._starts, np.zeros_like(self._starts)])
-        self._ids[used:used + more] = np.fromiter(chain.from_iterable(lists), np.int32, more)
-        self._starts[n + 1:n + len(units) + 1] = used + np.cumsum(lengths)
+        self._ids[used:used + more] = ids
+        self._starts[n + 1:n + len(units) + 1] = used + ends
         self._used += more
         self._known.update(zip(units, range(n, n + len(units)), strict=True))
 
-    def _learn(self, new: list[str]) -> None:
-        """Store new units. A mark at the end of a word that is not plain is a piece of its
-        own after a letter or digit, so words that differ in it are asked for once."""
-        plain, others = [], []
-        for unit in new:
-            (plain if unit.isascii() and _PLAIN.fullmatch(unit) else others).append(unit)
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Store new units, and tell their numbers. A mark at the end of a word that is not
+        plain is a piece of its own after a letter or digit, so words that differ in it are
+        asked for once."""
+        is_plain = pc.match_substring_regex(new, f"^{_PLAIN.pattern}$")
+        plain, others = (new.filter(x).to_numpy(zero_copy_only=False).tolist() for x in (is_plain, pc.invert(is_plain)))
+        at = np.argsort(~is_plain.to_numpy(zero_copy_only=False), kind="stable")
+        numbers = np.empty(len(new), np.int64)
+        numbers[at] = np.arange(len(new)) + len(self._known) + 1
+        self._store(plain, *self._ask_pieces(plain))
         parts = [_TAIL.fullmatch(word).groups() for word in others]
         cores = list({core: 0 for core, _ in parts})
         tails = list({tail: 0 for _, tail in parts if tail})
-        self._store(plain, self._ask_pieces(plain))
         cores = dict(zip(cores, self._ask_words(cores), strict=True))
-        tails = dict(zip(tails, self._ask_pieces(tails), strict=True))
-        self._store(others, [cores[core] + tails[tail] if tail else cores[core] for core, tail in parts])
+        tails = dict(zip(tails, _cut(*self._ask_pieces(tails), 0), strict=True))
+        lists = [cores[core] + tails[tail] if tail else cores[core] for core, tail in parts]
+        ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+        self._store(others, np.fromiter(chain.from_iterable(lists), np.int32), ends)
+        return numbers
 
     def _units(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(units of all distinct words, offsets per word)."""
         plain = pc.match_substring_regex(words, f"^{_PLAIN.pattern}$")
-        cut = pc.if_else(plain, pc.ascii_lower(words), words)
-        mixed = pc.and_not(plain, pc.match_substring_regex(words, "^[A-Za-z]+$"))
+        cut = pc.if_else(plain, pc.utf8_lower(words), words)
+        mixed = pc.and_not(plain, pc.match_substring_regex(words, f"^[A-Za-z{_LATIN}]+$"))
         split = pc.replace_substring_regex(cut.filter(mixed), f"({_PIECES})", "\\1 ")
         pieces = pc.ascii_split_whitespace(pc.replace_with_mask(cut, mixed, pc.ascii_rtrim_whitespace(split)))
         coded = pieces.flatten().dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False)
         if len(self._known) + len(distinct) > self._kept:
             self._clear()
-        known = self._known
-        at = list(map(known.get, distinct))
-        if None in at:
-            self._learn([w for w, k in zip(distinct, at, strict=True) if k is None])
-            at = [known[w] if k is None else k for w, k in zip(distinct, at, strict=True)]
+        at = np.fromiter(map(self._known.get, distinct, repeat(0)), np.int64, len(distinct))
+        new = at == 0
+        if new.any():
+            at[new] = self._learn(coded.dictionary.filter(pa.array(new)))
         offsets = pieces.offsets.to_numpy()
-        return np.array(at, np.int64)[coded.indices.to_numpy()], offsets - offsets[0]
+        return at[coded.indices.to_numpy()], offsets - offsets[0]
 
-    def _ask_pieces(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of pieces of printable ASCII: each ends with the next id that ends a word."""
+    def _ask_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of pieces of plain words: each ends with the next id that ends a word."""
         found = self._lines(self._model, pieces, " ")
-        return _cut(found, np.nonzero(self._ends[found])[0] + 1, 0)
+        return found, np.nonzero(self._ends[found])[0] + 1
 
     def _ask_words(self, words: list[str]) -> list[list[int]]:
         """Ids of any words, by a mark after each; those with a mark, or the first character
@@ -166,5 +175,7 @@ def _cut(ids: np.ndarray, ends: np.ndarray, gap: int) -> list[list[int]]:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    """One per Python worker, which serves many tasks."""
+    """One per Python worker, which serves many tasks. Spark gives a task its core, so the
+    tokenizer starts no threads of its own beside them, unless the worker's setting says so."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return WordEncoder(path)
