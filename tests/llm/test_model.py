@@ -243,8 +243,6 @@ def test_words_of_slices():
 
 def test_texts_are_cut_into_words_once(spark, tmp_path):
     """The texts are read to count words and to number them, by no round and not to score."""
-    import json
-
     docs = spark.createDataFrame([(k, "a b c " * k) for k in range(40)], SCHEMA.split(", lang")[0])
     docs.write.parquet(f"{tmp_path}/docs")
     read = spark.read.parquet(f"{tmp_path}/docs")
