@@ -84,14 +84,15 @@ def vectors(texts: pa.Array, features: int = FEATURES) -> np.ndarray:
     longest = max(GRAMS)
     for start in range(0, len(raw), PIECE):
         end = min(start + PIECE, len(raw))
-        piece = raw[start:min(end + longest - 1, len(raw))].astype(np.uint32)
+        # Beyond the last byte there are zeros, which are in no whole n-gram.
+        piece = np.zeros(end - start + longest - 1, np.uint32)
+        piece[:min(len(piece), len(raw) - start)] = raw[start:start + len(piece)]
         at = np.arange(start, end)
         row = np.searchsorted(offsets, at, side="right") - 1
         last = offsets[row + 1]
         gram = np.zeros(end - start, np.uint32)
         for n in range(1, longest + 1):
-            # Beyond the end of the piece there is only the end of the text.
-            gram[:len(piece) - n + 1] = gram[:len(piece) - n + 1] * np.uint32(257) + piece[n - 1:n - 1 + len(gram)][:len(gram)]
+            gram = gram * np.uint32(257) + piece[n - 1:n - 1 + len(gram)]
             whole = at + n <= last
             if n not in GRAMS:
                 continue

@@ -96,3 +96,20 @@ def test_pieces_do_not_matter(monkeypatch):
     assert np.allclose(li.vectors(texts), want)
     grams = sum(max(0, len("  a  ".strip()) + 2 - n + 1) for n in li.GRAMS)
     assert np.count_nonzero(want[2]) <= grams
+
+
+@pytest.mark.parametrize("piece", range(1, 12))
+def test_a_last_piece_of_any_length(monkeypatch, piece):
+    for length in range(1, 24):
+        texts = pa.array(["é" + "ab c"[k:] * 6 + "x" * length for k in range(3)] + [""])
+        want = li.vectors(texts)
+        with monkeypatch.context() as m:
+            m.setattr(li, "PIECE", piece)
+            assert np.array_equal(li.vectors(texts), want)
+
+
+def test_a_text_two_bytes_longer_than_a_piece(spark):
+    # The spaces around a text are counted with it.
+    rows = rows_of(["en", "de"], 60) + [(100 + k, ("und mit " * (li.PIECE // 8 + 1))[:li.PIECE + k - 2], "de") for k in range(5)]
+    got = {r.doc_id: r.lang_pred for r in run(spark, rows)}
+    assert len(got) == len(rows) and {got[100 + k] for k in range(5)} == {"de"}
